@@ -70,7 +70,7 @@ def recent_entity(messages: DataFrame, measures: DataFrame, tables: DataFrame, b
 
     def hits(names: DataFrame, kind: str, ranks: list) -> DataFrame:
         rank = lambda n: F.coalesce(*[F.when(p(n), r) for r, p in ranks])
-        met = F.filter(F.transform("names", lambda n: F.struct(rank(n).alias("rank"), n["ord"].alias("at"), n["name"].alias("name"))), lambda x: x["rank"].isNotNull())
+        met = F.filter(F.transform("names", lambda n, i: F.struct(rank(n).alias("rank"), i.alias("at"), n["name"].alias("name"))), lambda x: x["rank"].isNotNull())
         return with_names(recent, names).select("project_id", "conv_id", "back", F.lit(kind).alias("kind"), F.explode(met).alias("h"))
 
     every = hits(measures, "measure", [(0, bracket), (1, inside)]).unionByName(hits(tables, "table", [(2, inside)]))

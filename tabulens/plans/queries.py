@@ -181,12 +181,12 @@ REFS = rf"""
     q AS (SELECT p_partkey, 0 AS part, unnest(range(len(regexp_extract_all(mask, '{QUAL}')))) AS place, unnest(regexp_extract_all(mask, '{QUAL}', 0)) AS raw,
             unnest(regexp_extract_all(mask, '{QUAL}', 1)) AS a, unnest(regexp_extract_all(mask, '{QUAL}', 2)) AS b, unnest(regexp_extract_all(mask, '{QUAL}', 3)) AS c FROM m),
     u AS (SELECT p_partkey, unnest(regexp_extract_all(regexp_replace(mask, '{QUAL}', ' ', 'g'), '\[([^\]]+)\]', 1)) AS c, unnest(range(len(regexp_extract_all(regexp_replace(mask, '{QUAL}', ' ', 'g'), '\[([^\]]+)\]', 1)))) AS place FROM m),
-    t AS (SELECT p_partkey, unnest(range(len(regexp_extract_all(mask, '{TREF}')))) AS place, unnest(regexp_extract_all(mask, '{TREF}', 0)) AS raw, unnest(regexp_extract_all(mask, '{TREF}', 1)) AS a, unnest(regexp_extract_all(mask, '{TREF}', 2)) AS b, unnest(regexp_extract_all(mask, '{TREF}', 3)) AS br FROM m),
-    tt AS (SELECT p_partkey, place, CASE WHEN br = '' THEN raw ELSE left(raw, length(raw) - length(br) - 1) END AS raw, CASE WHEN br = '' THEN coalesce(nullif(a, ''), b) ELSE left(b, greatest(length(b) - 1, 0)) END AS name FROM t),
+    t AS (SELECT p_partkey, unnest(range(len(regexp_extract_all(mask, '{TREF}')))) AS place, unnest(regexp_extract_all(mask, '{TREF}', 0)) AS raw, unnest(regexp_extract_all(mask, '{TREF}', 1)) AS a, unnest(regexp_extract_all(mask, '{TREF}', 2)) AS b, unnest(regexp_extract_all(mask, '{TREF}', 3)) AS after FROM m),
+    tt AS (SELECT p_partkey, place, CASE WHEN coalesce(after, '') = '' THEN raw ELSE left(raw, length(raw) - length(after) - 1) END AS raw, CASE WHEN coalesce(after, '') = '' THEN coalesce(nullif(a, ''), b) ELSE left(b, greatest(length(b) - 1, 0)) END AS name FROM t),
     refs AS (SELECT p_partkey, 'column' AS kind, 0 AS part, place, trim(coalesce(nullif(a, ''), b)) AS "table", trim(c) AS name, raw FROM q
         UNION ALL SELECT p_partkey, 'bracket', 1, place, NULL, trim(c), '[' || c || ']' FROM u
         UNION ALL SELECT p_partkey, 'table', 2, place, name, name, raw FROM tt WHERE name <> '' AND upper(name) NOT IN ('VAR', 'RETURN', 'TRUE', 'FALSE', 'BLANK')),
-    rep AS (SELECT p_partkey, raw, count(*) AS n, min(part * 1000 + place) AS at FROM refs GROUP BY ALL HAVING count(*) >= 2)"""
+    rep AS (SELECT p_partkey, raw, count(*) AS n, min(part * 1000 + place) AS first_at FROM refs GROUP BY ALL HAVING count(*) >= 2)"""
 FN = r"regexp_extract_all(mask, '\b([a-zA-Z0-9_.]+)\s*\(', 1)"
 ITERATORS = ", ".join(f"'{i}'" for i in E.ITERATORS)
 METRICS = rf"""{REFS},
@@ -223,7 +223,7 @@ def t5_t8_o4_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.complexity_records(found).withColumnRenamed("ord", "p_partkey").drop("project_id", "object_type", "table_name", "object_name")
 
 
-@query(f"""{REFS} SELECT p_partkey, string_agg(raw, ', ' ORDER BY at) AS first_three FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY at) AS k FROM rep) WHERE k <= 3 GROUP BY p_partkey""")
+@query(f"""{REFS} SELECT p_partkey, string_agg(raw, ', ' ORDER BY first_at) AS first_three FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY first_at) AS k FROM rep) WHERE k <= 3 GROUP BY p_partkey""")
 def a12_repeated_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = expressions(spark, sf_dir).withColumn("r", E.repeated(F.col("refs"))).filter("size(r) > 0")
     return rows.select("p_partkey", F.array_join(F.slice("r", 1, 3), ", ").alias("first_three"))
@@ -246,7 +246,7 @@ RULES = {
         FROM counts WHERE regexp_matches(body, '{WRAP}') AND NOT contains(body, ',')""",
     "r3_filter_over_table": f"""SELECT p_partkey, 'FILTER() used over entire table ''' || {FTABLE} || ''' inside filter context' AS issue, 'Medium' AS severity,
         'Review filter argument: use ''' || {FPRED} || ''' directly inside CALCULATE without wrapping the full table in FILTER().' AS suggested_dax, 'Needs Review' AS validation_status FROM counts WHERE regexp_matches(mask, '{FILT}')""",
-    "r4_repeated_references": """SELECT p_partkey, 'Repeated reference(s) (' || (SELECT string_agg(raw, ', ' ORDER BY at) FROM (SELECT * FROM rep r WHERE r.p_partkey = c.p_partkey ORDER BY at LIMIT 3)) || ') evaluated multiple times without VAR' AS issue,
+    "r4_repeated_references": """SELECT p_partkey, 'Repeated reference(s) (' || (SELECT string_agg(raw, ', ' ORDER BY first_at) FROM (SELECT * FROM rep r WHERE r.p_partkey = c.p_partkey ORDER BY first_at LIMIT 3)) || ') evaluated multiple times without VAR' AS issue,
         CASE WHEN repeated_count > 1 OR function_count > 2 THEN 'Medium' ELSE 'Low' END AS severity, 'Manual review required: declare VAR for repeated expression' AS suggested_dax, 'Needs Review' AS validation_status FROM counts c WHERE repeated_count > 0 AND var_count = 0""",
     "r5_iterators": r"""SELECT p_partkey, 'Iterator function ' || it || '() detected' AS issue, 'Informational' AS severity, 'Manual review required: verify if native aggregation can be used' AS suggested_dax, 'Needs Review' AS validation_status
         FROM counts, (SELECT unnest(['SUMX', 'AVERAGEX', 'MINX', 'MAXX', 'COUNTX', 'RANKX']) AS it) WHERE regexp_matches(mask, '(?i)\b' || it || '\s*\(')""",
@@ -342,9 +342,9 @@ def g4_transitive_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE e AS ({B.EDGES}), u AS (SELECT * FROM ({B.USAGE}) WHERE l_partkey % 10 = 0),
-    walk AS (SELECT DISTINCT l_partkey AS root, l_partkey AS node, 0 AS level, CAST([] AS INT[]) AS at, 'M' || l_partkey AS path FROM u
-             UNION ALL SELECT root, e.dst, level + 1, list_append(at, e.n), path || ' -> ' || e.label FROM walk JOIN e ON walk.node = e.src),
-    best AS (SELECT root, node, min({{'level': level, 'at': at, 'path': path}}) AS b FROM walk WHERE node <> root GROUP BY ALL)
+    walk AS (SELECT DISTINCT l_partkey AS root, l_partkey AS node, 0 AS level, CAST([] AS INT[]) AS way, 'M' || l_partkey AS path FROM u
+             UNION ALL SELECT root, e.dst, level + 1, list_append(way, e.n), path || ' -> ' || e.label FROM walk JOIN e ON walk.node = e.src),
+    best AS (SELECT root, node, min({{'level': level, 'way': way, 'path': path}}) AS b FROM walk WHERE node <> root GROUP BY ALL)
     SELECT DISTINCT page_name, 'V' || visual_id AS visual_name, 'M' || l_partkey AS direct_object, 'M' || node AS indirect_object, b.path AS dependency_path, CAST(b.level AS INT) AS dependency_level
     FROM u JOIN best ON best.root = u.l_partkey""")
 def g5_usage_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,9 +390,9 @@ def j6_usage_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A model whose objects have shared names: tables alike but for case, measures and columns of one name.
-NAMES = """SELECT p_partkey, 'T' || CAST(p_size AS VARCHAR(9)) AS table_name, CASE p_partkey % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'M' ELSE 'C' END || CAST(floor(p_partkey / 4) AS VARCHAR(19)) AS name, CASE p_partkey % 3 WHEN 2 THEN 'Column' ELSE 'Measure' END AS kind FROM part"""
+NAMES = """SELECT p_partkey, 'T' || CAST(p_size AS VARCHAR(9)) AS table_name, CASE p_partkey % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'M' ELSE 'C' END || CAST(CAST(floor(p_partkey / 4) AS BIGINT) AS VARCHAR(19)) AS name, CASE p_partkey % 3 WHEN 2 THEN 'Column' ELSE 'Measure' END AS kind FROM part"""
 ASKED = """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 'column' WHEN 1 THEN 'bracket' ELSE 'table' END AS kind, 't' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR(9)) AS asked_table,
-    CASE l_linenumber % 3 WHEN 2 THEN 't' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR(9)) ELSE CASE l_suppkey % 2 WHEN 0 THEN ' m' ELSE 'c' END || CAST(floor(l_partkey / 4) AS VARCHAR(19)) END AS name FROM lineitem"""
+    CASE l_linenumber % 3 WHEN 2 THEN 't' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR(9)) ELSE CASE l_suppkey % 2 WHEN 0 THEN ' m' ELSE 'c' END || CAST(CAST(floor(l_partkey / 4) AS BIGINT) AS VARCHAR(19)) END AS name FROM lineitem"""
 
 
 def names_catalog(spark: SparkSession, sf_dir: str) -> resolve.Catalog:
@@ -567,7 +567,7 @@ def c2_c4_names_in_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assistant.contained(asked, names).select("conv_id", "turn", "name").distinct()
 
 
-@query(rf"""SELECT DISTINCT conv_id, turn, name FROM conversations, ({CATALOGUE}) WHERE name <> '' AND regexp_matches(lower(text), '\b' || regexp_escape(lower(name)) || '\b')""")
+@query(rf"""SELECT DISTINCT conv_id, turn, name FROM conversations, ({CATALOGUE}) WHERE name <> '' AND regexp_matches(lower(text), '(^|[^\pL\pN_])' || regexp_escape(lower(name)) || '($|[^\pL\pN_])')""")
 def c3_tables_in_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, names = bound_questions(spark, sf_dir)
     return assistant.whole_words(asked, names).select("conv_id", "turn", "name").distinct()
