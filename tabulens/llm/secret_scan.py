@@ -63,7 +63,8 @@ def scan(docs: DataFrame, repository: Column, owner: Column, copied: int = 3) ->
         F.monotonically_increasing_id().alias("rid"), "doc_id", repository.alias("repository"), owner.alias("owner"),
         *[spans_of(text, kind).alias(kind) for kind in KINDS],
     )
-    base = F.flatten(F.array(*[F.transform(kind, lambda x, k=k: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))) for k, kind in enumerate(KINDS)]))
+    spans = lambda kind: F.transform(kind, lambda x: F.struct(x["start"].alias("start"), F.lit(ORDER.index(kind)).alias("kind"), x["end"].alias("end")))
+    base = F.flatten(F.array(*[spans(kind) for kind in KINDS]))
     value = lambda x: F.struct((x["end"] - F.length(x["value"])).alias("start"), x["end"].alias("end"), F.sha2(x["value"], 256).alias("hash"), looks_random(x["value"]).alias("random"))
     values = F.array_distinct(F.flatten(F.array(*[F.transform(kind, value) for kind in KINDS])))
     found = cut(found.select("rid", "doc_id", "repository", "owner", F.array_sort(base).alias("base"), values.alias("values")))
