@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Bits of each dimension, and cuts of the curve at which rows are counted.
-BITS, CUTS = 6, 1023
+#: Bits of each dimension, bins over which a dimension's rows are counted, and cuts of the curve at which rows are.
+BITS, BINS, CUTS = 6, 4096, 1023
 
 
 def hilbert_index(dims: list[Column], bits: int) -> Column:
@@ -64,11 +64,38 @@ def bins(x: Column, cuts: list) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda a, s: F.when(x >= F.get(table, a + s - 1), a + s).otherwise(a))
 
 
-def quantiles(df: DataFrame, columns: list[str], cuts: int) -> list[list]:
-    """Approximate quantiles of each column: so many values, whatever the table's size."""
+def binned(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with each column replaced by its bin of BINS between its least and its largest value; null stays."""
+    ends = df.agg(*[f(c).alias(f"{c}_{f.__name__}") for c in columns for f in (F.min, F.max)]).first()
+
+    def place(c: str) -> Column:
+        lo, hi = ends[f"{c}_min"] or 0, ends[f"{c}_max"] or 0
+        return F.floor((F.col(c).cast("double") - float(lo)) * (BINS / (float(hi) - float(lo) + 1))).cast("int")
+
+    return df.withColumns({c: place(c) for c in columns})
+
+
+def equal_cuts(df: DataFrame, columns: list[str], cuts: int) -> list[list[int]]:
+    """For each binned column the bins at which its rows fall into cuts + 1 parts, near equal; exact counts, so
+    that they are the same however the rows are dealt. At most BINS rows a column come to the driver."""
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).alias("bin")) for i, c in enumerate(columns)]))
+    counts: list[list[tuple[int, int]]] = [[] for _ in columns]
+    for r in df.select(each).groupBy("column", "bin").count().filter("bin IS NOT NULL").collect():
+        counts[r["column"]].append((r["bin"], r["count"]))
+    out = []
+    for found in counts:
+        total, seen, at = sum(n for _, n in found), 0, []
+        for b, n in sorted(found):
+            seen += n
+            at += [b + 1] * (seen * (cuts + 1) // total - len(at))
+        out.append((at + [BINS + 1] * cuts)[:cuts])
+    return out
+
+
+def quantiles(df: DataFrame, column: str, cuts: int) -> list:
+    """Approximate quantiles of a column: so many values, whatever the table's size."""
     at = F.array(*[F.lit((i + 1) / (cuts + 1)) for i in range(cuts)])
-    row = df.agg(*[F.percentile_approx(c, at, 10 * (cuts + 1)).alias(c) for c in columns]).first()
-    return [list(row[c] or [0] * cuts) for c in columns]
+    return list(df.agg(F.percentile_approx(column, at, 10 * (cuts + 1))).first()[0] or [0] * cuts)
 
 
 def leading(text: Column) -> Column:
@@ -84,7 +111,7 @@ def shards(docs: DataFrame, count: int = 8) -> DataFrame:
     size is the text's bytes in UTF-8 plus 1, text_crc32 its checksum (null counts as empty). The
     rows in order of the curve are cut into count runs of which no two differ by more than one row
     (law `rows`); slot numbers a shard's rows from 0. The dimensions are source, language, size and
-    doc_id, each cut at its own quantiles; nulls come first. Rows of a cell follow a hash of doc_id
+    doc_id, each cut into parts of near equal counts; nulls come first. Rows of a cell follow a hash of doc_id
     and checksum, then doc_id, size and checksum; rows alike in all of these are interchangeable. An empty table
     gives an empty result; other columns are ignored.
     """
@@ -98,13 +125,14 @@ def shards(docs: DataFrame, count: int = 8) -> DataFrame:
             leading(F.col("source")).alias("source"),
         )
     )
-    dims = ["source", "lang", "size", "doc_id"]
-    at = quantiles(rows, dims, (1 << BITS) - 1)
+    dims = ["source", "lang", "bytes", "id"]
+    rows = binned(rows.withColumns({"bytes": F.col("size"), "id": F.col("doc_id")}), dims)
+    at = equal_cuts(rows, dims, (1 << BITS) - 1)
     spread = F.shiftright(F.xxhash64("doc_id", "text_crc32"), 25).bitwiseAND(F.lit((1 << 39) - 1))
     cell = hilbert_index([bins(F.col(d), a) for d, a in zip(dims, at, strict=True)], BITS)
     placed = cut(rows.select("doc_id", "size", "text_crc32", cell.alias("cell")).withColumn("place", F.col("cell") * (1 << 39) + spread))
     # Ranks without one task that sees all rows: rows before a run of the curve, plus the rank within it.
-    (edges,) = quantiles(placed, ["place"], CUTS)
+    edges = quantiles(placed, "place", CUTS)
     runs = placed.withColumn("run", bins(F.col("place"), edges))
     inside = "row_number() OVER (PARTITION BY run ORDER BY place, doc_id, size, text_crc32) - 1"
     per_run = runs.groupBy("run").count().selectExpr(  # CUTS + 1 rows at most
