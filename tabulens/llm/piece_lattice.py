@@ -15,7 +15,7 @@ from .common import cut
 from .vocabulary import SPACE, Vocabulary
 
 #: Units with more than this share of all occurrences are joined by broadcast; there are at most FREQUENT.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 19
 
 
 def units(text: Column, known: Vocabulary) -> Column:
@@ -49,29 +49,34 @@ def lattice(distinct: DataFrame, known: Vocabulary) -> DataFrame:
             F.coalesce("id", F.lit(known.unknown_id)).alias("id"),
         ).alias("edge"),
     )
-    return edges.groupBy("unit").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    return edges.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
 def best_path(edges: Column) -> Column:
     """array<struct<id, start>> of the path with the highest score. Every place has an edge into it.
 
-    The fold keeps, for each place, the best score and the edge that gave it. Of edges with equal
-    totals the one with the earliest start stays, which is the one that comes first.
+    The fold keeps, for each place, the best score and the edge that gave it; the place that edges
+    are leading to just now is kept apart until they are through, so that arrays grow once a place. Of
+    edges with equal totals the one with the earliest start stays, which is the one that comes first.
     """
     node = "struct<score:double,start:int,id:int>"
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(-1).alias("id"))).cast(f"array<{node}>")
-
-    def take(nodes: Column, e: Column) -> Column:
-        total = F.get(nodes, e["start"])["score"] + e["score"]
-        new = F.struct(total.alias("score"), e["start"].alias("start"), e["id"].alias("id"))
-        last = F.size(nodes) - 1
-        return (
-            F.when(e["end"] > last, F.array_append(nodes, new))
-            .when(total > F.get(nodes, last)["score"], F.array_append(F.slice(nodes, 1, last), new))
-            .otherwise(nodes)
-        )
-
-    nodes = F.aggregate(edges, first, take)
+    made = lambda score, start, id_: F.struct(score.alias("score"), start.alias("start"), id_.alias("id"))
+    root = made(F.lit(0.0), F.lit(0), F.lit(-1))
+    first = F.struct(F.array().cast(f"array<{node}>").alias("nodes"), F.lit(0).alias("end"), root.alias("best"))
+
+    def take(s: Column, e: Column) -> Column:
+        same = e["end"] == s["end"]
+        nodes = F.when(same, s["nodes"]).otherwise(F.array_append(s["nodes"], s["best"]))
+        grown = F.struct(nodes.alias("nodes"), e["end"].alias("end"), s["best"].alias("best"), same.alias("same"))
+        # One element, so that the grown state is made once and named.
+        return F.get(F.transform(F.array(grown), lambda g: step(g, e)), F.lit(0))
+
+    def step(g: Column, e: Column) -> Column:
+        total = F.get(g["nodes"], e["start"])["score"] + e["score"]
+        best = F.when(g["same"] & (total <= g["best"]["score"]), g["best"]).otherwise(made(total, e["start"], e["id"]))
+        return F.struct(g["nodes"].alias("nodes"), g["end"].alias("end"), best.alias("best"))
+
+    nodes = F.aggregate(edges, first, take, lambda s: F.array_append(s["nodes"], s["best"]))
     empty = F.array().cast("array<struct<id:int,start:int>>")
     start = F.struct((F.size(nodes) - 1).alias("at"), empty.alias("path"))
 
@@ -117,7 +122,7 @@ def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
     placed = rows.select("rid", F.posexplode("units").alias("place", "unit")).join(F.broadcast(near.withColumnRenamed("ids", "near_ids")), "unit", "left")
     rare = placed.filter("near_ids IS NULL").select("rid", "place", "unit").join(ids, "unit").select("rid", "place", "ids")
     common = placed.filter("near_ids IS NOT NULL").select("rid", "place", F.col("near_ids").alias("ids"))
-    whole = common.unionByName(rare).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("parts"))
+    whole = common.unionByName(rare).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("parts"))
     encoded = whole.select("rid", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
     return rows.drop("units").join(encoded, "rid", "left").select("doc_id", "text_sha256", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
