@@ -31,7 +31,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, and whether they decode to its text."""
-    return piece_lattice.encoded_corpus(docs)
+    return piece_lattice.encoded_corpus(docs, stored=True)
 
 
 STAGES = [

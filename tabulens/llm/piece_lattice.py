@@ -14,23 +14,28 @@ from . import vocabulary
 from .common import cut
 from .vocabulary import SPACE, Vocabulary
 
-#: Units with more than this share of all occurrences are joined by broadcast; there are at most FREQUENT.
-FREQUENT = 1 << 19
+#: Units with more than this share of all occurrences are joined by broadcast; there are at most FREQUENT,
+#: of at most SHORT characters.
+FREQUENT, SHORT = 1 << 20, 64
+#: Groups that a task of an aggregate holds before it sorts instead, and distinct units dealt to a task.
+GROUPS, UNITS = 1 << 16, 50_000
+#: Bits for a unit's place in its text.
+PLACE = 26
 
 
 def units(text: Column, known: Vocabulary) -> Column:
     """The text's units in order; none for null and empty texts."""
-    spaced = F.when(text != "", F.concat(F.lit(SPACE), F.translate(text, " ", SPACE)))
+    spaced = F.when(text != "", F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE))))
     return F.coalesce(F.regexp_extract_all(spaced, F.lit(known.units), F.lit(0)), F.array().cast("array<string>"))
 
 
 def piece_table(df: DataFrame, known: Vocabulary) -> DataFrame:
-    rows = [(p, i, float(s)) for p, (i, s) in known.pieces.items()]
-    return df.sparkSession.createDataFrame(rows, "piece string, id int, score double")
+    rows = [(p, i) for p, (i, _) in known.pieces.items()]
+    return df.sparkSession.createDataFrame(rows, "piece string, id int")
 
 
 def lattice(distinct: DataFrame, known: Vocabulary) -> DataFrame:
-    """(unit) -> (unit, edges): array<struct<end, start, score, id>> in order of end, then start.
+    """(unit) -> (unit, edges): array<long> in order of end, then start; see edge().
 
     Grouping needs no second shuffle: the pieces are broadcast (as many as the vocabulary has), so
     that the rows of a unit stay where the units were dealt.
@@ -40,19 +45,17 @@ def lattice(distinct: DataFrame, known: Vocabulary) -> DataFrame:
     pieces = starts.select("unit", "at", F.explode(F.sequence(F.lit(1), longest)).alias("n"))
     edges = pieces.withColumn("piece", F.substring("unit", F.col("at"), F.col("n"))).join(F.broadcast(piece_table(distinct, known)), "piece", "left")
     unknown = F.col("id").isNull() & (F.col("n") == 1)  # a character that is no piece: an edge of its own
-    edges = edges.filter(F.col("id").isNotNull() | unknown).select(
-        "unit",
-        F.struct(
-            (F.col("at") + F.col("n") - 1).alias("end"),
-            (F.col("at") - 1).alias("start"),
-            F.coalesce("score", F.lit(known.unknown_score)).alias("score"),
-            F.coalesce("id", F.lit(known.unknown_id)).alias("id"),
-        ).alias("edge"),
-    )
-    return edges.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    edges = edges.filter(F.col("id").isNotNull() | unknown)
+    made = edge(F.col("at") + F.col("n") - 1, F.col("n"), F.coalesce("id", F.lit(known.unknown_id)))
+    return edges.select("unit", made.alias("edge")).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
 
+def edge(end: Column, length: Column, id_: Column) -> Column:
+    """A lattice edge as one number, which sorts by end, then start: pieces have up to 255 characters and there are up to 2**24."""
+    return F.shiftleft(end.cast("long"), 32) + F.shiftleft((255 - length).cast("long"), 24) + id_
 
-def best_path(edges: Column) -> Column:
+
+def best_path(edges: Column, known: Vocabulary) -> Column:
     """array<struct<id, start>> of the path with the highest score. Every place has an edge into it.
 
     The fold keeps, for each place, the best score and the edge that gave it; the place that edges
@@ -63,17 +66,22 @@ def best_path(edges: Column) -> Column:
     made = lambda score, start, id_: F.struct(score.alias("score"), start.alias("start"), id_.alias("id"))
     root = made(F.lit(0.0), F.lit(0), F.lit(-1))
     first = F.struct(F.array().cast(f"array<{node}>").alias("nodes"), F.lit(0).alias("end"), root.alias("best"))
+    # One foldable literal, by id.
+    scores = F.split(F.lit(",".join(map(repr, known.scores))), ",").cast("array<double>")
 
     def take(s: Column, e: Column) -> Column:
-        same = e["end"] == s["end"]
+        end = F.shiftright(e, 32).cast("int")
+        start = (end - 255 + F.shiftright(e, 24).bitwiseAND(F.lit(255))).cast("int")
+        same = end == s["end"]
         nodes = F.when(same, s["nodes"]).otherwise(F.array_append(s["nodes"], s["best"]))
-        grown = F.struct(nodes.alias("nodes"), e["end"].alias("end"), s["best"].alias("best"), same.alias("same"))
+        id_ = e.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+        grown = F.struct(nodes.alias("nodes"), end.alias("end"), s["best"].alias("best"), same.alias("same"), start.alias("start"), id_.alias("id"))
         # One element, so that the grown state is made once and named.
-        return F.get(F.transform(F.array(grown), lambda g: step(g, e)), F.lit(0))
+        return F.get(F.transform(F.array(grown), step), F.lit(0))
 
-    def step(g: Column, e: Column) -> Column:
-        total = F.get(g["nodes"], e["start"])["score"] + e["score"]
-        best = F.when(g["same"] & (total <= g["best"]["score"]), g["best"]).otherwise(made(total, e["start"], e["id"]))
+    def step(g: Column) -> Column:
+        total = F.get(g["nodes"], g["start"])["score"] + F.get(scores, g["id"])
+        best = F.when(g["same"] & (total <= g["best"]["score"]), g["best"]).otherwise(made(total, g["start"], g["id"]))
         return F.struct(g["nodes"].alias("nodes"), g["end"].alias("end"), best.alias("best"))
 
     nodes = F.aggregate(edges, first, take, lambda s: F.array_append(s["nodes"], s["best"]))
@@ -90,7 +98,8 @@ def best_path(edges: Column) -> Column:
 
 def unit_ids(distinct: DataFrame, known: Vocabulary) -> DataFrame:
     """(unit) -> (unit, ids): the unit's piece ids; unknown characters give the ids of their bytes."""
-    paths = lattice(distinct, known).select("unit", best_path(F.col("edges")).alias("path"))
+    # Kept apart, so that the fold's result is made once though it is used more than once.
+    paths = lattice(distinct, known).select("unit", best_path(F.col("edges"), known).alias("path"))
     if not known.byte_ids:
         return paths.select("unit", F.transform("path", lambda x: x["id"]).alias("ids"))
     table = F.array(*[F.lit(i) for i in known.byte_ids])
@@ -102,29 +111,47 @@ def unit_ids(distinct: DataFrame, known: Vocabulary) -> DataFrame:
     return paths.select("unit", F.flatten(each).alias("ids"))
 
 
-def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
+def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH, stored: bool = False) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, text_sha256, ids array<int>.
 
     Whole texts are encoded; null and empty texts have no ids. A text is cut where no piece can
     reach across, and scores are summed within such a unit, so that long texts lose no precision.
     Rows that share a doc_id are encoded each by itself. An empty table gives an empty result; other
-    columns are ignored.
+    columns are ignored. A text of 2**26 units or more raises an error.
+
+    stored: docs is a table as it is read, whose rows come in the same order each time; others are
+    written to the shared folder first.
     """
+    docs = docs if stored else cut(docs.select("doc_id", "text"))
     known = vocabulary.load(path)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), units(F.col("text"), known).alias("units"))
-    counts = cut(docs.select(F.explode(units(F.col("text"), known)).alias("unit")).groupBy("unit").count())
-    ids = cut(unit_ids(counts.select("unit").repartition("unit"), known))
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS))
+    words = units(F.col("text"), known)
+    counts = cut(docs.select(F.explode(words).alias("unit")).groupBy("unit").count())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), counts.count() // UNITS + 1)
+    found = unit_ids(counts.select("unit").repartition(parts, "unit"), known)
+    # A piece as one number: its place within the unit, then its id.
+    bits = (len(known.names) - 1).bit_length()
+    number = F.transform("ids", lambda i, k: F.shiftleft(k.cast("long"), bits) + i)
+    numbers = cut(found.select("unit", number.alias("numbers")))
     total = counts.agg(F.sum("count").alias("total"))
-    # More than total / FREQUENT occurrences each, so at most FREQUENT units, short ones as a rule.
-    often = counts.join(F.broadcast(total), F.col("count") * FREQUENT > F.col("total")).filter("length(unit) <= 64").select("unit")
-    known_ids = ids.join(often, "unit")
-    near = cut(known_ids)
-    placed = rows.select("rid", F.posexplode("units").alias("place", "unit")).join(F.broadcast(near.withColumnRenamed("ids", "near_ids")), "unit", "left")
-    rare = placed.filter("near_ids IS NULL").select("rid", "place", "unit").join(ids, "unit").select("rid", "place", "ids")
-    common = placed.filter("near_ids IS NOT NULL").select("rid", "place", F.col("near_ids").alias("ids"))
-    whole = common.unionByName(rare).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("parts"))
-    encoded = whole.select("rid", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
-    return rows.drop("units").join(encoded, "rid", "left").select("doc_id", "text_sha256", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    # More than total / FREQUENT occurrences each, so at most FREQUENT units.
+    often = counts.join(F.broadcast(total), F.col("count") * FREQUENT > F.col("total")).filter(F.length("unit") <= SHORT).select("unit")
+    near = cut(numbers.join(F.broadcast(often), "unit", "left_semi"))
+
+    rid = F.monotonically_increasing_id().alias("rid")
+    fits = F.when(F.size(words) < 1 << PLACE, words).otherwise(F.raise_error(F.lit("a text has too many units")).cast("array<string>"))
+    # Numbered before the explode, which is a projection of its own.
+    placed = docs.select(rid, "text").select("rid", F.posexplode(fits).alias("place", "unit"))
+    at = F.shiftleft(F.col("place").cast("long"), 63 - PLACE)
+    common = placed.join(F.broadcast(near), "unit").select("rid", at.alias("at"), F.explode("numbers").alias("number"))
+    rare = placed.join(F.broadcast(near.select("unit")), "unit", "left_anti").join(numbers, "unit").select("rid", at.alias("at"), F.explode("numbers").alias("number"))
+    pieces = common.unionByName(rare).select("rid", (F.col("at") + F.col("number")).alias("piece"))
+    head = docs.select(rid, "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    # The pieces of a text come together in the task that reads it, before the shuffle.
+    whole = pieces.unionByName(head, allowMissingColumns=True).groupBy("rid").agg(F.collect_list("piece").alias("pieces"), F.max("doc_id").alias("doc_id"), F.max("text_sha256").alias("text_sha256"))
+    ids = F.transform(F.sort_array("pieces"), lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"))
+    return whole.select("doc_id", "text_sha256", ids.alias("ids"))
 
 
 def decode(ids: Column, path: str = vocabulary.DEFAULT_PATH) -> Column:
@@ -139,8 +166,8 @@ def decode(ids: Column, path: str = vocabulary.DEFAULT_PATH) -> Column:
     return F.substr(joined, F.lit(2))
 
 
-def encoded_corpus(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
+def encoded_corpus(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH, stored: bool = False) -> DataFrame:
     """(doc_id, n_pieces, ids, round_trip): round_trip says that decoding gives the text again."""
-    out = encode(docs, path)
+    out = encode(docs, path, stored)
     again = F.sha2(F.when(F.size("ids") > 0, decode(F.col("ids"), path)).otherwise(""), 256)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (again == F.col("text_sha256")).alias("round_trip"))

@@ -44,7 +44,7 @@ def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = piece_lattice.encoded_corpus(read(spark, sf_dir, "documents"))
+    found = piece_lattice.encoded_corpus(read(spark, sf_dir, "documents"), stored=True)
     return found.select("doc_id", "n_pieces", "ids", "round_trip")
 
 

@@ -25,10 +25,12 @@ UNITS = (rf"{SPACE}*[\p{{L}}\p{{M}}]+|{SPACE}*[^\p{{L}}\p{{M}}{SPACE}\n]+|{SPACE
 @dataclass(frozen=True)
 class Vocabulary:
     """pieces: piece to (id, score). units: a pattern, of Java and of the regex module, whose matches
-    make up any text, so that each can be segmented alone. byte_ids: id of each byte, or empty."""
+    make up any text, so that each can be segmented alone. byte_ids: id of each byte, or empty.
+    scores: by id, the unknown character's too."""
 
     pieces: dict[str, tuple[int, float]]
     names: tuple[str, ...]
+    scores: tuple[float, ...]
     byte_ids: tuple[int, ...]
     unknown_id: int
     unknown_score: float
@@ -53,9 +55,11 @@ def load(path: str = DEFAULT_PATH) -> Vocabulary:
             break
     else:
         raise ValueError("a piece crosses a space or a line end")
+    unknown = min(s for _, s in pieces.values()) - UNKNOWN_COST
+    scores = tuple(unknown if i == kind[2][0] else p.score for i, p in enumerate(proto.pieces))
     return Vocabulary(
-        pieces, tuple(p.piece for p in proto.pieces), tuple(kind[6]), kind[2][0],
-        min(s for _, s in pieces.values()) - UNKNOWN_COST, max(map(len, pieces)), units,
+        pieces, tuple(p.piece for p in proto.pieces), scores, tuple(kind[6]), kind[2][0],
+        unknown, max(map(len, pieces)), units,
     )
 
 
