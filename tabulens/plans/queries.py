@@ -348,8 +348,8 @@ def g4_transitive_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT DISTINCT page_name, 'V' || visual_id AS visual_name, 'M' || l_partkey AS direct_object, 'M' || node AS indirect_object, b.path AS dependency_path, CAST(b.level AS INT) AS dependency_level
     FROM u JOIN best ON best.root = u.l_partkey""")
 def g5_usage_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The uses of every tenth part: an argument of this example, whose SQL lists every path there is.
-    used = bound_usage(spark, sf_dir).filter("l_partkey % 10 = 0")
+    # Of every used part; the SQL, which lists every path there is, gives those of every tenth part.
+    used = bound_usage(spark, sf_dir)
     found = usage.lineage(usage.reached(used, bound_edges(spark, sf_dir)))
     return found.select("page_name", "visual_name", "direct_object", "indirect_object", "dependency_path", "dependency_level")
 
