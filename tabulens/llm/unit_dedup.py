@@ -1,4 +1,4 @@
-"""Substring dedup by hashing lines and the sentences within them.
+"""Substring dedup by hashing paragraphs, lines and the sentences within them.
 
 Units are normalised and their digests grouped over the whole corpus; the earliest occurrence by
 rank stays and all others are removed, with their places in the original text retained.
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh, small_batches
 
-#: Units of fewer words are left alone: they recur by chance.
-LEAST_WORDS = 8
 LINE = re.compile(r"[^\n]+")
 BREAK = re.compile(r"(?<=[.!?])\s+")
 
@@ -27,25 +25,41 @@ def normalised(unit: str) -> list[str]:
     return [w for w in (x.strip(".,;:!?\"'()[]|*#$%&") for x in unit.lower().split()) if w]
 
 
-def units(text: str, least: int = LEAST_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each line of at least so many words, and of each sentence of
-    such a line that has as many and is not all of it; places count code points."""
+def hashed(words: list[str]) -> bytes:
+    return hashlib.sha256(" ".join(words).encode()).digest()[:16]
+
+
+def units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of each line that is not blank, of each sentence of a line that has several,
+    and of each paragraph (lines between blank ones) that has several lines; places count code points.
+
+    There is no least length. A line of marks alone is compared by its marks. Sentences and lines
+    without words do not make several, so that a unit never has the words of one within it alone.
+    """
+    paragraphs, now = [], []
     for line in LINE.finditer(text):
         a, b = line.span()
         words = normalised(line[0])
-        if len(words) < least:
+        if not words and not line[0].strip():
             continue
-        yield a, b, len(words), hashlib.sha256(" ".join(words).encode()).digest()[:16]
+        if now and text.count("\n", now[-1][1], a) != 1:
+            paragraphs.append(now)
+            now = []
+        now.append((a, b, words))
+        yield a, b, len(words), hashed(words or line[0].split())
         ends = [*(m.end() for m in BREAK.finditer(text, a, b)), b]
-        parts = [(s, e) for s, e in zip([a, *ends], ends, strict=False) if s < e]
+        parts = [(s, e, normalised(text[s:e])) for s, e in zip([a, *ends], ends, strict=False) if s < e]
+        parts = [x for x in parts if x[2]]
         if len(parts) > 1:
-            for s, e in parts:
-                words = normalised(text[s:e])
-                if len(words) >= least:
-                    yield s, e, len(words), hashlib.sha256(" ".join(words).encode()).digest()[:16]
+            for s, e, words in parts:
+                yield s, e, len(words), hashed(words)
+    for lines in [*paragraphs, now]:
+        if sum(1 for *_, words in lines if words) > 1:
+            words = [w for *_, some in lines for w in some]
+            yield lines[0][0], lines[-1][1], len(words), hashed(words)
 
 
-def corpus_units(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+def corpus_units(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, words, digest): the units of every whole text; null counts as empty."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
@@ -56,7 +70,7 @@ def corpus_units(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
         for b in batches:
             rows, of = [], []
             for i, x in enumerate(b.column(1)):
-                found = list(units(x.as_py() or "", least))
+                found = list(units(x.as_py() or ""))
                 rows += found
                 of += [i] * len(found)
             columns = list(zip(*rows, strict=True)) or [()] * 4
@@ -65,37 +79,37 @@ def corpus_units(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, start int, end int, words int, digest binary")
 
 
-def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+def repeats(docs: DataFrame) -> DataFrame:
     """The units to remove, a row each: doc_id, start, end, words, digest, keep_id, keep_start, copies.
 
     A unit is removed if one with the same digest comes before it by (doc_id, start); keep_id and
-    keep_start name the first, copies counts all. Null doc_ids rank last. Sentences within a removed
-    line are not listed again. Units that share a doc_id and a place (rows repeated whole) are one
+    keep_start name the first, copies counts all. Null doc_ids rank last. Lines and sentences
+    within a removed unit are not listed again. Units that share a doc_id and a place (rows repeated whole) are one
     occurrence, so that a repeated row does not remove its own twin's text. Words are compared
     lower-cased and without marks at their ends. Digests have 128 bits. Empty or null texts have no
     units; an empty table gives an empty result; other columns are ignored.
     """
-    every = cut(corpus_units(docs, least))
+    every = cut(corpus_units(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start"))
     groups = cut(every.groupBy("digest").agg(first.alias("first"), F.count("*").alias("copies")).filter("copies > 1"))
     later = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start") > F.col("first")
     gone = every.join(groups, "digest").filter(later)
     found = gone.select("doc_id", "start", "end", "words", "digest", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"), "copies")
     found = cut(found.distinct())
-    # A removed line covers its sentences; they start within it, so that the line is the last unit at or
-    # before them that reaches further than they do.
+    # A removed paragraph covers its lines, a removed line its sentences; units nest, so that one is covered
+    # if any at or before its start reaches as far as it does.
     reach = "max(end) OVER (PARTITION BY doc_id ORDER BY start, end DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return found.withColumn("reach", F.expr(reach)).filter("reach IS NULL OR end > reach").drop("reach")
 
 
-def remove(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+def remove(docs: DataFrame) -> DataFrame:
     """The rows of docs with all their columns, the units that repeats() names cut out of text.
 
     Rows that share a doc_id are cut at the same places only if they are alike, so give rows
     distinct doc_ids. A text whose units all go becomes empty; null stays null.
     """
     key, holes = fresh(docs.columns, "key"), fresh(docs.columns, "holes")
-    spans = repeats(docs, least).groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(holes))
+    spans = repeats(docs).groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(holes))
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans[key]), "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     h = F.coalesce(F.col(holes), none)
