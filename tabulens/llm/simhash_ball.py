@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType
 from xxhash import xxh64_intdigest
 
 from .common import components, cut, fresh, small_batches
@@ -52,6 +54,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+@arrow_udf(LongType())
+def signed_fingerprint(text: pa.Array) -> pa.Array:
+    return pa.array(np.array([fingerprint(x.as_py()) for x in text], np.uint64).view(np.int64))
+
+
+def with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+    """docs with its texts' fingerprints as signed longs in one more column."""
+    small_batches(docs.sparkSession)
+    return docs.withColumn(name, signed_fingerprint("text"))
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(a, b) over distinct fingerprints (fp): pairs at most 2 bits apart, enough of them to
     connect whatever such pairs connect.
@@ -102,8 +115,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id names their component, so that one document of each group of
-    near copies stays, with all its columns; rows with a null doc_id stay only in a group of nulls."""
+    near copies stays, with all its columns; rows with a null doc_id stay only in a group of nulls.
+
+    Decided by doc_id and fingerprint, so that a row neither takes others of its doc_id along nor
+    those of another group; the rows of a group that share the doc_id which names it all stay.
+    """
     gone = near_duplicates(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    key = fresh(docs.columns, "key")
-    drop = cut(gone.select(F.col("doc_id").alias(key)).distinct())
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop[key]), "left_anti")
+    key, print_ = fresh(docs.columns, "key"), fresh(docs.columns, "fp")
+    other = fresh([*docs.columns, print_], "fp")
+    drop = cut(gone.select(F.col("doc_id").alias(key), F.col("fp").alias(other)).distinct())
+    rows = with_fingerprint(docs, print_)
+    return rows.join(drop, rows["doc_id"].eqNullSafe(drop[key]) & (rows[print_] == drop[other]), "left_anti").select(*docs.columns)
