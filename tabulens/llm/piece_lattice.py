@@ -111,6 +111,12 @@ def unit_ids(distinct: DataFrame, known: Vocabulary) -> DataFrame:
     return paths.select("unit", F.flatten(each).alias("ids"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with rid, a number of its own for each row, written once: numbers made anew in each
+    scan would depend on how the scan cuts its files, which changes with the cluster's cores."""
+    return cut(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"))
+
+
 def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH, stored: bool = False) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, text_sha256, ids array<int>.
 
@@ -119,10 +125,10 @@ def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH, stored: bool =
     Rows that share a doc_id are encoded each by itself. An empty table gives an empty result; other
     columns are ignored. A text of 2**26 units or more raises an error.
 
-    stored: docs is a table as it is read, whose rows come in the same order each time; others are
-    written to the shared folder first.
+    The rows are numbered and written to the shared folder once, whether docs is stored or not; stored
+    has no effect any more.
     """
-    docs = docs if stored else cut(docs.select("doc_id", "text"))
+    docs = numbered(docs)
     known = vocabulary.load(path)
     spark = docs.sparkSession
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS))
@@ -139,15 +145,13 @@ def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH, stored: bool =
     often = counts.join(F.broadcast(total), F.col("count") * FREQUENT > F.col("total")).filter(F.length("unit") <= SHORT).select("unit")
     near = cut(numbers.join(F.broadcast(often), "unit", "left_semi"))
 
-    rid = F.monotonically_increasing_id().alias("rid")
     fits = F.when(F.size(words) < 1 << PLACE, words).otherwise(F.raise_error(F.lit("a text has too many units")).cast("array<string>"))
-    # Numbered before the explode, which is a projection of its own.
-    placed = docs.select(rid, "text").select("rid", F.posexplode(fits).alias("place", "unit"))
+    placed = docs.select("rid", F.posexplode(fits).alias("place", "unit"))
     at = F.shiftleft(F.col("place").cast("long"), 63 - PLACE)
     common = placed.join(F.broadcast(near), "unit").select("rid", at.alias("at"), F.explode("numbers").alias("number"))
     rare = placed.join(F.broadcast(near.select("unit")), "unit", "left_anti").join(numbers, "unit").select("rid", at.alias("at"), F.explode("numbers").alias("number"))
     pieces = common.unionByName(rare).select("rid", (F.col("at") + F.col("number")).alias("piece"))
-    head = docs.select(rid, "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    head = docs.select("rid", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     # The pieces of a text come together in the task that reads it, before the shuffle.
     whole = pieces.unionByName(head, allowMissingColumns=True).groupBy("rid").agg(F.collect_list("piece").alias("pieces"), F.max("doc_id").alias("doc_id"), F.max("text_sha256").alias("text_sha256"))
     ids = F.transform(F.sort_array("pieces"), lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"))
