@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Bits of each dimension, bins over which a dimension's rows are counted, and cuts of the curve at which rows are.
-BITS, BINS, CUTS = 6, 4096, 1023
+#: Bits of each dimension, and cuts of the curve at which rows are ranked.
+BITS, CUTS = 6, 1023
 
 
 def hilbert_index(dims: list[Column], bits: int) -> Column:
@@ -64,32 +64,21 @@ def bins(x: Column, cuts: list) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda a, s: F.when(x >= F.get(table, a + s - 1), a + s).otherwise(a))
 
 
-def binned(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df with each column replaced by its bin of BINS between its least and its largest value; null stays."""
-    ends = df.agg(*[f(c).alias(f"{c}_{f.__name__}") for c in columns for f in (F.min, F.max)]).first()
+def parts(df: DataFrame, column: str, count: int) -> DataFrame:
+    """(value, part) of each distinct value of a column but null: the values in order, cut by exact counts of their
+    rows into count parts as near equal as whole values let them be; part is from 0 to count - 1.
 
-    def place(c: str) -> Column:
-        lo, hi = ends[f"{c}_min"] or 0, ends[f"{c}_max"] or 0
-        return F.floor((F.col(c).cast("double") - float(lo)) * (BINS / (float(hi) - float(lo) + 1))).cast("int")
-
-    return df.withColumns({c: place(c) for c in columns})
-
-
-def equal_cuts(df: DataFrame, columns: list[str], cuts: int) -> list[list[int]]:
-    """For each binned column the bins at which its rows fall into cuts + 1 parts, near equal; exact counts, so
-    that they are the same however the rows are dealt. At most BINS rows a column come to the driver."""
-    each = F.inline(F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).alias("bin")) for i, c in enumerate(columns)]))
-    counts: list[list[tuple[int, int]]] = [[] for _ in columns]
-    for r in df.select(each).groupBy("column", "bin").count().filter("bin IS NOT NULL").collect():
-        counts[r["column"]].append((r["bin"], r["count"]))
-    out = []
-    for found in counts:
-        total, seen, at = sum(n for _, n in found), 0, []
-        for b, n in sorted(found):
-            seen += n
-            at += [b + 1] * (seen * (cuts + 1) // total - len(at))
-        out.append((at + [BINS + 1] * cuts)[:cuts])
-    return out
+    Counts are per value, summed along ranges of values, so that no task sees all of them; the ranges only
+    spread the work, and the parts are the same however they or the rows fall.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    dealt = cut(counts.repartitionByRange("value").withColumn("range", F.spark_partition_id()))
+    ranges = dealt.groupBy("range").agg(F.sum("n").alias("n"))  # a row a range
+    starts = ranges.selectExpr("range", "sum(n) OVER (ORDER BY range) - n AS start", "sum(n) OVER () AS total")
+    inside = F.expr("sum(n) OVER (PARTITION BY range ORDER BY value) - n")
+    ranked = dealt.withColumn("inside", inside).join(F.broadcast(starts), "range")
+    # A value belongs where the middle of its rows does.
+    return ranked.selectExpr("value", f"CAST((2 * (start + inside) + n) * {count} div (2 * total) AS INT) AS part")
 
 
 def quantiles(df: DataFrame, column: str, cuts: int) -> list:
@@ -98,12 +87,6 @@ def quantiles(df: DataFrame, column: str, cuts: int) -> list:
     return list(df.agg(F.percentile_approx(column, at, 10 * (cuts + 1))).first()[0] or [0] * cuts)
 
 
-def leading(text: Column) -> Column:
-    """The first 7 bytes as a number, so that order by it is order of strings, as far as these bytes go."""
-    head = F.rpad(F.substring(F.hex(F.encode(F.substring(F.coalesce(text, F.lit("")), 1, 7), "UTF-8")), 1, 14), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
-
-
 def shards(docs: DataFrame, count: int = 8) -> DataFrame:
     """One row for each row of docs(doc_id, text, lang, source): doc_id, size, text_crc32, cell,
     shard, slot.
@@ -111,7 +94,7 @@ def shards(docs: DataFrame, count: int = 8) -> DataFrame:
     size is the text's bytes in UTF-8 plus 1, text_crc32 its checksum (null counts as empty). The
     rows in order of the curve are cut into count runs of which no two differ by more than one row
     (law `rows`); slot numbers a shard's rows from 0. The dimensions are source, language, size and
-    doc_id, each cut into parts of near equal counts; nulls come first. Rows of a cell follow a hash of doc_id
+    doc_id, each cut by the rank of its whole values into parts of near equal counts; nulls come first. Rows of a cell follow a hash of doc_id
     and checksum, then doc_id, size and checksum; rows alike in all of these are interchangeable. An empty table
     gives an empty result; other columns are ignored.
     """
@@ -121,15 +104,18 @@ def shards(docs: DataFrame, count: int = 8) -> DataFrame:
             "doc_id",
             (F.octet_length(body).cast("long") + 1).alias("size"),
             F.crc32(body.cast("binary")).alias("text_crc32"),
-            leading(F.col("lang")).alias("lang"),
-            leading(F.col("source")).alias("source"),
+            "lang",
+            "source",
         )
     )
-    dims = ["source", "lang", "bytes", "id"]
-    rows = binned(rows.withColumns({"bytes": F.col("size"), "id": F.col("doc_id")}), dims)
-    at = equal_cuts(rows, dims, (1 << BITS) - 1)
+    # Part 0 is null's.
+    dims = {"source": "source", "lang": "lang", "bytes": "size", "id": "doc_id"}
+    for dim, column in dims.items():
+        found = parts(rows.select(column), column, (1 << BITS) - 1)
+        found = found.select(F.col("value").alias(f"{dim}_value"), (F.col("part") + 1).alias(f"{dim}_part"))
+        rows = rows.join(found, rows[column] == found[f"{dim}_value"], "left").drop(f"{dim}_value")
     spread = F.shiftright(F.xxhash64("doc_id", "text_crc32"), 25).bitwiseAND(F.lit((1 << 39) - 1))
-    cell = hilbert_index([bins(F.col(d), a) for d, a in zip(dims, at, strict=True)], BITS)
+    cell = hilbert_index([F.coalesce(f"{d}_part", F.lit(0)) for d in dims], BITS)
     placed = cut(rows.select("doc_id", "size", "text_crc32", cell.alias("cell")).withColumn("place", F.col("cell") * (1 << 39) + spread))
     # Ranks without one task that sees all rows: rows before a run of the curve, plus the rank within it.
     edges = quantiles(placed, "place", CUTS)
