@@ -2,25 +2,34 @@
 
 The corpus's distinct units of text are cut into substrings of bounded length, which an equi-join
 with the piece table turns into lattice edges; the edges of a unit are grouped and folded, in order
-of their ends, into the best path. Documents then take the pieces of their units.
+of their ends, into the best path. Documents then take the pieces of their units: those of the most
+common units from a broadcast of bounded size, those of all others by joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from . import vocabulary
-from .common import cut
+from .common import cut, discard, small_batches
 from .vocabulary import SPACE, Vocabulary
 
-#: Units with more than this share of all occurrences are joined by broadcast; there are at most FREQUENT,
-#: of at most SHORT characters.
-FREQUENT, SHORT = 1 << 20, 64
-#: Groups that a task of an aggregate holds before it sorts instead, and distinct units dealt to a task.
-GROUPS, UNITS = 1 << 16, 50_000
-#: Bits for a unit's place in its text.
-PLACE = 26
+#: Bytes of common units and their ids that are broadcast at most, whatever the corpus, and the longest of them in bytes.
+COMMON_BYTES, COMMON_UNIT = 32 << 20, 64
+#: Distinct units dealt to a task, whose groups fit into GROUPS, beyond which an aggregate sorts.
+UNITS, GROUPS = 50_000, 1 << 17
+#: Places of a unit that are folded as one block, so that no array grows with the whole of a long unit.
+BLOCK = 256
 
 
 def units(text: Column, known: Vocabulary) -> Column:
@@ -35,19 +44,19 @@ def piece_table(df: DataFrame, known: Vocabulary) -> DataFrame:
 
 
 def lattice(distinct: DataFrame, known: Vocabulary) -> DataFrame:
-    """(unit) -> (unit, edges): array<long> in order of end, then start; see edge().
+    """distinct (unit, count) -> with edges: array<long> in order of end, then start; see edge().
 
     Grouping needs no second shuffle: the pieces are broadcast (as many as the vocabulary has), so
     that the rows of a unit stay where the units were dealt.
     """
-    starts = distinct.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at"))
+    starts = distinct.select("unit", "count", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at"))
     longest = F.least(F.lit(known.longest), F.length("unit") - F.col("at") + 1)
-    pieces = starts.select("unit", "at", F.explode(F.sequence(F.lit(1), longest)).alias("n"))
+    pieces = starts.select("*", F.explode(F.sequence(F.lit(1), longest)).alias("n"))
     edges = pieces.withColumn("piece", F.substring("unit", F.col("at"), F.col("n"))).join(F.broadcast(piece_table(distinct, known)), "piece", "left")
     unknown = F.col("id").isNull() & (F.col("n") == 1)  # a character that is no piece: an edge of its own
     edges = edges.filter(F.col("id").isNotNull() | unknown)
     made = edge(F.col("at") + F.col("n") - 1, F.col("n"), F.coalesce("id", F.lit(known.unknown_id)))
-    return edges.select("unit", made.alias("edge")).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    return edges.select("unit", "count", made.alias("edge")).groupBy("unit", "count").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
 def edge(end: Column, length: Column, id_: Column) -> Column:
@@ -55,107 +64,208 @@ def edge(end: Column, length: Column, id_: Column) -> Column:
     return F.shiftleft(end.cast("long"), 32) + F.shiftleft((255 - length).cast("long"), 24) + id_
 
 
+def end_of(e: Column) -> Column:
+    return F.shiftright(e, 32).cast("int")
+
+
+def start_of(e: Column) -> Column:
+    return (F.shiftright(e, 32) - 255 + F.shiftright(e, 24).bitwiseAND(F.lit(255))).cast("int")
+
+
+def id_of(e: Column) -> Column:
+    return e.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value made once and named, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def blocks(items: Column) -> Column:
+    """An array cut into runs of BLOCK; none of an empty one."""
+    count = F.ceil(F.size(items) / BLOCK).cast("int")
+    return F.transform(F.filter(F.sequence(F.lit(0), count), lambda k: k < count), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
+
+
 def best_path(edges: Column, known: Vocabulary) -> Column:
-    """array<struct<id, start>> of the path with the highest score. Every place has an edge into it.
+    """array<long> of the edges on the path with the highest score. Every place has an edge into it.
 
-    The fold keeps, for each place, the best score and the edge that gave it; the place that edges
-    are leading to just now is kept apart until they are through, so that arrays grow once a place. Of
-    edges with equal totals the one with the earliest start stays, which is the one that comes first.
+    A place's edges are taken together: each adds its score to the best of the place where it starts. Of equal
+    totals the earliest start stays, which comes first. The fold keeps the best scores of as many places
+    as a piece is long, and the edge chosen for each place, a block of places at a time.
     """
-    node = "struct<score:double,start:int,id:int>"
-    made = lambda score, start, id_: F.struct(score.alias("score"), start.alias("start"), id_.alias("id"))
-    root = made(F.lit(0.0), F.lit(0), F.lit(-1))
-    first = F.struct(F.array().cast(f"array<{node}>").alias("nodes"), F.lit(0).alias("end"), root.alias("best"))
     # One foldable literal, by id.
     scores = F.split(F.lit(",".join(map(repr, known.scores))), ",").cast("array<double>")
+    ends = F.filter(F.sequence(F.lit(1), F.size(edges)), lambda i: (i == 1) | (end_of(F.get(edges, i - 1)) != end_of(F.get(edges, i - 2))))
+    places = bound(ends, lambda at: F.transform(at, lambda a, i: F.slice(edges, a, F.coalesce(F.get(at, i + 1), F.size(edges) + 1) - a)))
+    longs = F.array().cast("array<bigint>")
 
-    def take(s: Column, e: Column) -> Column:
-        end = F.shiftright(e, 32).cast("int")
-        start = (end - 255 + F.shiftright(e, 24).bitwiseAND(F.lit(255))).cast("int")
-        same = end == s["end"]
-        nodes = F.when(same, s["nodes"]).otherwise(F.array_append(s["nodes"], s["best"]))
-        id_ = e.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
-        grown = F.struct(nodes.alias("nodes"), end.alias("end"), s["best"].alias("best"), same.alias("same"), start.alias("start"), id_.alias("id"))
-        # One element, so that the grown state is made once and named.
-        return F.get(F.transform(F.array(grown), step), F.lit(0))
+    def choose(s: Column, x: Column, base: Column) -> Column:
+        totals = F.transform(x, lambda e: F.get(s["best"], start_of(e) - base) + F.get(scores, id_of(e)))
+        return bound(totals, lambda t: F.struct(F.array_append(s["best"], F.array_max(t)).alias("best"), F.array_append(s["picks"], F.get(x, (F.array_position(t, F.array_max(t)) - 1).cast("int"))).alias("picks")))
 
-    def step(g: Column) -> Column:
-        total = F.get(g["nodes"], g["start"])["score"] + F.get(scores, g["id"])
-        best = F.when(g["same"] & (total <= g["best"]["score"]), g["best"]).otherwise(made(total, g["start"], g["id"]))
-        return F.struct(g["nodes"].alias("nodes"), g["end"].alias("end"), best.alias("best"))
+    def forward(s: Column, block: Column) -> Column:
+        inner = F.aggregate(block, F.struct(s["best"].alias("best"), longs.alias("picks")), lambda t, x: choose(t, x, s["base"]))
+        cut_off = lambda t: F.greatest(F.size(t["best"]) - known.longest, F.lit(0))
+        return bound(inner, lambda t: F.struct(
+            F.slice(t["best"], cut_off(t) + 1, F.lit(known.longest)).alias("best"), (s["base"] + cut_off(t)).alias("base"), F.array_append(s["picks"], t["picks"]).alias("picks"),
+        ))
 
-    nodes = F.aggregate(edges, first, take, lambda s: F.array_append(s["nodes"], s["best"]))
-    empty = F.array().cast("array<struct<id:int,start:int>>")
-    start = F.struct((F.size(nodes) - 1).alias("at"), empty.alias("path"))
+    first = F.struct(F.array(F.lit(0.0)).alias("best"), F.lit(0).alias("base"), F.array().cast("array<array<bigint>>").alias("picks"))
+    picks = F.aggregate(blocks(places), first, forward, lambda s: s["picks"])
 
-    def back(s: Column, x: Column) -> Column:  # x is the node of place s.at, or one that the path skips
-        hop = F.struct(x["node"]["start"].alias("at"), F.array_append(s["path"], F.struct(x["node"]["id"].alias("id"), x["node"]["start"].alias("start"))).alias("path"))
-        return F.when(x["place"] == s["at"], hop).otherwise(s)
+    def hop(s: Column, e: Column) -> Column:  # e is the choice of one place, from the last to the first; the path skips some
+        return F.when(end_of(e) == s["at"], F.struct(start_of(e).alias("at"), F.array_append(s["path"], e).alias("path"))).otherwise(s)
 
-    placed = F.reverse(F.slice(F.transform(nodes, lambda n, i: F.struct(i.alias("place"), n.alias("node"))), 2, F.greatest(F.size(nodes) - 1, F.lit(0))))
-    return F.reverse(F.aggregate(placed, start, back)["path"])
+    def back(s: Column, block: Column) -> Column:
+        inner = F.aggregate(F.reverse(block), F.struct(s["at"].alias("at"), longs.alias("path")), hop)
+        return bound(inner, lambda t: F.struct(t["at"].alias("at"), F.array_append(s["path"], t["path"]).alias("path")))
+
+    last = F.struct(end_of(F.get(edges, F.size(edges) - 1)).alias("at"), F.array().cast("array<array<bigint>>").alias("path"))
+    return F.reverse(F.flatten(F.aggregate(F.reverse(picks), last, back, lambda s: s["path"])))
 
 
 def unit_ids(distinct: DataFrame, known: Vocabulary) -> DataFrame:
-    """(unit) -> (unit, ids): the unit's piece ids; unknown characters give the ids of their bytes."""
+    """(unit, count) -> (unit, count, ids): the unit's piece ids; unknown characters give the ids of their bytes."""
     # Kept apart, so that the fold's result is made once though it is used more than once.
-    paths = lattice(distinct, known).select("unit", best_path(F.col("edges"), known).alias("path"))
+    paths = lattice(distinct, known).select("unit", "count", best_path(F.col("edges"), known).alias("path"))
     if not known.byte_ids:
-        return paths.select("unit", F.transform("path", lambda x: x["id"]).alias("ids"))
+        return paths.select("unit", "count", F.transform("path", id_of).alias("ids"))
     table = F.array(*[F.lit(i) for i in known.byte_ids])
-    as_bytes = lambda x: F.transform(
-        F.regexp_extract_all(F.hex(F.encode(F.substring(F.col("unit"), x["start"] + 1, F.lit(1)), "UTF-8")), F.lit(".."), F.lit(0)),
+    as_bytes = lambda e: F.transform(
+        F.regexp_extract_all(F.hex(F.encode(F.substring(F.col("unit"), end_of(e), F.lit(1)), "UTF-8")), F.lit(".."), F.lit(0)),
         lambda h: F.get(table, F.conv(h, 16, 10).cast("int")),
     )
-    each = F.transform("path", lambda x: F.when(x["id"] == known.unknown_id, as_bytes(x)).otherwise(F.array(x["id"])))
-    return paths.select("unit", F.flatten(each).alias("ids"))
+    each = F.transform("path", lambda e: F.when(id_of(e) == known.unknown_id, as_bytes(e)).otherwise(F.array(id_of(e))))
+    return paths.select("unit", "count", F.flatten(each).alias("ids"))
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session while a table is written, put back after it."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def common_units(pieces: DataFrame) -> tuple[pa.Table, int]:
+    """The most common units and their ids, in order of count: as many as COMMON_BYTES hold, of COMMON_UNIT bytes at most each.
+
+    Also the least count of those chosen; all units of that count are among them, but for the long ones. Sums are
+    taken a class of counts at a time, of which there are a few hundred.
+    """
+    fits = F.octet_length("unit") <= COMMON_UNIT
+    held = F.octet_length("unit") + 4 * F.size("ids") + 16
+    level = F.floor(F.log2("count") * 8)
+    classes = pieces.filter(fits).groupBy(level.alias("level")).agg(F.sum(held).alias("bytes"), F.min("count").alias("least"))
+    sums, least = 0, 1 << 62
+    for r in classes.orderBy(F.desc("level")).collect():
+        sums += r["bytes"]
+        if sums > COMMON_BYTES:
+            break
+        least = r["least"]
+    return pieces.filter(fits & (F.col("count") >= least)).orderBy(F.desc("count"), "unit").select("unit", "ids").toArrow(), least
+
+
+class Places:
+    """The common units in the tasks: each has its place in the broadcast."""
+
+    def __init__(self, spark: SparkSession, table: pa.Table) -> None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.data = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+    def table(self) -> tuple[pa.Array, pa.Array]:
+        t = pa.ipc.open_stream(pa.py_buffer(self.data.value)).read_all()
+        return tuple(c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in t.columns)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with rid, a number of its own for each row, written once: numbers made anew in each
-    scan would depend on how the scan cuts its files, which changes with the cluster's cores."""
-    return cut(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"))
+def found(words: pa.Array, known: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of a batch, where each row's begin and end in them, and each word's place among those known, or -1."""
+    at = words.offsets.to_numpy() - words.offsets[0].as_py()
+    flat = words.flatten().cast(known.type)
+    return flat, at, pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy()
 
 
-def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH, stored: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, text_sha256, ids array<int>.
 
     Whole texts are encoded; null and empty texts have no ids. A text is cut where no piece can
     reach across, and scores are summed within such a unit, so that long texts lose no precision.
     Rows that share a doc_id are encoded each by itself. An empty table gives an empty result; other
-    columns are ignored. A text of 2**26 units or more raises an error.
+    columns are ignored.
 
-    The rows are numbered and written to the shared folder once, whether docs is stored or not; stored
-    has no effect any more.
+    Rows need no numbers of their own: what a text lacks besides the common units is found by the text's
+    digest, so that scans may be cut anew, and copies share it. Documents move once, as the places of their
+    units, compressed.
     """
-    docs = numbered(docs)
     known = vocabulary.load(path)
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS))
+    small_batches(spark)
     words = units(F.col("text"), known)
     counts = cut(docs.select(F.explode(words).alias("unit")).groupBy("unit").count())
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), counts.count() // UNITS + 1)
-    found = unit_ids(counts.select("unit").repartition(parts, "unit"), known)
-    # A piece as one number: its place within the unit, then its id.
-    bits = (len(known.names) - 1).bit_length()
-    number = F.transform("ids", lambda i, k: F.shiftleft(k.cast("long"), bits) + i)
-    numbers = cut(found.select("unit", number.alias("numbers")))
-    total = counts.agg(F.sum("count").alias("total"))
-    # More than total / FREQUENT occurrences each, so at most FREQUENT units.
-    often = counts.join(F.broadcast(total), F.col("count") * FREQUENT > F.col("total")).filter(F.length("unit") <= SHORT).select("unit")
-    near = cut(numbers.join(F.broadcast(often), "unit", "left_semi"))
-
-    fits = F.when(F.size(words) < 1 << PLACE, words).otherwise(F.raise_error(F.lit("a text has too many units")).cast("array<string>"))
-    placed = docs.select("rid", F.posexplode(fits).alias("place", "unit"))
-    at = F.shiftleft(F.col("place").cast("long"), 63 - PLACE)
-    common = placed.join(F.broadcast(near), "unit").select("rid", at.alias("at"), F.explode("numbers").alias("number"))
-    rare = placed.join(F.broadcast(near.select("unit")), "unit", "left_anti").join(numbers, "unit").select("rid", at.alias("at"), F.explode("numbers").alias("number"))
-    pieces = common.unionByName(rare).select("rid", (F.col("at") + F.col("number")).alias("piece"))
-    head = docs.select("rid", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    # The pieces of a text come together in the task that reads it, before the shuffle.
-    whole = pieces.unionByName(head, allowMissingColumns=True).groupBy("rid").agg(F.collect_list("piece").alias("pieces"), F.max("doc_id").alias("doc_id"), F.max("text_sha256").alias("text_sha256"))
-    ids = F.transform(F.sort_array("pieces"), lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"))
-    return whole.select("doc_id", "text_sha256", ids.alias("ids"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(counts.count() / UNITS))
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS)):
+        pieces = cut(unit_ids(counts.repartition(parts, "unit"), known))
+    discard(counts)
+    table, least = common_units(pieces)
+    places = Places(spark, table)
+
+    @arrow_udf("array<string>")
+    def others(words: pa.Array) -> pa.Array:
+        """The row's distinct units that are not broadcast, in order."""
+        flat, at, place = found(words, places.table()[0])
+        rare = np.flatnonzero(place < 0)
+        row = np.searchsorted(at, rare, "right") - 1
+        out = [set() for _ in range(len(words))]
+        for i, unit in zip(row.tolist(), flat.take(pa.array(rare)).to_pylist(), strict=True):
+            out[i].add(unit)
+        return pa.array(map(sorted, out), pa.list_(pa.string()))
+
+    @arrow_udf("binary")
+    def body(words: pa.Array) -> pa.Array:
+        """The places of the row's units; those beyond the broadcast count on in the order of others()."""
+        known = places.table()[0]
+        flat, at, place = found(words, known)
+        pack, out = zstandard.ZstdCompressor(level=1).compress, []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            own = place[a:b].astype(np.int32)
+            rare = np.flatnonzero(own < 0)
+            if len(rare):
+                units = flat.slice(a, b - a).take(pa.array(rare)).to_pylist()
+                order = {u: k for k, u in enumerate(sorted(set(units)), len(known))}
+                own[rare] = [order[u] for u in units]
+            # Byte by byte, as the high ones repeat.
+            out.append(pack(np.ascontiguousarray(own.view(np.uint8).reshape(-1, 4).T).tobytes()))
+        return pa.array(out, pa.binary())
+
+    @arrow_udf("array<int>")
+    def put_together(bodies: pa.Array, own: pa.Array) -> pa.Array:
+        """The ids of each row's units: of the broadcast ones, and of its own, which come in the order of others()."""
+        known, ids = places.table()
+        unpack, out = zstandard.ZstdDecompressor().decompress, []
+        own_at = own.offsets.to_numpy()
+        for i, b in enumerate(bodies):
+            place = np.ascontiguousarray(np.frombuffer(unpack(b.as_py()), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+            out.append(np.where(place < len(known), place, place + (own_at[i] - own_at[0])))
+        lists = pa.concat_arrays([ids, own.flatten()])
+        taken = lists.take(pa.array(np.concatenate(out)))
+        ends = np.r_[0, np.cumsum(pc.list_value_length(taken).to_numpy(zero_copy_only=False))]
+        at = np.r_[0, np.cumsum([len(x) for x in out])]
+        return pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), taken.flatten())
+
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    rare = docs.select(digest.alias("digest"), F.explode(others(words)).alias("unit"))
+    beyond = pieces.filter((F.col("count") < least) | (F.octet_length("unit") > COMMON_UNIT)).select("unit", "ids")
+    # Of a text that has copies, each unit once: as many as the text has.
+    fills = rare.join(beyond, "unit").groupBy("digest").agg(F.array_sort(F.collect_set(F.struct("unit", "ids"))).alias("own"))
+    whole = docs.select("doc_id", digest.alias("digest"), body(words).alias("body")).join(fills, "digest", "left")
+    own = F.coalesce(F.transform("own", lambda x: x["ids"]), F.array().cast("array<array<int>>"))
+    return whole.select("doc_id", F.lower(F.hex("digest")).alias("text_sha256"), put_together("body", own).alias("ids"))
 
 
 def decode(ids: Column, path: str = vocabulary.DEFAULT_PATH) -> Column:
@@ -170,8 +280,8 @@ def decode(ids: Column, path: str = vocabulary.DEFAULT_PATH) -> Column:
     return F.substr(joined, F.lit(2))
 
 
-def encoded_corpus(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH, stored: bool = False) -> DataFrame:
+def encoded_corpus(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
     """(doc_id, n_pieces, ids, round_trip): round_trip says that decoding gives the text again."""
-    out = encode(docs, path, stored)
+    out = encode(docs, path)
     again = F.sha2(F.when(F.size("ids") > 0, decode(F.col("ids"), path)).otherwise(""), 256)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (again == F.col("text_sha256")).alias("round_trip"))
