@@ -8,34 +8,86 @@ common units from a broadcast of bounded size, those of all others by joins.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import vocabulary
-from .common import cut, discard, small_batches
+from .common import cut, small_batches
 from .vocabulary import SPACE, Vocabulary
 
 #: Bytes of common units and their ids that are broadcast at most, whatever the corpus, and the longest of them in bytes.
 COMMON_BYTES, COMMON_UNIT = 32 << 20, 64
-#: Distinct units dealt to a task, whose groups fit into GROUPS, beyond which an aggregate sorts.
-UNITS, GROUPS = 50_000, 1 << 17
+#: Units that a task of the aggregate holds before it sorts instead.
+GROUPS = 1 << 18
 #: Places of a unit that are folded as one block, so that no array grows with the whole of a long unit.
 BLOCK = 256
 
 
-def units(text: Column, known: Vocabulary) -> Column:
-    """The text's units in order; none for null and empty texts."""
-    spaced = F.when(text != "", F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE))))
-    return F.coalesce(F.regexp_extract_all(spaced, F.lit(known.units), F.lit(0)), F.array().cast("array<string>"))
+class Units:
+    """The units of a batch of texts, in order; none for null and empty texts. Each distinct word of the batch is split once.
+
+    A text is cut into words at its spaces, as units begin at one; where several spaces meet, or marks of space are
+    written out, the whole text counts as a word.
+    """
+
+    def __init__(self, texts: pa.Array, split: Callable[[str], list[str]]) -> None:
+        texts = pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts)
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)), pc.starts_with(texts, " "))
+        words = pc.split_pattern(pc.if_else(odd, pc.replace_substring(texts, " ", SPACE), texts), " ")
+        coded = words.flatten().dictionary_encode()
+        self.word = coded.indices.to_numpy()
+        parts = [split(SPACE + w) for w in coded.dictionary.to_pylist()]
+        self.flat = pa.array([u for part in parts for u in part], pa.string())
+        self.sizes = np.fromiter(map(len, parts), np.int32, len(parts))
+        words_at = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))]
+        self.at = np.r_[0, np.cumsum(self.sizes[self.word])][words_at]
+
+    def counts(self) -> list[pa.Array]:
+        """Distinct units, and how often each occurs."""
+        coded = self.flat.dictionary_encode()
+        often = np.repeat(np.bincount(self.word, minlength=len(self.sizes)), self.sizes)
+        n = np.bincount(coded.indices.to_numpy(), often, len(coded.dictionary))
+        return [coded.dictionary, pa.array(n.astype(np.int64))]
+
+    def places(self, known: pa.Array) -> tuple[np.ndarray, list[str]]:
+        """The place among those known of each unit of the texts, or -1 less its place in a sorted list of all others, and that list."""
+        place = pc.fill_null(pc.index_in(self.flat, value_set=known), -1).to_numpy().astype(np.int32)
+        rare = np.flatnonzero(place < 0)
+        units = self.flat.take(pa.array(rare)).to_pylist()
+        others = sorted(set(units))
+        code = {u: -1 - k for k, u in enumerate(others)}
+        place[rare] = [code[u] for u in units]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(self.sizes)].astype(np.int32)), pa.array(place))
+        return lists.take(pa.array(self.word)).flatten().to_numpy(), others
+
+    def rows(self, known: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+        """For each text the places of its units, the distinct ones of those not known, and the list that these count on in."""
+        place, others = self.places(known)
+        for a, b in zip(self.at[:-1], self.at[1:], strict=True):
+            own = place[a:b]
+            yield own, np.unique(-1 - own[own < 0]), others
+
+
+def corpus_units(docs: DataFrame, known: Vocabulary) -> DataFrame:
+    """(unit, count): the distinct units of all texts of docs."""
+    small_batches(docs.sparkSession)
+    pattern = known.units
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = regex.compile(pattern).findall
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(Units(b.column(0), split).counts(), ["unit", "count"])
+
+    return docs.select("text").mapInArrow(run, "unit string, count long").groupBy("unit").agg(F.sum("count").alias("count"))
 
 
 def piece_table(df: DataFrame, known: Vocabulary) -> DataFrame:
@@ -65,17 +117,18 @@ def edge(end: Column, length: Column, id_: Column) -> Column:
 
 
 def end_of(e: Column) -> Column:
-    return F.shiftright(e, 32).cast("int")
-
-
-def start_of(e: Column) -> Column:
-    return (F.shiftright(e, 32) - 255 + F.shiftright(e, 24).bitwiseAND(F.lit(255))).cast("int")
+    return F.shiftright(e, 32)
 
 
 def id_of(e: Column) -> Column:
     return e.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
 
 
+def back_of(e: Column) -> Column:
+    """255 less the length."""
+    return F.shiftright(e, 24).bitwiseAND(F.lit(255))
+
+
 def bound(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value), with value made once and named, however often it is used."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
@@ -96,26 +149,30 @@ def best_path(edges: Column, known: Vocabulary) -> Column:
     """
     # One foldable literal, by id.
     scores = F.split(F.lit(",".join(map(repr, known.scores))), ",").cast("array<double>")
-    ends = F.filter(F.sequence(F.lit(1), F.size(edges)), lambda i: (i == 1) | (end_of(F.get(edges, i - 1)) != end_of(F.get(edges, i - 2))))
-    places = bound(ends, lambda at: F.transform(at, lambda a, i: F.slice(edges, a, F.coalesce(F.get(at, i + 1), F.size(edges) + 1) - a)))
+    # A place's last edge is that of a single character, which every place has.
+    ends = F.filter(F.sequence(F.lit(1), F.size(edges)), lambda i: F.get(edges, i - 1).bitwiseAND(F.lit(255 << 24)) == 254 << 24)
+    before = lambda at, i: F.coalesce(F.get(at, i - 1), F.lit(0))
+    places = bound(ends, lambda at: F.transform(at, lambda a, i: F.slice(edges, before(at, i) + 1, a - before(at, i))))
     longs = F.array().cast("array<bigint>")
+    mask = F.lit((1 << 24) - 1).cast("long")
 
-    def choose(s: Column, x: Column, base: Column) -> Column:
-        totals = F.transform(x, lambda e: F.get(s["best"], start_of(e) - base) + F.get(scores, id_of(e)))
-        return bound(totals, lambda t: F.struct(F.array_append(s["best"], F.array_max(t)).alias("best"), F.array_append(s["picks"], F.get(x, (F.array_position(t, F.array_max(t)) - 1).cast("int"))).alias("picks")))
+    def choose(s: Column, x: Column) -> Column:
+        totals = F.transform(x, lambda e: F.get(s["best"], back_of(e) + s["skip"]) + F.get(scores, e.bitwiseAND(mask)))
+        return bound(totals, lambda t: F.struct(
+            F.array_append(s["best"], F.array_max(t)).alias("best"), (s["skip"] + 1).alias("skip"), F.array_append(s["picks"], F.get(x, F.array_position(t, F.array_max(t)) - 1)).alias("picks"),
+        ))
 
     def forward(s: Column, block: Column) -> Column:
-        inner = F.aggregate(block, F.struct(s["best"].alias("best"), longs.alias("picks")), lambda t, x: choose(t, x, s["base"]))
-        cut_off = lambda t: F.greatest(F.size(t["best"]) - known.longest, F.lit(0))
-        return bound(inner, lambda t: F.struct(
-            F.slice(t["best"], cut_off(t) + 1, F.lit(known.longest)).alias("best"), (s["base"] + cut_off(t)).alias("base"), F.array_append(s["picks"], t["picks"]).alias("picks"),
-        ))
+        # The place where an edge begins lies its length before the end of the best scores.
+        start = F.struct(s["best"].alias("best"), (F.size(s["best"]) - 255).cast("long").alias("skip"), longs.alias("picks"))
+        kept = lambda t: F.slice(t["best"], F.greatest(F.size(t["best"]) - known.longest, F.lit(0)) + 1, F.lit(known.longest))
+        return bound(F.aggregate(block, start, choose), lambda t: F.struct(kept(t).alias("best"), F.array_append(s["picks"], t["picks"]).alias("picks")))
 
-    first = F.struct(F.array(F.lit(0.0)).alias("best"), F.lit(0).alias("base"), F.array().cast("array<array<bigint>>").alias("picks"))
+    first = F.struct(F.array(F.lit(0.0)).alias("best"), F.array().cast("array<array<bigint>>").alias("picks"))
     picks = F.aggregate(blocks(places), first, forward, lambda s: s["picks"])
 
     def hop(s: Column, e: Column) -> Column:  # e is the choice of one place, from the last to the first; the path skips some
-        return F.when(end_of(e) == s["at"], F.struct(start_of(e).alias("at"), F.array_append(s["path"], e).alias("path"))).otherwise(s)
+        return F.when(end_of(e) == s["at"], F.struct((end_of(e) - 255 + back_of(e)).alias("at"), F.array_append(s["path"], e).alias("path"))).otherwise(s)
 
     def back(s: Column, block: Column) -> Column:
         inner = F.aggregate(F.reverse(block), F.struct(s["at"].alias("at"), longs.alias("path")), hop)
@@ -133,7 +190,7 @@ def unit_ids(distinct: DataFrame, known: Vocabulary) -> DataFrame:
         return paths.select("unit", "count", F.transform("path", id_of).alias("ids"))
     table = F.array(*[F.lit(i) for i in known.byte_ids])
     as_bytes = lambda e: F.transform(
-        F.regexp_extract_all(F.hex(F.encode(F.substring(F.col("unit"), end_of(e), F.lit(1)), "UTF-8")), F.lit(".."), F.lit(0)),
+        F.regexp_extract_all(F.hex(F.encode(F.substring(F.col("unit"), end_of(e).cast("int"), F.lit(1)), "UTF-8")), F.lit(".."), F.lit(0)),
         lambda h: F.get(table, F.conv(h, 16, 10).cast("int")),
     )
     each = F.transform("path", lambda e: F.when(id_of(e) == known.unknown_id, as_bytes(e)).otherwise(F.array(id_of(e))))
@@ -184,13 +241,6 @@ class Places:
         return tuple(c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in t.columns)
 
 
-def found(words: pa.Array, known: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """All words of a batch, where each row's begin and end in them, and each word's place among those known, or -1."""
-    at = words.offsets.to_numpy() - words.offsets[0].as_py()
-    flat = words.flatten().cast(known.type)
-    return flat, at, pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy()
-
-
 def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, text_sha256, ids array<int>.
 
@@ -204,41 +254,25 @@ def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
     units, compressed.
     """
     known = vocabulary.load(path)
-    spark = docs.sparkSession
-    small_batches(spark)
-    words = units(F.col("text"), known)
-    counts = cut(docs.select(F.explode(words).alias("unit")).groupBy("unit").count())
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(counts.count() / UNITS))
+    spark, pattern = docs.sparkSession, known.units
     with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS)):
-        pieces = cut(unit_ids(counts.repartition(parts, "unit"), known))
-    discard(counts)
+        pieces = cut(unit_ids(corpus_units(docs, known), known))
     table, least = common_units(pieces)
     places = Places(spark, table)
 
     @arrow_udf("array<string>")
-    def others(words: pa.Array) -> pa.Array:
-        """The row's distinct units that are not broadcast, in order."""
-        flat, at, place = found(words, places.table()[0])
-        rare = np.flatnonzero(place < 0)
-        row = np.searchsorted(at, rare, "right") - 1
-        out = [set() for _ in range(len(words))]
-        for i, unit in zip(row.tolist(), flat.take(pa.array(rare)).to_pylist(), strict=True):
-            out[i].add(unit)
-        return pa.array(map(sorted, out), pa.list_(pa.string()))
+    def others(texts: pa.Array) -> pa.Array:
+        """The text's distinct units that are not broadcast, in order."""
+        rows = Units(texts, regex.compile(pattern).findall).rows(places.table()[0])
+        return pa.array([[units[k] for k in rare.tolist()] for _, rare, units in rows], pa.list_(pa.string()))
 
     @arrow_udf("binary")
-    def body(words: pa.Array) -> pa.Array:
-        """The places of the row's units; those beyond the broadcast count on in the order of others()."""
-        known = places.table()[0]
-        flat, at, place = found(words, known)
-        pack, out = zstandard.ZstdCompressor(level=1).compress, []
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            own = place[a:b].astype(np.int32)
-            rare = np.flatnonzero(own < 0)
+    def body(texts: pa.Array) -> pa.Array:
+        """The places of the text's units; those beyond the broadcast count on in the order of others()."""
+        common, out, pack = places.table()[0], [], zstandard.ZstdCompressor(level=1).compress
+        for own, rare, _ in Units(texts, regex.compile(pattern).findall).rows(common):
             if len(rare):
-                units = flat.slice(a, b - a).take(pa.array(rare)).to_pylist()
-                order = {u: k for k, u in enumerate(sorted(set(units)), len(known))}
-                own[rare] = [order[u] for u in units]
+                own = np.where(own < 0, len(common) + np.searchsorted(rare, -1 - own), own).astype(np.int32)
             # Byte by byte, as the high ones repeat.
             out.append(pack(np.ascontiguousarray(own.view(np.uint8).reshape(-1, 4).T).tobytes()))
         return pa.array(out, pa.binary())
@@ -253,17 +287,19 @@ def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
             place = np.ascontiguousarray(np.frombuffer(unpack(b.as_py()), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
             out.append(np.where(place < len(known), place, place + (own_at[i] - own_at[0])))
         lists = pa.concat_arrays([ids, own.flatten()])
-        taken = lists.take(pa.array(np.concatenate(out)))
+        taken = lists.take(pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
         ends = np.r_[0, np.cumsum(pc.list_value_length(taken).to_numpy(zero_copy_only=False))]
-        at = np.r_[0, np.cumsum([len(x) for x in out])]
+        at = np.cumsum([0, *map(len, out)])
         return pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), taken.flatten())
 
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    rare = docs.select(digest.alias("digest"), F.explode(others(words)).alias("unit"))
+    key = F.substring(digest, 1, 16).alias("key")
+    rare = docs.select(key, F.posexplode(others("text")).alias("k", "unit"))
     beyond = pieces.filter((F.col("count") < least) | (F.octet_length("unit") > COMMON_UNIT)).select("unit", "ids")
-    # Of a text that has copies, each unit once: as many as the text has.
-    fills = rare.join(beyond, "unit").groupBy("digest").agg(F.array_sort(F.collect_set(F.struct("unit", "ids"))).alias("own"))
-    whole = docs.select("doc_id", digest.alias("digest"), body(words).alias("body")).join(fills, "digest", "left")
+    # Dealt by text before they are put together: there is nothing to combine before that. Of a text that has copies, each unit once.
+    dealt = rare.join(beyond, "unit").select("key", "k", "ids").repartition("key")
+    fills = dealt.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("k", "ids"))).alias("own"))
+    whole = docs.select("doc_id", key, digest.alias("digest"), body("text").alias("body")).join(fills, "key", "left")
     own = F.coalesce(F.transform("own", lambda x: x["ids"]), F.array().cast("array<array<int>>"))
     return whole.select("doc_id", F.lower(F.hex("digest")).alias("text_sha256"), put_together("body", own).alias("ids"))
 

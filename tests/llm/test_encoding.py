@@ -1,10 +1,10 @@
 """Token counts and encoding against the tokenizer library itself, run as a unigram model."""
 
 import random
+from collections import Counter
 
 import pytest
 import sentencepiece
-from pyspark.sql import functions as F
 
 from tabulens.llm import piece_lattice, token_count, vocabulary
 
@@ -60,8 +60,10 @@ def test_every_unit_of_the_test_tables(spark, library):
     """Ids and counts of each distinct unit are what the library gives for it alone, and short texts' as a whole."""
     known = vocabulary.load()
     texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    found = texts.select(F.explode(piece_lattice.units(F.col("text"), known)).alias("unit")).distinct().withColumn("count", F.lit(1))
+    found = piece_lattice.corpus_units(texts, known)
     counter = token_count.Counter(known)
+    every = Counter(u for r in texts.collect() if r["text"] for u in counter.split("▁" + r["text"].replace(" ", "▁")))
+    assert {r["unit"]: r["count"] for r in found.collect()} == every
     rows = piece_lattice.unit_ids(found, known).collect()
     assert len(rows) > 50_000
     # The library puts a mark of space before a text: a unit has it already, or else is asked for behind a line end.
