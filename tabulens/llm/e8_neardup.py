@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
-
-#: Least cosine of a link; tables; lattices whose cells make up a key; neighbouring cells probed.
-LEAST, TABLES, LATTICES, PROBES = 0.9, 16, 2, 6
-#: Lattice units in a unit of projected distance. With these parameters a pair whose cosine is just LEAST meets
-#: with probability 0.92, one of 0.92 with 0.99, and from 0.95 on all but surely; unrelated vectors share a cell
-#: of a table about once in two million pairs, to which more lattices are the remedy in far larger corpora.
-SCALE = 0.65
+from .common import components, cut, setting
+
+#: Least cosine of a link; neighbouring cells probed; lattice units in a unit of projected distance.
+LEAST, PROBES, SCALE = 0.9, 6, 0.65
+#: By number of distinct vectors, tables and the lattices whose cells make up a key. A pair whose cosine is just LEAST
+#: meets with probability 0.92, one of 0.92 with 0.99, and from 0.95 on all but surely. Unrelated vectors share a cell of a table
+#: about once in 2**21 pairs with two lattices, and once in 2**31 with three, which need more tables for the same pairs to meet; so
+#: chance meetings of a vector stay within some hundreds up to 2**34 vectors.
+SIZES = ((1 << 24, 16, 2), (1 << 62, 80, 3))
 #: Most vectors of a cell that meet as one block, and vectors hashed at once.
 BLOCK, CHUNK = 1024, 2048
 
@@ -69,21 +70,22 @@ class Lattice:
     mixers: np.ndarray
 
     @staticmethod
-    def of(dimension: int) -> Lattice:
+    def of(dimension: int, tables: int, lattices: int) -> Lattice:
         rng = np.random.default_rng(11)
-        return Lattice(rng.standard_normal((TABLES, LATTICES, dimension, 8)) * SCALE, rng.integers(1, 1 << 62, (LATTICES, 8), dtype=np.int64) | 1)
+        return Lattice(rng.standard_normal((tables, lattices, dimension, 8)) * SCALE, rng.integers(1, 1 << 62, (lattices, 8), dtype=np.int64) | 1)
 
     def codes(self, y: np.ndarray) -> np.ndarray:
         """(n, tables, 1 + PROBES): keys of each vector's own cell and of its probes, as longs.
 
         Probes change one lattice's point to a neighbour: of all, those to which the vector is nearest.
         """
-        out = np.empty((len(y), TABLES, 1 + PROBES), np.int64)
+        tables, lattices = self.projections.shape[:2]
+        out = np.empty((len(y), tables, 1 + PROBES), np.int64)
         with np.errstate(over="ignore"):
             steps = [(2 * ROOTS).astype(np.int64) @ m for m in self.mixers]
-            for t in range(TABLES):
+            for t in range(tables):
                 key, gain = np.full(len(y), t, np.int64) * np.int64(0x9E3779B97F4A7C1), []
-                for k in range(LATTICES):
+                for k in range(lattices):
                     x = y @ self.projections[t, k]
                     c = decode_e8(x)
                     key += (2 * c).astype(np.int64) @ self.mixers[k]
@@ -95,6 +97,8 @@ class Lattice:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, whose square may be out of range."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -113,8 +117,13 @@ def unpacked(x: bytes) -> np.ndarray:
     return np.frombuffer(x, x[:1].decode(), offset=1).astype(np.float64)
 
 
-def hashed(vectors: DataFrame) -> DataFrame:
-    """(vec_id, rep): distinct usable vectors -> (vec_id, vector binary, codes binary)."""
+def plan(vectors: int) -> tuple[int, int]:
+    """Tables and lattices for so many distinct vectors."""
+    return next((t, k) for most, t, k in SIZES if vectors <= most)
+
+
+def hashed(vectors: DataFrame, tables: int, lattices: int) -> DataFrame:
+    """(rep, embedding), usable vectors -> (rep, vector binary, codes binary, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Lattice] = {}
@@ -127,7 +136,7 @@ def hashed(vectors: DataFrame) -> DataFrame:
                     by_size.setdefault(len(x), []).append((i, x))
                 for d, rows in by_size.items():
                     y = np.stack([x for _, x in rows])
-                    codes = made.setdefault(d, Lattice.of(d)).codes(unit(y)).reshape(len(y), -1) + np.int64(d)
+                    codes = made.setdefault(d, Lattice.of(d, tables, lattices)).codes(unit(y)).reshape(len(y), -1) + np.int64(d)
                     at = pa.array([i for i, _ in rows])
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(at), pa.array([packed(r) for r in y]), pa.array([c.tobytes() for c in codes]), pa.array(list(codes))], ["rep", "vector", "codes", "keys"]
@@ -136,7 +145,7 @@ def hashed(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "rep long, vector binary, codes binary, keys array<long>")
 
 
-def block_links(ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, codes: np.ndarray, table: int, left: np.ndarray, right: np.ndarray, home: np.ndarray, same: bool) -> pd.DataFrame:
+def block_links(ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, codes: np.ndarray, table: int, left: np.ndarray, right: np.ndarray, home: np.ndarray, same: bool) -> list[np.ndarray] | None:
     """Links between the rows left and right of a block of a cell: for each row the number of
     vectors linked, counting a pair only in the first cell in which it meets, and the smallest id
     that links lead to within the block. No pair leaves this function."""
@@ -148,17 +157,16 @@ def block_links(ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, codes: np.nda
     i, j = (part[at] for part, at in zip((left, right), np.nonzero(near), strict=True))
     other = ids[i] != ids[j]
     i, j = i[other], j[other]
+    if not len(i):
+        return None
     # A pair that meets in an earlier table, or in both own cells of this one, has been counted once elsewhere.
     fresh = np.ones(len(i), bool)
-    for t in range(table + 1):
-        a, b = codes[i, t], codes[j, t]
-        to_a, to_b = (b == a[:, :1]).any(axis=1), (a == b[:, :1]).any(axis=1)  # in a's own cell, in b's
-        if t < table:
-            fresh &= ~(to_a | to_b)
-        else:
-            here_a = home[i]
-            both = to_a & to_b & (a[:, 0] != b[:, 0])
-            fresh &= ~both | (here_a == (ids[i] < ids[j]))
+    for k in range(0, len(i), CHUNK):
+        p, q = i[k : k + CHUNK], j[k : k + CHUNK]
+        a, b = codes[p, : table + 1], codes[q, : table + 1]
+        to_a, to_b = (b == a[:, :, :1]).any(axis=2), (a == b[:, :, :1]).any(axis=2)  # in a's own cell, in b's
+        both = to_a[:, table] & to_b[:, table] & (a[:, table, 0] != b[:, table, 0])
+        fresh[k : k + CHUNK] = ~(to_a | to_b)[:, :table].any(axis=1) & (~both | (home[p] == (ids[p] < ids[q])))
     n = np.bincount(i, fresh * sizes[j], len(ids)) + np.bincount(j, fresh * sizes[i], len(ids))
     label = ids.copy()
     while True:
@@ -168,7 +176,8 @@ def block_links(ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, codes: np.nda
         if (low == label).all():
             break
         label = low
-    return pd.DataFrame({"rep": ids, "n": n.astype(np.int64), "label": label})[(n > 0) | (label != ids)]
+    some = (n > 0) | (label != ids)
+    return [ids[some], n[some].astype(np.int64), label[some]]
 
 
 def links(reps: DataFrame) -> DataFrame:
@@ -191,24 +200,28 @@ def links(reps: DataFrame) -> DataFrame:
     dealt = full.repartition("table", "key", "p", "q").sortWithinPartitions("table", "key", "p", "q", "rep")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def work(g: pd.DataFrame) -> pd.DataFrame:
-            x = np.stack([unpacked(bytes(v)) for v in g["vector"]])
-            codes = np.stack([np.frombuffer(v, np.int64) for v in g["codes"]]).reshape(len(g), -1, per)
-            p, q, mine = g["p"].iloc[0], g["q"].iloc[0], g["mine"].to_numpy()
-            left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
-            return block_links(g["rep"].to_numpy(), g["size"].to_numpy(), x, codes, g["table"].iloc[0], left, right, g["home"].to_numpy(bool), p == q)
+        def work(g: dict, at: slice) -> list[np.ndarray] | None:
+            x = np.stack([unpacked(v) for v in g["vector"][at]])
+            codes = np.stack([np.frombuffer(v, np.int64) for v in g["codes"][at]]).reshape(len(x), -1, per)
+            table, p, q = (g[c][at.start] for c in ("table", "p", "q"))
+            left, right = np.flatnonzero(g["mine"][at] == p), np.flatnonzero(g["mine"][at] == q)
+            return block_links(g["rep"][at], g["size"][at], x, codes, table, left, right, g["home"][at].astype(bool), p == q)
+
+        def cells(b: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+            g = {c: b[c].to_numpy() for c in b.columns}
+            found = [out for s, e in zip(starts[:-1], starts[1:], strict=True) if e - s > 1 and (out := work(g, slice(s, e))) is not None]
+            if found:
+                yield pd.DataFrame(dict(zip(("rep", "n", "label"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
         rest = None
         for b in batches:
-            rest = b if rest is None else pd.concat([rest, b])
+            rest = b if rest is None else pd.concat([rest, b], ignore_index=True)
             keys = rest[["table", "key", "p", "q"]].to_numpy()
             starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1]
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                if e - s > 1:
-                    yield work(rest.iloc[s:e])
-            rest = rest.iloc[starts[-1] :]
-        if rest is not None and len(rest) > 1:
-            yield work(rest)
+            yield from cells(rest, starts)
+            rest = rest.iloc[starts[-1] :].reset_index(drop=True)
+        if rest is not None:
+            yield from cells(rest, np.array([0, len(rest)]))
 
     return dealt.mapInPandas(run, "rep long, n long, label long")
 
@@ -225,15 +238,16 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     of them that is found is measured in the tests.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    batches = lambda: setting(vectors.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)
     good &= ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
     classes = rows.filter("good").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
     classes = cut(classes)
-    reps = cut(hashed(classes.select("rep", "embedding")).join(classes.groupBy("rep").agg(F.sum("size").alias("size")), "rep"))
-    found = cut(links(reps))
+    tables, lattices = plan(classes.count())
+    with batches():
+        reps = cut(hashed(classes.select("rep", "embedding"), tables, lattices).join(classes.groupBy("rep").agg(F.sum("size").alias("size")), "rep"))
+        found = cut(links(reps))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     groups = components(found.selectExpr("rep AS a", "label AS b"))
     per_rep = classes.join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")

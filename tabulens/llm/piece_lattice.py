@@ -9,7 +9,6 @@ common units from a broadcast of bounded size, those of all others by joins.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import vocabulary
-from .common import cut, small_batches
+from .common import cut, setting, small_batches
 from .vocabulary import SPACE, Vocabulary
 
 #: Bytes of common units and their ids that are broadcast at most, whatever the corpus, and the longest of them in bytes.
@@ -197,17 +196,6 @@ def unit_ids(distinct: DataFrame, known: Vocabulary) -> DataFrame:
     return paths.select("unit", "count", F.flatten(each).alias("ids"))
 
 
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A setting of the session while a table is written, put back after it."""
-    before = spark.conf.get(key)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def common_units(pieces: DataFrame) -> tuple[pa.Table, int]:
     """The most common units and their ids, in order of count: as many as COMMON_BYTES hold, of COMMON_UNIT bytes at most each.
 

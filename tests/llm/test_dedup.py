@@ -176,6 +176,28 @@ def test_embedding_edge_cases(spark):
     assert e8_neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_finite_size(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.1e200]), (3, [5e-324, 5e-324]), (4, [1e-200, 1.05e-200]), (5, [-1e200, 1e200])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in e8_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
+
+
+@pytest.mark.parametrize("size", [0, 1])
+@pytest.mark.parametrize(("low", "high", "least"), [(0.9, 0.92, 0.9), (0.92, 0.95, 0.97)])
+def test_recall_by_cosine(size, low, high, least):
+    """Pairs of each band meet in some table, whatever the number of vectors that the tables are for."""
+    _, tables, lattices = e8_neardup.SIZES[size]
+    rng = np.random.default_rng(5)
+    n = 1200
+    a, b = e8_neardup.unit(rng.standard_normal((n, 64))), rng.standard_normal((n, 64))
+    b = e8_neardup.unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    c = rng.uniform(low, high, (n, 1))
+    lattice = e8_neardup.Lattice.of(64, tables, lattices)
+    x, y = lattice.codes(a), lattice.codes(c * a + np.sqrt(1 - c * c) * b)
+    met = ((x == y[:, :, :1]) | (y == x[:, :, :1])).any(axis=(1, 2))
+    assert met.mean() >= least, met.mean()
+
+
 def test_embedding_blocks_count_once(spark, monkeypatch):
     """A cell of many sub-blocks gives the same counts as brute force."""
     monkeypatch.setattr(e8_neardup, "BLOCK", 16)
