@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh, small_batches
 
+#: Most units that are met by broadcast.
+HOT = 4096
 LINE = re.compile(r"[^\n]+")
 BREAK = re.compile(r"(?<=[.!?])\s+")
 
@@ -60,57 +62,68 @@ def units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
 
 
 def corpus_units(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, words, digest): the units of every whole text; null counts as empty."""
+    """docs(rid, doc_id, mark, text) -> (rid, doc_id, mark, start, end, words, digest): the units of every whole text; null counts as empty."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "end", "words", "digest"]
+        names = ["rid", "doc_id", "mark", "start", "end", "words", "digest"]
         types = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for b in batches:
             rows, of = [], []
-            for i, x in enumerate(b.column(1)):
+            for i, x in enumerate(b.column(3)):
                 found = list(units(x.as_py() or ""))
                 rows += found
                 of += [i] * len(found)
             columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, start int, end int, words int, digest binary")
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(3)), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
+
+    return docs.select("rid", "doc_id", "mark", "text").mapInArrow(run, f"rid long, doc_id {kind.simpleString()}, mark long, start int, end int, words int, digest binary")
+
+
+def repeats_of_rows(rows: DataFrame) -> DataFrame:
+    """repeats(), for docs(rid, doc_id, text) whose rids are written and of one row each; with the rid."""
+    every = cut(corpus_units(rows.withColumn("mark", F.xxhash64("text"))))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "rid", "start")
+    groups = cut(every.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).filter("copies > 1"))
+    # Units in more than a share of 1 / HOT of all occurrences are HOT at most, and meet theirs by broadcast.
+    total = every.agg(F.count("*").alias("total"))
+    hot = cut(groups.join(F.broadcast(total), F.col("copies") * HOT > F.col("total")).drop("total"))
+    by_hot = every.join(F.broadcast(hot), "digest")
+    others = every.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
+    gone = by_hot.unionByName(others.join(groups.join(F.broadcast(hot.select("digest")), "digest", "left_anti"), "digest")).filter(rank > F.col("first"))
+    found = cut(gone.select("rid", "doc_id", "start", "end", "words", "digest", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"), "copies"))
+    # A removed paragraph covers its lines, a removed line its sentences; units nest, so that one is covered
+    # if any at or before its start reaches as far as it does.
+    reach = "max(end) OVER (PARTITION BY rid ORDER BY start, end DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return found.withColumn("reach", F.expr(reach)).filter("reach IS NULL OR end > reach").drop("reach")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """The units to remove, a row each: doc_id, start, end, words, digest, keep_id, keep_start, copies.
 
-    A unit is removed if one with the same digest comes before it by (doc_id, start); keep_id and
-    keep_start name the first, copies counts all. Null doc_ids rank last. Lines and sentences
-    within a removed unit are not listed again. Units that share a doc_id and a place (rows repeated whole) are one
-    occurrence, so that a repeated row does not remove its own twin's text. Words are compared
+    A unit is removed if one with the same digest comes before it: in a row before its own, or before it in its row.
+    Rows go by doc_id, null last; of rows that share a doc_id, or have none, by a hash of the text, and a row repeated
+    whole comes after its twin, which of the two being the same. keep_id and keep_start name the first, copies counts all.
+    Lines and sentences within a removed unit are not listed again. Words are compared
     lower-cased and without marks at their ends. Digests have 128 bits. Empty or null texts have no
     units; an empty table gives an empty result; other columns are ignored.
     """
-    every = cut(corpus_units(docs))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start"))
-    groups = cut(every.groupBy("digest").agg(first.alias("first"), F.count("*").alias("copies")).filter("copies > 1"))
-    later = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start") > F.col("first")
-    gone = every.join(groups, "digest").filter(later)
-    found = gone.select("doc_id", "start", "end", "words", "digest", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"), "copies")
-    found = cut(found.distinct())
-    # A removed paragraph covers its lines, a removed line its sentences; units nest, so that one is covered
-    # if any at or before its start reaches as far as it does.
-    reach = "max(end) OVER (PARTITION BY doc_id ORDER BY start, end DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    return found.withColumn("reach", F.expr(reach)).filter("reach IS NULL OR end > reach").drop("reach")
+    return repeats_of_rows(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")).drop("rid")
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """The rows of docs with all their columns, the units that repeats() names cut out of text.
 
-    Rows that share a doc_id are cut at the same places only if they are alike, so give rows
-    distinct doc_ids. A text whose units all go becomes empty; null stays null.
+    Rows are numbered and written once, so that each loses its own units, whether doc_ids are shared, null or
+    not. A text whose units all go becomes empty; null stays null. An empty table stays so.
     """
-    key, holes = fresh(docs.columns, "key"), fresh(docs.columns, "holes")
-    spans = repeats(docs).groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(holes))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans[key]), "left")
+    rid, key, holes = (fresh(docs.columns, x) for x in ("rid", "key", "holes"))
+    rows = cut(docs.withColumn(rid, F.monotonically_increasing_id()))
+    spans = repeats_of_rows(rows.select(F.col(rid).alias("rid"), "doc_id", "text"))
+    spans = spans.groupBy(F.col("rid").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(holes))
+    joined = rows.join(spans, rows[rid] == spans[key], "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     h = F.coalesce(F.col(holes), none)
     starts = F.concat(F.array(F.lit(0)), F.transform(h, lambda x: x["end"]))

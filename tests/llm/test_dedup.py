@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -213,14 +214,32 @@ def test_embedding_blocks_count_once(spark, monkeypatch):
 
 
 def slow_repeats(rows):
+    """(row, start, end, first's doc_id, first's start); rows of one doc_id, or of none, go by the hash that Spark gives their texts."""
+    mark = lambda t: 42 if t is None else (h := xxhash.xxh64(t.encode(), seed=42).intdigest()) - (h >> 63 << 64)
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, mark(rows[k][1])))
     first, gone = {}, []
-    spots = sorted({(i, s, e, n, d) for i, t in rows for s, e, n, d in unit_dedup.units(t or "")})
-    for i, s, e, n, d in spots:
-        if d in first:
-            gone.append((i, s, e, *first[d]))
-        else:
-            first[d] = (i, s)
-    return {g for g in gone if not any(o[0] == g[0] and o[1] <= g[1] and g[2] <= o[2] and o[1:3] != g[1:3] for o in gone)}
+    for k in order:
+        i, t = rows[k]
+        for s, e, _, d in sorted(unit_dedup.units(t or ""), key=lambda u: u[0]):
+            if d in first:
+                gone.append((k, s, e, *first[d]))
+            else:
+                first[d] = (i, s)
+    left = [g for g in gone if not any(o[0] == g[0] and o[1] <= g[1] and g[2] <= o[2] and o[1:3] != g[1:3] for o in gone)]
+    return Counter((rows[k][0], *g) for k, *g in left)
+
+
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_units_of_rows_that_share_a_doc_id(spark, monkeypatch, hot):
+    monkeypatch.setattr(unit_dedup, "HOT", hot)
+    line, other, third = "one line of some words here", "quite another line of words", "and a third one of them"
+    rows = [(0, line), (1, other), (5, line), (5, f"x\n{other}"), (None, third), (None, f"y\n{third}"), (None, f"{third}\nz"), (7, line), (7, line), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "d", 1, 1) for i, t in rows], SCHEMA).repartition(4)
+    got = Counter((r["doc_id"], r["start"], r["end"], r["keep_id"], r["keep_start"]) for r in unit_dedup.repeats(docs).collect())
+    assert got == slow_repeats(rows)
+    assert got[5, 2, 2 + len(other), 1, 0] == 1 and got[7, 0, len(line), 0, 0] == 2 and sum(n for (i, *_), n in got.items() if i is None) == 2
+    left = Counter((r["doc_id"], r["text"]) for r in unit_dedup.remove(docs).collect())
+    assert sum(left.values()) == len(rows) and left[5, "x\n"] == 1 and left[5, ""] == 1 and left[7, ""] == 2 and left[0, line] == left[None, None] == 1
 
 
 def test_units_cover_whole_sentences():
@@ -247,8 +266,8 @@ def test_substring_dedup(spark):
         rows.append((100 - i, "\n".join(parts)))
     rows += [(200, None), (201, ""), (202, "\n\n"), (203, rows[0][1]), (300, rows[5][1])]
     docs = spark.createDataFrame([(i, t, "d", 1, 1) for i, t in rows], SCHEMA).repartition(4)
-    got = {(r["doc_id"], r["start"], r["end"], r["keep_id"], r["keep_start"]) for r in unit_dedup.repeats(docs).collect()}
-    assert got == slow_repeats(rows)
+    got = [(r["doc_id"], r["start"], r["end"], r["keep_id"], r["keep_start"]) for r in unit_dedup.repeats(docs).collect()]
+    assert Counter(got) == slow_repeats(rows)
     flagged = {i for i, *_ in got}
     with_passage = {i for i, t in rows if t and passage in t}
     assert with_passage - flagged == {min(with_passage)}
