@@ -52,7 +52,7 @@ def contained(questions: DataFrame, names: DataFrame) -> DataFrame:
 
 def whole_words(questions: DataFrame, names: DataFrame) -> DataFrame:
     """Questions with each name that stands in their text as a whole word, in any case."""
-    pattern = lambda n: F.concat(F.lit("\\b\\Q"), F.lower(n["name"]), F.lit("\\E\\b"))
+    pattern = lambda n: F.concat(F.lit("(?U)\\b\\Q"), F.lower(n["name"]), F.lit("\\E\\b"))
     found = F.filter("names", lambda n: F.contains(F.lower("text"), F.lower(n["name"])) & F.regexp(F.lower("text"), pattern(n)))
     return with_names(questions, names).withColumn("n", F.explode(found)).select(*questions.columns, "n.ord", "n.name")
 
