@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import udf
+from pyspark.sql.functions import arrow_udf
 
 from .names import strip
 
@@ -42,13 +44,17 @@ def visual_type(raw: Column) -> Column:
     return F.when(unknown, "Unknown").otherwise(F.coalesce(F.try_element_at(table, F.lower(text)), other))
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value made once and named, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def clean_title(text: Column) -> Column:
     """Text without white space and up to two pairs of quotes around it; empty for null and for none."""
-    out = strip(F.coalesce(text, F.lit("")))
-    for _ in range(2):
-        quoted = (F.length(out) > 1) & out.rlike(r"""(?s)^(?:'.*'|".*")$""")
-        out = F.when(quoted, strip(F.substring(out, F.lit(2), F.length(out) - 2))).otherwise(out)
-    return F.when(F.lower(out) == "none", "").otherwise(out)
+    quoted = lambda x: (F.length(x) > 1) & x.rlike(r"""(?s)^(?:'.*'|".*")$""")
+    bare = lambda x: F.when(quoted(x), strip(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x)
+    once = bound(strip(F.coalesce(text, F.lit(""))), bare)
+    return bound(bound(once, bare), lambda x: F.when(F.lower(x) == "none", "").otherwise(x))
 
 
 def at(doc: Column, path: str, kind: str = "string") -> Column:
@@ -57,12 +63,12 @@ def at(doc: Column, path: str, kind: str = "string") -> Column:
 
 def text_at(doc: Column, path: str) -> Column:
     """The string at a path; null for what is not a string."""
-    return F.when(F.schema_of_variant(at(doc, path, "variant")) == "STRING", at(doc, path))
+    return bound(at(doc, path, "variant"), lambda x: F.when(F.schema_of_variant(x) == "STRING", at(x, "$")))
 
 
 def filled(doc: Column, path: str) -> Column:
     """The object at a path, unless it is empty."""
-    return F.when(at(doc, path).isin("{}", "[]", "null", ""), None).otherwise(at(doc, path, "variant"))
+    return bound(at(doc, path, "variant"), lambda x: F.when(~at(x, "$").isin("{}", "[]", "null", ""), x))
 
 
 def config_title(doc: Column) -> Column:
@@ -70,13 +76,13 @@ def config_title(doc: Column) -> Column:
     objects, or the text of its paragraphs; the first that is there, even if it is empty once cleaned."""
     containers = F.coalesce(*[filled(doc, p) for p in ("$.singleVisual.vcObjects", "$.vcObjects", "$.visualContainerObjects", "$.singleVisual.visualContainerObjects")])
     objects = F.coalesce(filled(doc, "$.singleVisual.objects"), filled(doc, "$.objects"))
-    first = lambda x: F.coalesce(at(x, "$.title[0]", "variant"), at(x, "$.title", "variant"))
+    first = lambda x: bound(x, lambda o: F.coalesce(at(o, "$.title[0]", "variant"), at(o, "$.title", "variant")))
     literal, value, text = "$.properties.text.expr.Literal.Value", "$.properties.text.value", "$.properties.text"
     runs = at(doc, "$.paragraphs", "array<struct<textRuns:array<struct<value:string>>>>")
     said = F.flatten(F.transform(runs, lambda p: F.coalesce(F.transform(p["textRuns"], lambda r: strip(F.coalesce(r["value"], F.lit("")))), F.array().cast("array<string>"))))
     words = F.nullif(F.array_join(F.filter(said, lambda x: x != ""), " "), F.lit(""))
-    box, own = first(containers), first(objects)
-    return clean_title(F.coalesce(text_at(doc, "$.title"), at(box, literal), at(box, value), text_at(box, text), at(own, literal), words))
+    boxed = bound(first(containers), lambda box: F.coalesce(at(box, literal), at(box, value), text_at(box, text)))
+    return clean_title(F.coalesce(text_at(doc, "$.title"), boxed, at(first(objects), literal), words))
 
 
 def explicit_name(doc: Column) -> Column:
@@ -110,10 +116,8 @@ def aliases(doc: dict) -> dict[str, str]:
 NAMED_BY = (("Column", "Property", "Column"), ("Measure", "Property", "Measure"), ("HierarchyLevel", "Level", "Column"))
 
 
-@udf(returnType=FIELD_TYPE, useArrow=True)
-def raw_fields(raw: str | None) -> list[tuple[str | None, str, str | None]]:
-    """All field references anywhere in a visual's JSON: (table, name, kind). A nested document has no
-    bound on its depth, so that it is walked here, a document at a time; what is not JSON has none."""
+def references(raw: str | None) -> list[tuple[str | None, str, str | None]]:
+    """All field references anywhere in a visual's JSON: (table, name, kind); what is not JSON has none."""
     try:
         doc = json.loads(raw or "")
     except ValueError:
@@ -139,6 +143,13 @@ def raw_fields(raw: str | None) -> list[tuple[str | None, str, str | None]]:
     return list(found)
 
 
+@arrow_udf(FIELD_TYPE)
+def raw_fields(raw: pa.Array) -> pa.Array:
+    """references() of a batch. A nested document has no bound on its depth, so that it is walked here."""
+    rows = [[dict(zip(FIELD_TYPE.elementType.names, f, strict=True)) for f in references(x.as_py())] for x in raw]
+    return pa.array(rows, pa.list_(pa.struct([(n, pa.string()) for n in FIELD_TYPE.elementType.names])))
+
+
 def fields(raw: Column, title: Column) -> Column:
     """raw_fields, and the first bracketed name in the title."""
     named = F.regexp_extract(F.coalesce(title, F.lit("")), r"\[([^\]]+)\]", 1)

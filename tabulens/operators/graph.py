@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,8 +15,8 @@ from ..functions import expressions as E
 from ..functions import names as N
 from .resolve import Catalog, resolve
 
-#: Longest chain of dependencies that is followed.
-MOST_LEVELS = 1000
+#: Rounds whose pairs are looked up apart, before they are written as one table.
+ROUNDS = 8
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -23,6 +24,8 @@ def written(df: DataFrame) -> DataFrame:
     outlives executors and tells the optimizer its size."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tabulens-"))
     path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/tabulens-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -88,26 +91,23 @@ def closure(graph: DataFrame, roots: DataFrame, paths: bool = True) -> DataFrame
     state = roots.select("project_id", "root").distinct().select("project_id", "root", F.col("root").alias("node"), F.lit(0).alias("level"), F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("path"), F.lit("").alias("dax"))
     keys = ["project_id", "root", "node"]
     frontier = written(state)
-    seen, rounds = frontier.select(*keys), []
-    for level in range(1, MOST_LEVELS + 1):
-        g = graph.select("project_id", F.col("src").alias("node"), "dst", "n", F.col("label").alias("to_label"), F.col("dax").alias("to_dax"))
-        step = frontier.join(g, ["project_id", "node"]).select(
-            "project_id", "root", F.col("dst").alias("node"), F.lit(level).alias("level"), F.array_append("at", F.col("n").cast("int")).alias("at"), F.array_append("path", F.col("to_label")).alias("path"), F.col("to_dax").alias("dax")
-        )
-        if not paths:
-            step = step.select(*keys, "level", F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("path"), F.lit("").alias("dax"))
-        first = step.groupBy(*keys, "level").agg(F.min(F.struct("at", "path", "dax")).alias("x")).select(*keys, "level", "x.*")
-        frontier = written(first.join(seen, keys, "left_anti"))
+    g = graph.select("project_id", F.col("src").alias("node"), "dst", *([F.col("n").cast("int").alias("n"), F.col("label").alias("to_label"), F.col("dax").alias("to_dax")] if paths else []))
+    seen, out, level = [frontier.select(*keys)], state.select(*keys, "level", *(["at", "path", "dax"] if paths else [])).limit(0), 0
+    while True:  # ends, as each round finds pairs that are new
+        level += 1
+        step = frontier.join(g, ["project_id", "node"]).withColumns({"node": F.col("dst"), "level": F.lit(level)})
+        if paths:
+            step = step.withColumns({"at": F.array_append("at", F.col("n")), "path": F.array_append("path", F.col("to_label")), "dax": F.col("to_dax")})
+            first = step.groupBy(*keys, "level").agg(F.min(F.struct("at", "path", "dax")).alias("x")).select(*keys, "level", "x.*")
+        else:
+            first = step.select(*keys, "level").distinct()
+        frontier = written(first.join(reduce(DataFrame.unionByName, seen), keys, "left_anti"))
         if frontier.isEmpty():
-            break
-        rounds.append(frontier)
-        seen = seen.unionByName(frontier.select(*keys))
-    else:
-        raise RuntimeError(f"a chain of more than {MOST_LEVELS} dependencies")
-    out = state.limit(0)
-    for r in rounds:
-        out = out.unionByName(r)
-    return out.select(*keys, "level", *(["path", "dax"] if paths else []))
+            return out.select(*keys, "level", *(["path", "dax"] if paths else []))
+        out = out.unionByName(frontier)
+        seen.append(frontier.select(*keys))
+        if len(seen) > ROUNDS:
+            seen = [written(reduce(DataFrame.unionByName, seen))]
 
 
 def on_cycles(graph: DataFrame) -> DataFrame:

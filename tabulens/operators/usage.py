@@ -18,13 +18,13 @@ def object_universe(measures: DataFrame, calculated: DataFrame, columns: DataFra
     return every.withColumn("canonical", N.canonical(F.col("object_type"), F.col("table_name"), F.col("object_name")))
 
 
-def reached(usage: DataFrame, graph: DataFrame) -> DataFrame:
-    """usage (project_id, canonical, ...) joined with what it leads to: node, level, path, dax.
+def reached(usage: DataFrame, graph: DataFrame, paths: bool = True) -> DataFrame:
+    """usage (project_id, canonical, ...) joined with what it leads to: node, level and, if asked for, path and dax.
 
     The closure runs once for each object that is used, and is joined back to the rows that use it.
     """
     roots = usage.select("project_id", F.col("canonical").alias("root"))
-    met = G.closure(graph, roots)
+    met = G.closure(graph, roots, paths)
     return usage.join(met.withColumnRenamed("root", "canonical"), ["project_id", "canonical"])
 
 

@@ -331,7 +331,7 @@ def bound_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = B.load(spark, sf_dir, ["part"])["part"]
     universe = part.selectExpr("'p' AS project_id", "0 AS part", "p_partkey AS ord", "'Measure' AS object_type", "p_brand AS table_name", "'M' || p_partkey AS object_name", "'MEASURE:' || p_partkey AS canonical")
     used = bound_usage(spark, sf_dir)
-    return usage.object_usage(universe, used, usage.reached(used, bound_edges(spark, sf_dir)))
+    return usage.object_usage(universe, used, usage.reached(used, bound_edges(spark, sf_dir), paths=False))
 
 
 @query(f"{REACH} SELECT root, node, CAST(level AS INT) AS level FROM met")

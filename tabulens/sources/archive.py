@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes that the files of an archive may have together, by its own list; none is read beyond its listed size.
+MOST_BYTES = 1 << 30
 FILES = "project_id string, path string, content binary, error string"
 
 
@@ -23,6 +26,8 @@ def members(archive: bytes) -> list[tuple[str, bytes]]:
     with zipfile.ZipFile(io.BytesIO(archive)) as z:
         if bad := next((i.filename for i in z.infolist() if unsafe(i.filename)), None):
             raise ValueError(f"Unsafe path in archive: '{bad}'")
+        if sum(i.file_size for i in z.infolist()) > MOST_BYTES:
+            raise ValueError("The archive's files are too large")
         return [(i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
 
 
@@ -37,7 +42,7 @@ def unpack(archives: DataFrame) -> DataFrame:
                     rows = [(project, p, c, None) for p, c in members(bytes(content))]
                 except zipfile.BadZipFile:
                     rows = [(project, None, None, "Not a valid ZIP archive")]
-                except ValueError as e:
+                except (ValueError, RuntimeError, EOFError, zlib.error) as e:  # unsafe, too large, encrypted, of an unknown method, damaged
                     rows = [(project, None, None, str(e))]
                 yield pd.DataFrame(rows, columns=["project_id", "path", "content", "error"])
 

@@ -92,7 +92,9 @@ def write(path: str | Path, summary: list[tuple[str, object]], found: list[tuple
         first = [(1, ["Model Summary & Governance"]), (2, ["Semantic Model Governance, Health Score & Report Usage Summary"]), *((HEAD + i, [k, str(v)]) for i, (k, v) in enumerate(summary)), (start, ["Model Health & Governance Deductions"]), *((start + 1 + i, f) for i, f in enumerate(found))]
         z.writestr("xl/worksheets/sheet1.xml", "".join(sheet_xml(first, [36, 90], False, None)))
         for i, (name, (title, columns)) in enumerate(SHEETS.items(), 2):
-            rows = sheets[name][: MOST_ROWS - HEAD]
+            rows = sheets[name]
+            if len(rows) > MOST_ROWS - HEAD:
+                raise ValueError(f"{len(rows)} rows are more than the sheet '{name}' can hold")
             body = [[r.get(c) for _, c in columns] for r in rows]
             longest = [max([len(h), *(min(len(str(v or "").split("\n")[0]), 60) for v in vs)]) for (h, _), vs in zip(columns, zip(*body, strict=True) if body else [()] * len(columns), strict=True)]
             lines = [(1, [title]), (2, [f"Total Items: {len(rows)}"]), (HEAD, [h for h, _ in columns]), *((DATA + k, b) for k, b in enumerate(body))]
