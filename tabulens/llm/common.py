@@ -41,8 +41,10 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 def workdir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a folder of its own only where none is named."""
+    """The shared folder that the session names; a folder of its own only in local mode where none is named."""
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tabulens-"))
     return spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
