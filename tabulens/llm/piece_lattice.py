@@ -8,6 +8,7 @@ common units from a broadcast of bounded size, those of all others by joins.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from .vocabulary import SPACE, Vocabulary
 
 #: Bytes of common units and their ids that are broadcast at most, whatever the corpus, and the longest of them in bytes.
 COMMON_BYTES, COMMON_UNIT = 16 << 20, 64
+#: Texts that are split together at most, within the bytes of a batch.
+TEXTS = 4096
 #: Units that a task of the aggregate holds before it sorts instead.
 GROUPS = 1 << 18
 #: Places of a unit that are folded as one block, so that no array grows with the whole of a long unit.
@@ -50,43 +53,62 @@ class Units:
         words_at = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))]
         self.at = np.r_[0, np.cumsum(self.sizes[self.word])][words_at]
 
-    def counts(self) -> list[pa.Array]:
-        """Distinct units, and how often each occurs."""
+    def coded(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct units, how often each occurs, and the place among them of each unit of the texts."""
         coded = self.flat.dictionary_encode()
         often = np.repeat(np.bincount(self.word, minlength=len(self.sizes)), self.sizes)
         n = np.bincount(coded.indices.to_numpy(), often, len(coded.dictionary))
-        return [coded.dictionary, pa.array(n.astype(np.int64))]
-
-    def places(self, known: pa.Array) -> tuple[np.ndarray, list[str]]:
-        """The place among those known of each unit of the texts, or -1 less its place in a sorted list of all others, and that list."""
-        place = pc.fill_null(pc.index_in(self.flat, value_set=known), -1).to_numpy().astype(np.int32)
-        rare = np.flatnonzero(place < 0)
-        units = self.flat.take(pa.array(rare)).to_pylist()
-        others = sorted(set(units))
-        code = {u: -1 - k for k, u in enumerate(others)}
-        place[rare] = [code[u] for u in units]
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(self.sizes)].astype(np.int32)), pa.array(place))
-        return lists.take(pa.array(self.word)).flatten().to_numpy(), others
-
-    def rows(self, known: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
-        """For each text the places of its units, the distinct ones of those not known, and the list that these count on in."""
-        place, others = self.places(known)
-        for a, b in zip(self.at[:-1], self.at[1:], strict=True):
-            own = place[a:b]
-            yield own, np.unique(-1 - own[own < 0]), others
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(self.sizes)].astype(np.int32)), coded.indices)
+        return coded.dictionary, n.astype(np.int64), lists.take(pa.array(self.word)).flatten().to_numpy()
 
 
-def corpus_units(docs: DataFrame, known: Vocabulary) -> DataFrame:
-    """(unit, count): the distinct units of all texts of docs."""
-    small_batches(docs.sparkSession)
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, compressed byte by byte, as the high ones repeat."""
+    planes = np.ascontiguousarray(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
+def split_texts(docs: DataFrame, known: Vocabulary) -> DataFrame:
+    """docs(doc_id, text) as one row a batch of texts, of bounded bytes or a single text.
+
+    batch: a name of its own, kept once the table is written; units, counts: the batch's distinct units; doc_ids, digests,
+    sizes: of each text, its SHA-256 and its number of units; body: packed places in units, text after text.
+    """
     pattern = known.units
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["batch", "units", "counts", "doc_ids", "digests", "sizes", "body"]
+    shape = f"batch string, units array<string>, counts array<long>, doc_ids array<{kind}>, digests array<binary>, sizes array<int>, body binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern).findall
         for b in batches:
-            yield pa.RecordBatch.from_arrays(Units(b.column(0), split).counts(), ["unit", "count"])
+            if not len(b):
+                continue
+            found = Units(b.column(2), split)
+            units, counts, places = found.coded()
+            lists = [units, pa.array(counts), b.column(0), b.column(1), pa.array(np.diff(found.at).astype(np.int32))]
+            one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *one, pa.array([packed(places)], pa.binary())], names)
+
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    return docs.select("doc_id", digest.alias("digest"), "text").mapInArrow(run, shape)
+
+
+def unit_counts(split: DataFrame) -> DataFrame:
+    """(unit, count): the distinct units of all batches."""
+    each = split.select(F.explode(F.arrays_zip("units", "counts")).alias("u")).select(F.col("u.units").alias("unit"), F.col("u.counts").alias("n"))
+    return each.groupBy("unit").agg(F.sum("n").alias("count"))
 
-    return docs.select("text").mapInArrow(run, "unit string, count long").groupBy("unit").agg(F.sum("count").alias("count"))
+
+def corpus_units(docs: DataFrame, known: Vocabulary) -> DataFrame:
+    """(unit, count): the distinct units of all texts of docs."""
+    small_batches(docs.sparkSession)
+    return unit_counts(split_texts(docs.withColumn("doc_id", F.lit(0)).select("doc_id", "text"), known))
 
 
 def piece_table(df: DataFrame, known: Vocabulary) -> DataFrame:
@@ -237,59 +259,58 @@ def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
     Rows that share a doc_id are encoded each by itself. An empty table gives an empty result; other
     columns are ignored.
 
-    Rows need no numbers of their own: what a text lacks besides the common units is found by the text's
-    digest, so that scans may be cut anew, and copies share it. Documents move once, as the places of their
-    units, compressed.
+    Texts are split once: each batch of texts is written with its distinct units and, compressed, the places of
+    its texts' units among them. The units that a batch has besides the common ones come to it by joins, once a
+    batch; the name of a batch is written with it, so that scans may be cut anew.
     """
     known = vocabulary.load(path)
-    spark, pattern = docs.sparkSession, known.units
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    small_batches(spark)
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS)):
+        split = cut(split_texts(docs, known))
     with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS)):
-        pieces = cut(unit_ids(corpus_units(docs, known), known))
+        pieces = cut(unit_ids(unit_counts(split), known))
     table, least = common_units(pieces)
     places = Places(spark, table)
 
     @arrow_udf("array<string>")
-    def others(texts: pa.Array) -> pa.Array:
-        """The text's distinct units that are not broadcast, in order."""
-        rows = Units(texts, regex.compile(pattern).findall).rows(places.table()[0])
-        return pa.array([[units[k] for k in rare.tolist()] for _, rare, units in rows], pa.list_(pa.string()))
+    def others(units: pa.Array) -> pa.Array:
+        """The units of a batch that are not broadcast, in order."""
+        common = places.table()[0]
+        rows = [pc.filter(u.values, pc.invert(pc.is_in(u.values, value_set=common))) for u in units]
+        return pa.array([r.to_pylist() for r in rows], pa.list_(pa.string()))
 
     @arrow_udf("binary")
-    def body(texts: pa.Array) -> pa.Array:
-        """The places of the text's units; those beyond the broadcast count on in the order of others()."""
-        common, out, pack = places.table()[0], [], zstandard.ZstdCompressor(level=1).compress
-        for own, rare, _ in Units(texts, regex.compile(pattern).findall).rows(common):
-            if len(rare):
-                own = np.where(own < 0, len(common) + np.searchsorted(rare, -1 - own), own).astype(np.int32)
-            # Byte by byte, as the high ones repeat.
-            out.append(pack(np.ascontiguousarray(own.view(np.uint8).reshape(-1, 4).T).tobytes()))
+    def placed(units: pa.Array) -> pa.Array:
+        """The place of each unit of a batch: among the broadcast ones, or behind them in the order of others()."""
+        common, out = places.table()[0], []
+        for u in units:
+            place = pc.fill_null(pc.index_in(u.values, value_set=common), -1).to_numpy().copy()
+            rare = np.flatnonzero(place < 0)
+            place[rare] = len(common) + np.arange(len(rare))
+            out.append(packed(place))
         return pa.array(out, pa.binary())
 
-    @arrow_udf("array<int>")
-    def put_together(bodies: pa.Array, own: pa.Array) -> pa.Array:
-        """The ids of each row's units: of the broadcast ones, and of its own, which come in the order of others()."""
-        known, ids = places.table()
-        unpack, out = zstandard.ZstdDecompressor().decompress, []
-        own_at = own.offsets.to_numpy()
-        for i, b in enumerate(bodies):
-            place = np.ascontiguousarray(np.frombuffer(unpack(b.as_py()), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
-            out.append(np.where(place < len(known), place, place + (own_at[i] - own_at[0])))
-        lists = pa.concat_arrays([ids, own.flatten()])
-        taken = lists.take(pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
-        ends = np.r_[0, np.cumsum(pc.list_value_length(taken).to_numpy(zero_copy_only=False))]
-        at = np.cumsum([0, *map(len, out)])
-        return pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), taken.flatten())
-
-    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    key = F.substring(digest, 1, 16).alias("key")
-    rare = docs.select(key, F.posexplode(others("text")).alias("k", "unit"))
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = places.table()[1]
+        for b in batches:
+            for doc_ids, digests, sizes, body, place, own in zip(*b.columns, strict=True):
+                units = pa.concat_arrays([common, own.values]).take(pa.array(unpacked(place.as_py())))
+                at = unpacked(body.as_py())
+                ends = np.r_[0, np.cumsum(pc.list_value_length(units).to_numpy()[at])]
+                offsets = ends[np.r_[0, np.cumsum(sizes.values.to_numpy())]].astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), units.take(pa.array(at)).flatten())
+                yield pa.RecordBatch.from_arrays([doc_ids.values, digests.values, ids], ["doc_id", "digest", "ids"])
+
+    rare = split.select("batch", F.posexplode(others("units")).alias("k", "unit"))
     beyond = pieces.filter((F.col("count") < least) | (F.octet_length("unit") > COMMON_UNIT)).select("unit", "ids")
-    # Dealt by text before they are put together: there is nothing to combine before that. Of a text that has copies, each unit once.
-    dealt = rare.join(beyond, "unit").select("key", "k", "ids").repartition("key")
-    fills = dealt.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("k", "ids"))).alias("own"))
-    whole = docs.select("doc_id", key, digest.alias("digest"), body("text").alias("body")).join(fills, "key", "left")
+    # Dealt by batch before they are put together: there is nothing to combine before that.
+    dealt = rare.join(beyond, "unit").select("batch", "k", "ids").repartition("batch")
+    fills = dealt.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("own"))
+    whole = split.select("batch", "doc_ids", "digests", "sizes", "body", placed("units").alias("place")).join(fills, "batch", "left")
     own = F.coalesce(F.transform("own", lambda x: x["ids"]), F.array().cast("array<array<int>>"))
-    return whole.select("doc_id", F.lower(F.hex("digest")).alias("text_sha256"), put_together("body", own).alias("ids"))
+    out = whole.select("doc_ids", "digests", "sizes", "body", "place", own.alias("own")).mapInArrow(put_together, f"doc_id {kind}, digest binary, ids array<int>")
+    return out.select("doc_id", F.lower(F.hex("digest")).alias("text_sha256"), "ids")
 
 
 def decode(ids: Column, path: str = vocabulary.DEFAULT_PATH) -> Column:
