@@ -8,7 +8,6 @@ common units from a broadcast of bounded size, those of all others by joins.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,12 +15,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import vocabulary
-from .common import cut, setting, small_batches
+from .common import cut, cut_by, setting, small_batches
 from .vocabulary import SPACE, Vocabulary
 
 #: Bytes of common units and their ids that are broadcast at most, whatever the corpus, and the longest of them in bytes.
@@ -54,12 +54,16 @@ class Units:
         self.at = np.r_[0, np.cumsum(self.sizes[self.word])][words_at]
 
     def coded(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """Distinct units, how often each occurs, and the place among them of each unit of the texts."""
+        """Distinct units, most frequent first, how often each occurs, and the place among them of each unit of the texts."""
         coded = self.flat.dictionary_encode()
         often = np.repeat(np.bincount(self.word, minlength=len(self.sizes)), self.sizes)
-        n = np.bincount(coded.indices.to_numpy(), often, len(coded.dictionary))
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(self.sizes)].astype(np.int32)), coded.indices)
-        return coded.dictionary, n.astype(np.int64), lists.take(pa.array(self.word)).flatten().to_numpy()
+        n = np.bincount(coded.indices.to_numpy(), often, len(coded.dictionary)).astype(np.int64)
+        order = np.argsort(-n, kind="stable")
+        place = np.empty(len(n), np.int32)
+        place[order] = np.arange(len(n), dtype=np.int32)
+        own = pa.array(place[coded.indices.to_numpy()])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(self.sizes)].astype(np.int32)), own)
+        return coded.dictionary.take(pa.array(order)), n[order], lists.take(pa.array(self.word)).flatten().to_numpy()
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -76,24 +80,24 @@ def unpacked(data: bytes) -> np.ndarray:
 def split_texts(docs: DataFrame, known: Vocabulary) -> DataFrame:
     """docs(doc_id, text) as one row a batch of texts, of bounded bytes or a single text.
 
-    batch: a name of its own, kept once the table is written; units, counts: the batch's distinct units; doc_ids, digests,
+    batch: the number of its partition and its place there, for a table that is written once; units, counts: the batch's distinct units; doc_ids, digests,
     sizes: of each text, its SHA-256 and its number of units; body: packed places in units, text after text.
     """
     pattern = known.units
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["batch", "units", "counts", "doc_ids", "digests", "sizes", "body"]
-    shape = f"batch string, units array<string>, counts array<long>, doc_ids array<{kind}>, digests array<binary>, sizes array<int>, body binary"
+    shape = f"batch long, units array<string>, counts array<long>, doc_ids array<{kind}>, digests array<binary>, sizes array<int>, body binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern).findall
-        for b in batches:
+        split, first = regex.compile(pattern).findall, TaskContext.get().partitionId() << 40
+        for k, b in enumerate(batches):
             if not len(b):
                 continue
             found = Units(b.column(2), split)
             units, counts, places = found.coded()
             lists = [units, pa.array(counts), b.column(0), b.column(1), pa.array(np.diff(found.at).astype(np.int32))]
             one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *one, pa.array([packed(places)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([first + k]), *one, pa.array([packed(places)], pa.binary())], names)
 
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     return docs.select("doc_id", digest.alias("digest"), "text").mapInArrow(run, shape)
@@ -261,15 +265,17 @@ def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
 
     Texts are split once: each batch of texts is written with its distinct units and, compressed, the places of
     its texts' units among them. The units that a batch has besides the common ones come to it by joins, once a
-    batch; the name of a batch is written with it, so that scans may be cut anew.
+    batch; the number of a batch is written with it, so that scans may be cut anew.
     """
     known = vocabulary.load(path)
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     small_batches(spark)
-    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS)):
-        split = cut(split_texts(docs, known))
-    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS)):
-        pieces = cut(unit_ids(unit_counts(split), known))
+    # Shuffles of a table are not needed once it is written.
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS)):
+            split = cut_by(split_texts(docs, known), "batch")
+        with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS)):
+            pieces = cut(unit_ids(unit_counts(split), known))
     table, least = common_units(pieces)
     places = Places(spark, table)
 
@@ -280,36 +286,29 @@ def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
         rows = [pc.filter(u.values, pc.invert(pc.is_in(u.values, value_set=common))) for u in units]
         return pa.array([r.to_pylist() for r in rows], pa.list_(pa.string()))
 
-    @arrow_udf("binary")
-    def placed(units: pa.Array) -> pa.Array:
-        """The place of each unit of a batch: among the broadcast ones, or behind them in the order of others()."""
-        common, out = places.table()[0], []
-        for u in units:
-            place = pc.fill_null(pc.index_in(u.values, value_set=common), -1).to_numpy().copy()
-            rare = np.flatnonzero(place < 0)
-            place[rare] = len(common) + np.arange(len(rare))
-            out.append(packed(place))
-        return pa.array(out, pa.binary())
-
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = places.table()[1]
+        """Each unit of a batch takes its ids from the broadcast, or else the next of the batch's own."""
+        common, ids = places.table()
         for b in batches:
-            for doc_ids, digests, sizes, body, place, own in zip(*b.columns, strict=True):
-                units = pa.concat_arrays([common, own.values]).take(pa.array(unpacked(place.as_py())))
+            for doc_ids, digests, sizes, body, units, own in zip(*b.columns, strict=True):
+                place = pc.fill_null(pc.index_in(units.values, value_set=common), -1).to_numpy().copy()
+                rare = np.flatnonzero(place < 0)
+                place[rare] = len(common) + np.arange(len(rare))
+                lists = pa.concat_arrays([ids, own.values]).take(pa.array(place))
                 at = unpacked(body.as_py())
-                ends = np.r_[0, np.cumsum(pc.list_value_length(units).to_numpy()[at])]
+                ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy()[at])]
                 offsets = ends[np.r_[0, np.cumsum(sizes.values.to_numpy())]].astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), units.take(pa.array(at)).flatten())
-                yield pa.RecordBatch.from_arrays([doc_ids.values, digests.values, ids], ["doc_id", "digest", "ids"])
+                found = pa.ListArray.from_arrays(pa.array(offsets), lists.take(pa.array(at)).flatten())
+                yield pa.RecordBatch.from_arrays([doc_ids.values, digests.values, found], ["doc_id", "digest", "ids"])
 
     rare = split.select("batch", F.posexplode(others("units")).alias("k", "unit"))
     beyond = pieces.filter((F.col("count") < least) | (F.octet_length("unit") > COMMON_UNIT)).select("unit", "ids")
     # Dealt by batch before they are put together: there is nothing to combine before that.
     dealt = rare.join(beyond, "unit").select("batch", "k", "ids").repartition("batch")
     fills = dealt.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("own"))
-    whole = split.select("batch", "doc_ids", "digests", "sizes", "body", placed("units").alias("place")).join(fills, "batch", "left")
+    whole = split.select("batch", "doc_ids", "digests", "sizes", "body", "units").join(fills, "batch", "left")
     own = F.coalesce(F.transform("own", lambda x: x["ids"]), F.array().cast("array<array<int>>"))
-    out = whole.select("doc_ids", "digests", "sizes", "body", "place", own.alias("own")).mapInArrow(put_together, f"doc_id {kind}, digest binary, ids array<int>")
+    out = whole.select("doc_ids", "digests", "sizes", "body", "units", own.alias("own")).mapInArrow(put_together, f"doc_id {kind}, digest binary, ids array<int>")
     return out.select("doc_id", F.lower(F.hex("digest")).alias("text_sha256"), "ids")
 
 
