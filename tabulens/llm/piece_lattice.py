@@ -27,7 +27,7 @@ from .vocabulary import SPACE, Vocabulary
 #: Bytes of common units and their ids that are broadcast at most, whatever the corpus, and the longest of them in bytes.
 COMMON_BYTES, COMMON_UNIT = 16 << 20, 64
 #: Texts that are split together at most, within the bytes of a batch.
-TEXTS = 4096
+TEXTS = 2048
 #: Units that a task of the aggregate holds before it sorts instead.
 GROUPS = 1 << 18
 #: Places of a unit that are folded as one block, so that no array grows with the whole of a long unit.
