@@ -49,7 +49,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(read(spark, sf_dir, "documents"), repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+    found = secret_scan.scan(read(spark, sf_dir, "documents"), repository=F.struct("source", "lang"), owner=F.col("source"))
     kinds = {k: i for i, k in enumerate(secret_scan.ORDER)}
     n = lambda spans, kind: F.size(F.filter(spans, lambda x: x["kind"] == kinds[kind])).cast("long")
     return found.select(
