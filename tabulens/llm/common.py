@@ -64,8 +64,10 @@ def cut_by(df: DataFrame, column: str) -> DataFrame:
     """Like cut(), with rows dealt to files by a column, so that a join on it moves only its other side."""
     spark, name = df.sparkSession, f"tabulens_{uuid.uuid4().hex}"
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(files, column).option("path", f"{workdir(spark)}/{name}").saveAsTable(name)
+    path = f"{workdir(spark)}/{name}"
+    df.write.bucketBy(files, column).option("path", path).saveAsTable(name)
     out = spark.table(name)
+    out._cut_path = path
     spark.sql(f"DROP TABLE {name}")  # from the catalogue only: the files stay
     return out
 

@@ -275,7 +275,9 @@ def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
         with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS)):
             split = cut_by(split_texts(docs, known), "batch")
         with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS)):
-            pieces = cut(unit_ids(unit_counts(split), known))
+            # Read by size, not by bucket, so that a task combines the units of many batches.
+            batches = spark.read.schema(split.schema).parquet(split._cut_path)
+            pieces = cut(unit_ids(unit_counts(batches), known))
     table, least = common_units(pieces)
     places = Places(spark, table)
 
