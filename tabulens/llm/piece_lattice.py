@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import vocabulary
-from .common import cut, cut_by, setting, small_batches
+from .common import cut_by, setting, small_batches
 from .vocabulary import SPACE, Vocabulary
 
 #: Bytes of common units and their ids that are broadcast at most, whatever the corpus, and the longest of them in bytes.
@@ -275,9 +275,9 @@ def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
         with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS)):
             split = cut_by(split_texts(docs, known), "batch")
         with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS)):
-            # Read by size, not by bucket, so that a task combines the units of many batches.
+            # Read by size, not by bucket, so that a task combines the units of many batches; written by unit for the join below.
             batches = spark.read.schema(split.schema).parquet(split._cut_path)
-            pieces = cut(unit_ids(unit_counts(batches), known))
+            pieces = cut_by(unit_ids(unit_counts(batches), known), "unit")
     table, least = common_units(pieces)
     places = Places(spark, table)
 
