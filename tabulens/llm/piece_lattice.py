@@ -30,6 +30,8 @@ COMMON_BYTES, COMMON_UNIT = 16 << 20, 64
 TEXTS = 2048
 #: Units that a task of the aggregate holds before it sorts instead.
 GROUPS = 1 << 18
+#: Characters by which the longest piece that can begin at a place is known.
+HEAD = 3
 #: Places of a unit that are folded as one block, so that no array grows with the whole of a long unit.
 BLOCK = 256
 
@@ -120,15 +122,26 @@ def piece_table(df: DataFrame, known: Vocabulary) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "piece string, id int")
 
 
+def reaches(df: DataFrame, known: Vocabulary) -> DataFrame:
+    """(head, reach): the first HEAD characters of pieces, and the length of the longest piece that begins so."""
+    reach: dict[str, int] = {}
+    for p in known.pieces:
+        if len(p) >= HEAD:
+            reach[p[:HEAD]] = max(reach.get(p[:HEAD], 0), len(p))
+    return df.sparkSession.createDataFrame(list(reach.items()), "head string, reach int")
+
+
 def lattice(distinct: DataFrame, known: Vocabulary) -> DataFrame:
     """distinct (unit, count) -> with edges: array<long> in order of end, then start; see edge().
 
     Grouping needs no second shuffle: the pieces are broadcast (as many as the vocabulary has), so
-    that the rows of a unit stay where the units were dealt.
+    that the rows of a unit stay where the units were dealt. Substrings at a place are no longer than the
+    longest piece that begins with the same characters.
     """
     starts = distinct.select("unit", "count", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at"))
-    longest = F.least(F.lit(known.longest), F.length("unit") - F.col("at") + 1)
-    pieces = starts.select("*", F.explode(F.sequence(F.lit(1), longest)).alias("n"))
+    starts = starts.withColumn("head", F.substring("unit", F.col("at"), F.lit(HEAD))).join(F.broadcast(reaches(distinct, known)), "head", "left")
+    longest = F.least(F.coalesce("reach", F.lit(HEAD - 1)), F.length("unit") - F.col("at") + 1)
+    pieces = starts.select("unit", "count", "at", F.explode(F.sequence(F.lit(1), longest)).alias("n"))
     edges = pieces.withColumn("piece", F.substring("unit", F.col("at"), F.col("n"))).join(F.broadcast(piece_table(distinct, known)), "piece", "left")
     unknown = F.col("id").isNull() & (F.col("n") == 1)  # a character that is no piece: an edge of its own
     edges = edges.filter(F.col("id").isNotNull() | unknown)
