@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import assistant
+from ..operators.resolve import catalog
 from . import prompts
-from .providers import MOST_REQUESTS, Provider
+from .providers import MOST_REQUESTS, Provider, unknown_references
+
+log = logging.getLogger(__name__)
 
 #: Most rows of each part of a context, and messages that are passed on.
 FOCUSED, REFERENCES, UNUSED, RELATIONSHIPS, USES, ADVICE, SAMPLE, TABLES, MEASURES, PASSED = 3, 10, 30, 25, 20, 5, 10, 15, 20, 6
 
+#: An answer with one of these proposes an expression.
+EXPRESSION_MARKS = ("DIVIDE(", "CALCULATE(", "VAR ")
+
 
 def rows(df: DataFrame, limit: int | None = None, order: tuple[str, ...] = ("part", "ord", "place")) -> list[dict[str, Any]]:
     """At most so many rows, in the order of the model, as plain values."""
@@ -116,5 +123,19 @@ class Assistant:
             return said("error", f"The provider failed: {e}")
         if not answer:
             return said("error", "The provider gave no answer.")
+        self.check(answer)
         self.answers[key] = answer
         return said("success", answer)
+
+    def check(self, answer: str) -> None:
+        """Logs what an answer's expressions refer to that the model lacks; the answer itself stays as it is."""
+        if not any(mark in answer for mark in EXPRESSION_MARKS):
+            return
+        own = {k: self.found[k].filter(F.col("project_id") == self.project_id) for k in ("tables", "columns", "measures", "calculated_columns")}
+        cat = catalog(own["tables"], own["columns"], own["measures"], own["calculated_columns"])
+        try:
+            note = unknown_references(own["tables"].sparkSession, self.project_id, answer, cat)
+        except Exception as e:  # a check that fails must not take the answer away
+            note = f"the check failed: {e}"
+        if note:
+            log.debug("an answer has references to nothing: %s", note)

@@ -13,7 +13,7 @@ import urllib.request
 from abc import ABC, abstractmethod
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -46,6 +46,10 @@ class Provider(ABC):
     @abstractmethod
     def chat(self, messages: list[dict[str, str]]) -> str | None: ...
 
+    def advise(self, context: dict[str, Any]) -> Any:
+        """Issues of a whole model or report, from its counts. A provider need not have any."""
+        return None
+
 
 class NullProvider(Provider):
     name = "None"
@@ -86,6 +90,9 @@ class HttpProvider(Provider):
     def chat(self, messages: list[dict[str, str]]) -> str | None:
         return self.complete(messages, False)
 
+    def advise(self, context: dict[str, Any]) -> Any:
+        return self.complete([{"role": "system", "content": prompts.ADVICE_SYSTEM}, {"role": "user", "content": prompts.advice(context)}], True)
+
 
 def provider_from(env: dict[str, str] | None = None) -> Provider:
     """The provider that the environment names, the first of two that is complete, or none."""
@@ -103,13 +110,19 @@ def provider_from(env: dict[str, str] | None = None) -> Provider:
     return NullProvider()
 
 
+def json_of(reply: Any) -> Any:
+    """A reply that is text, in a fence or not, as the JSON that it holds; None if it holds none."""
+    if not isinstance(reply, str):
+        return reply
+    try:
+        return json.loads(re.sub(r"^```(?:json)?\s*|\s*```$", "", reply.strip(), flags=re.MULTILINE))
+    except ValueError:
+        return None
+
+
 def parse_reply(reply: Any) -> dict[str, Any] | None:
     """A reply as an issue's fields with defaults; None if it is no object or sees no improvement."""
-    if isinstance(reply, str):
-        try:
-            reply = json.loads(re.sub(r"^```(?:json)?\s*|\s*```$", "", reply.strip(), flags=re.MULTILINE))
-        except ValueError:
-            return None
+    reply = json_of(reply)
     if not isinstance(reply, dict) or not reply or not reply.get("has_improvement", True):
         return None
     out = {k: str(reply.get(k, d)).strip() for k, d in REPLY_DEFAULTS.items()}
@@ -132,6 +145,12 @@ def validated(replies: DataFrame, cat: Catalog) -> DataFrame:
     return out.withColumn("note", F.when(F.col("validation_status") == "Invalid", F.concat(F.lit("Suggested DAX references unknown model object(s): "), names)).otherwise("")).drop("lost")
 
 
+def unknown_references(spark: SparkSession, project_id: str, text: str, cat: Catalog) -> str:
+    """What an answer's expressions refer to that the project's model lacks, in words; empty if there is nothing."""
+    asked = spark.createDataFrame([(project_id, "Answer", "", "", text)], "project_id string, kind string, table_name string, name string, suggested_dax string")
+    return validated(asked, cat).first()["note"]
+
+
 def request_key(dependencies: Column) -> Column:
     """What makes two requests the same: SHA-256 of the object, its expression and what it refers to, sorted."""
     return F.sha2(F.concat_ws(":", "kind", "table_name", "name", "dax", F.array_join(F.array_sort(dependencies), ",")), 256)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..assist import providers
+from ..assist import advice, providers
 from ..operators import graph, health, model, quality, report, resolve, usage
 from ..sources import archive, bim, report_files, tmdl
 
@@ -78,7 +78,8 @@ def analyze_files(files: DataFrame, provider: providers.Provider | None = None,
         high_severity=out["dax_analysis"].filter("highest_severity = 'High'"), tables=tables, measures=measures, pages=out["pages"], visuals=visuals, sources=out["data_sources"],
     )
     out["model_health"] = graph.written(health.health(counted))
-    out["model_advisories"], out["report_advisories"] = health.model_advice(out["model_health"]), health.report_advice(out["model_health"])
+    out["model_advisories"] = advice.model_advice(provider, out["model_health"])
+    out["report_advisories"] = advice.report_advice(provider, out["model_health"], direct)
     out["executive_documentation"] = health.documentation(out["model_health"], projects)
     out["inventory"] = usage.inventory(tables, columns, measures, calculated, found, direct)
     out["analysis_sheet"] = quality.analysis_sheet(out["dax_analysis"], out["dax_improvements"])
