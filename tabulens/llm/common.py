@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
@@ -85,6 +86,19 @@ def folded(text: pa.Array) -> pa.Array:
     return pc.ascii_lower(pc.fill_null(text, ""))
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts that hold at most so many bytes of a column of text or binary, or one row more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(ends // most, prepend=-1))
+    for s, e in zip(cuts, np.r_[cuts[1:], len(ends)], strict=True):
+        yield batch.slice(s, e - s)
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value made once and named, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def fresh(taken: list[str], name: str) -> str:
     """A column name that is not among those taken, whatever their case."""
     lower = {x.lower() for x in taken}

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import vocabulary
-from .common import cut_by, setting, small_batches
+from .common import bound, cut_by, setting, small_batches
 from .vocabulary import SPACE, Vocabulary
 
 #: Bytes of common units and their ids that are broadcast at most, whatever the corpus, and the longest of them in bytes.
@@ -167,11 +167,6 @@ def back_of(e: Column) -> Column:
     return F.shiftright(e, 24).bitwiseAND(F.lit(255))
 
 
-def bound(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value made once and named, however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def blocks(items: Column) -> Column:
     """An array cut into runs of BLOCK; none of an empty one."""
     count = F.ceil(F.size(items) / BLOCK).cast("int")

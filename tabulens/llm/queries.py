@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, e8_neardup, exact_dedup, hilbert_shards, knn_quality, piece_lattice, secret_scan, simhash_ball, token_count, unit_dedup
+from . import curriculum, e8_neardup, exact_dedup, hilbert_shards, knn_quality, periodic_runs, piece_lattice, secret_scan, simhash_ball, token_count, unit_dedup
 from .common import LOWER, UPPER, read
 
 
@@ -66,8 +66,20 @@ def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("start").alias("unit_start"), F.col("end").alias("unit_end"), "words", F.lower(F.hex("digest")).alias("unit_digest"), "keep_id", "keep_start", "copies")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_runs.planted(read(spark, sf_dir, "documents")))
+    order = F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r["start"], r["period"]))
+    found = found.withColumn("longest", F.array_max(order))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"), F.col("longest.length").alias("length"), F.col("longest.period").alias("period"),
+        F.expr("1000 * longest.length DIV longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_exact_dedup, op2_embedding_neardup, op3_hilbert_shards, op4_token_counts, op5_curriculum_mix, op6_quality_votes, op7_simhash_neardup, op8_sentencepiece, op9_secret_scan, op10_unit_dedup)
+    ops = (op1_exact_dedup, op2_embedding_neardup, op3_hilbert_shards, op4_token_counts, op5_curriculum_mix, op6_quality_votes, op7_simhash_neardup, op8_sentencepiece, op9_secret_scan, op10_unit_dedup, op13_periodic_runs)
     return {f.__name__: f for f in ops}
 
 
