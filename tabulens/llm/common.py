@@ -24,6 +24,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_file(path: str) -> bytes:
+    """A vocabulary file, read on the driver; its size does not depend on the corpus."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts can be very long, so that Arrow batches are bounded by bytes as well as by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

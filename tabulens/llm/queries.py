@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, e8_neardup, exact_dedup, hilbert_shards, knn_quality, periodic_runs, piece_lattice, secret_scan, simhash_ball, token_count, unit_dedup
+from . import cross_tokens, curriculum, e8_neardup, exact_dedup, hilbert_shards, knn_quality, periodic_runs, piece_lattice, secret_scan, simhash_ball, token_count, topk_search, unit_dedup
 from .common import LOWER, UPPER, read
 
 
@@ -66,6 +66,14 @@ def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("start").alias("unit_start"), F.col("end").alias("unit_end"), "words", F.lower(F.hex("digest")).alias("unit_digest"), "keep_id", "keep_start", "copies")
 
 
+def op11_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.align(read(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(read(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.find_runs(periodic_runs.planted(read(spark, sf_dir, "documents")))
     order = F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r["start"], r["period"]))
@@ -79,7 +87,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_exact_dedup, op2_embedding_neardup, op3_hilbert_shards, op4_token_counts, op5_curriculum_mix, op6_quality_votes, op7_simhash_neardup, op8_sentencepiece, op9_secret_scan, op10_unit_dedup, op13_periodic_runs)
+    ops = (op1_exact_dedup, op2_embedding_neardup, op3_hilbert_shards, op4_token_counts, op5_curriculum_mix, op6_quality_votes, op7_simhash_neardup, op8_sentencepiece, op9_secret_scan, op10_unit_dedup, op11_cross_tokens, op12_topk_search, op13_periodic_runs)
     return {f.__name__: f for f in ops}
 
 
@@ -99,4 +107,10 @@ def oracle_sql() -> dict[str, str]:
             degree AS (SELECT a AS vec_id, count(*) AS n_links FROM pairs GROUP BY a)
             SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
             FROM least LEFT JOIN degree USING (vec_id)""",
+        "op12_topk_search": """
+            WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e FROM embeddings),
+            s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+                  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+            r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     }
