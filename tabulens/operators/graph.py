@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -17,6 +19,8 @@ from .resolve import Catalog, resolve
 
 #: Rounds whose pairs are looked up apart, before they are written as one table.
 ROUNDS = 8
+#: Tables that are written and not yet deleted.
+TABLES: list[str] = []
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -29,7 +33,27 @@ def written(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tabulens-"))
     path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/tabulens-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    TABLES.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    TABLES.remove(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table behind a DataFrame made by written(), once nothing reads it any more."""
+    delete(df.sparkSession, df._written_path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes every table that written() has made and that is still there: results that are read from them can't be used any more."""
+    for path in list(TABLES):
+        delete(spark, path)
 
 
 def sources(measures: DataFrame, calculated: DataFrame) -> DataFrame:
@@ -78,45 +102,106 @@ def numbered_edges(found: DataFrame) -> DataFrame:
     return found.filter("resolved").select("project_id", "src", "dst", label.alias("label"), "dax", F.col("ref_ord").alias("n"))
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function like written(), whose tables are deleted at the end: what is to stay is written apart."""
+    made: list[DataFrame] = []
+
+    def put(df: DataFrame) -> DataFrame:
+        made.append(written(df))
+        return made[-1]
+
+    try:
+        yield put
+    finally:
+        for df in made:
+            discard(df)
+
+
 def closure(graph: DataFrame, roots: DataFrame, paths: bool = True) -> DataFrame:
     """What each root leads to: (project_id, root, node, level[, path, dax]), the root itself excluded.
 
-    graph (project_id, src, dst, n, label, dax), roots (project_id, root). Breadth first, a level a round:
-    new pairs are those no earlier round has reached, found by an anti-join, so that diamonds do not
-    multiply. Of the shortest paths to a node the one that comes first by edge numbers is kept, as a
-    queue would visit it: path is its array of labels, dax the expression of its last edge. Each
-    root is followed once however many use it. Rounds are written to the shared folder.
+    graph (project_id, src, dst, n, label, dax), roots (project_id, root). By repeated squaring: a round extends what the
+    roots reach within fewer than 2**k edges by the ways of exactly 2**k edges, which is the k-th square of the graph and gives the
+    next. Levels add up, least first; new pairs are those that no earlier round has reached. The first round without any is the last,
+    on rings too, as the way to what lies further would lead through some that lies nearer: there are as many rounds as the depth has
+    binary digits, and two. Of the shortest paths to a node the one that comes first by edge numbers is kept, as a queue would visit it: path is its array of
+    labels, dax the expression of its last edge. Each root is followed once however many use it. Tables between are written to the
+    shared folder and deleted; the result is one written table.
     """
-    graph = written(graph)
-    state = roots.select("project_id", "root").distinct().select("project_id", "root", F.col("root").alias("node"), F.lit(0).alias("level"), F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("path"), F.lit("").alias("dax"))
     keys = ["project_id", "root", "node"]
-    frontier = written(state)
-    g = graph.select("project_id", F.col("src").alias("node"), "dst", *([F.col("n").cast("int").alias("n"), F.col("label").alias("to_label"), F.col("dax").alias("to_dax")] if paths else []))
-    seen, out, level = [frontier.select(*keys)], state.select(*keys, "level", *(["at", "path", "dax"] if paths else [])).limit(0), 0
-    while True:  # ends, as each round finds pairs that are new
-        level += 1
-        step = frontier.join(g, ["project_id", "node"]).withColumns({"node": F.col("dst"), "level": F.lit(level)})
+    more = ["at", "path", "dax"] if paths else []
+    way = F.struct("level", *more)
+    with scratch() as put:
+        edge = F.struct(F.array(F.col("n").cast("int")).alias("at"), F.array("label").alias("path"), "dax") if paths else F.struct(F.lit(0).alias("none"))
+        power = put(graph.groupBy("project_id", "src", "dst").agg(F.min(edge).alias("e")))
+        state = roots.select("project_id", "root").distinct().select("project_id", "root", F.col("root").alias("node"), F.lit(0).alias("level"))
         if paths:
-            step = step.withColumns({"at": F.array_append("at", F.col("n")), "path": F.array_append("path", F.col("to_label")), "dax": F.col("to_dax")})
-            first = step.groupBy(*keys, "level").agg(F.min(F.struct("at", "path", "dax")).alias("x")).select(*keys, "level", "x.*")
-        else:
-            first = step.select(*keys, "level").distinct()
-        frontier = written(first.join(reduce(DataFrame.unionByName, seen), keys, "left_anti"))
-        if frontier.isEmpty():
-            return out.select(*keys, "level", *(["path", "dax"] if paths else []))
-        out = out.unionByName(frontier)
-        seen.append(frontier.select(*keys))
-        if len(seen) > ROUNDS:
-            seen = [written(reduce(DataFrame.unionByName, seen))]
+            state = state.withColumns({"at": F.array().cast("array<int>"), "path": F.array().cast("array<string>"), "dax": F.lit("")})
+        seen = [put(state)]
+        size = 1
+        joined = lambda e, f: F.struct(F.concat(e["at"], f["at"]).alias("at"), F.concat(e["path"], f["path"]).alias("path"), f["dax"].alias("dax")) if paths else F.struct(F.lit(0).alias("none"))
+        while True:
+            ends = power.withColumnRenamed("src", "node").withColumnRenamed("e", "f")
+            step = reduce(DataFrame.unionByName, seen).join(ends, ["project_id", "node"]).withColumn("level", F.col("level") + size)
+            if paths:
+                step = step.withColumn("f", joined(F.struct(*more), F.col("f"))).drop(*more).select("*", "f.*")
+            first = step.select("project_id", "root", F.col("dst").alias("node"), "level", *more).groupBy(*keys).agg(F.min(way).alias("x")).select(*keys, "x.*")
+            new = put(first.join(reduce(DataFrame.unionByName, seen), keys, "left_anti"))
+            if new.isEmpty():
+                break
+            seen.append(new)
+            if len(seen) > ROUNDS:
+                seen = [put(reduce(DataFrame.unionByName, seen))]
+            ahead = power.select("project_id", F.col("src").alias("via"), F.col("dst").alias("end"), F.col("e").alias("f"))
+            squared = power.withColumnRenamed("dst", "via").join(ahead, ["project_id", "via"]).select("project_id", "src", F.col("end").alias("dst"), joined(F.col("e"), F.col("f")).alias("e"))
+            power = put(squared.groupBy("project_id", "src", "dst").agg(F.min("e").alias("e")))
+            size *= 2
+        return written(reduce(DataFrame.unionByName, seen).filter("level > 0").select(*keys, "level", *more[1:]))
 
 
 def on_cycles(graph: DataFrame) -> DataFrame:
     """(project_id, node): nodes that lead back to themselves."""
-    roots = graph.select("project_id", F.col("src").alias("root"))
-    met = closure(graph, roots.join(graph.select("project_id", F.col("dst").alias("root")).distinct(), ["project_id", "root"], "left_semi"), paths=False)
-    back = met.join(graph.select("project_id", F.col("src").alias("node"), F.col("dst").alias("root")), ["project_id", "node", "root"])
-    loops = graph.filter("src = dst").select("project_id", F.col("src").alias("node"))
-    return back.select("project_id", F.col("root").alias("node")).unionByName(loops).distinct()
+    return components(graph).select("project_id", "node").unionByName(graph.filter("src = dst").select("project_id", F.col("src").alias("node"))).distinct()
+
+
+def components(graph: DataFrame) -> DataFrame:
+    """(project_id, node, component): the strongly connected components of more than one node, named by their least node.
+
+    A node's component is what it reaches forward that also reaches back to it; only nodes with edges in and out can be in one.
+    """
+    edges = graph.select("project_id", "src", "dst").filter("src <> dst").distinct().withColumns({"n": F.lit(0), "label": F.lit(""), "dax": F.lit("")})
+    ends = edges.select("project_id", F.col("src").alias("root")).intersect(edges.select("project_id", F.col("dst").alias("root")))
+    met = closure(edges, ends, paths=False).select("project_id", "root", "node")
+    both = met.join(met.select("project_id", F.col("node").alias("root"), F.col("root").alias("node")), ["project_id", "root", "node"], "left_semi")
+    return both.groupBy("project_id", F.col("root").alias("own")).agg(F.min("node").alias("least")).select("project_id", F.col("own").alias("node"), F.least("own", "least").alias("component"))
+
+
+def rings(graph: DataFrame) -> DataFrame:
+    """(project_id, cycle_id, nodes, path): cycles by a rule that no order of search decides.
+
+    An edge is a back edge if it leads to its own source or, within a component, to a lesser node; every cycle has one. Of each back edge the
+    shortest ring through it counts, the first by its nodes among equals, from its least node and back to it; a set of nodes
+    counts once, with its first ring. Rings of a project are numbered by length, then by nodes.
+    """
+    comp = components(graph)
+    edges = graph.select("project_id", "src", "dst").distinct()
+    of = lambda end: comp.select("project_id", F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
+    inside = edges.filter("src <> dst").join(of("src"), ["project_id", "src"]).join(of("dst"), ["project_id", "dst"]).filter("src_component = dst_component")
+    inside = written(inside.select("project_id", "src", "dst"))
+    # Names stand for edge numbers, so that paths compare by nodes.
+    order = inside.select("project_id", F.col("dst").alias("label")).distinct().select("project_id", "label", F.row_number().over(W.partitionBy("project_id").orderBy("label")).alias("n"))
+    links = inside.withColumn("label", F.col("dst")).join(order, ["project_id", "label"]).withColumn("dax", F.lit(""))
+    back = inside.filter("dst < src")
+    ways = closure(links, back.select("project_id", F.col("dst").alias("root")))
+    ring = ways.join(back.select("project_id", F.col("dst").alias("root"), F.col("src").alias("node")), ["project_id", "root", "node"])
+    nodes = ring.select("project_id", F.concat(F.array("root"), "path").alias("nodes")).unionByName(edges.filter("src = dst").select("project_id", F.array("src").alias("nodes")))
+    least = F.array_position("nodes", F.array_min("nodes")).cast("int")
+    turned = nodes.select("project_id", F.concat(F.slice("nodes", least, F.size("nodes")), F.slice("nodes", F.lit(1), least - 1)).alias("nodes"))
+    once = turned.groupBy("project_id", F.array_sort("nodes").alias("set")).agg(F.min("nodes").alias("nodes"))
+    number = F.row_number().over(W.partitionBy("project_id").orderBy(F.size("nodes"), "nodes"))
+    closed = F.concat("nodes", F.slice("nodes", 1, 1))
+    return once.select("project_id", F.concat(F.lit("Cycle-"), number).alias("cycle_id"), closed.alias("nodes"), F.array_join(closed, " -> ").alias("path"))
 
 
 def cycles(graph: DataFrame, order: DataFrame) -> DataFrame:

@@ -18,36 +18,62 @@ def object_universe(measures: DataFrame, calculated: DataFrame, columns: DataFra
     return every.withColumn("canonical", N.canonical(F.col("object_type"), F.col("table_name"), F.col("object_name")))
 
 
-def reached(usage: DataFrame, graph: DataFrame, paths: bool = True) -> DataFrame:
-    """usage (project_id, canonical, ...) joined with what it leads to: node, level and, if asked for, path and dax.
+def reach(usage: DataFrame, graph: DataFrame, paths: bool = True) -> DataFrame:
+    """The closure of all objects that are used, each of which is followed once."""
+    return G.closure(graph, usage.select("project_id", F.col("canonical").alias("root")), paths)
 
-    The closure runs once for each object that is used, and is joined back to the rows that use it.
-    """
-    roots = usage.select("project_id", F.col("canonical").alias("root"))
-    met = G.closure(graph, roots, paths)
-    return usage.join(met.withColumnRenamed("root", "canonical"), ["project_id", "canonical"])
 
+def lineage(usage: DataFrame, met: DataFrame) -> DataFrame:
+    """Distinct paths from a visual's object to another: usage rows and their reach() in, the first usage row of each path out.
 
-def lineage(indirect: DataFrame) -> DataFrame:
-    """Distinct paths from a visual's object to another: usage rows and reached()'s columns in, the first
-    usage row of each path out. usage needs page_name, visual_name, visual_title, object_name and ord."""
-    text = F.concat_ws(" -> ", "object_name", "path")
+    usage needs page_name, visual_name, visual_title, object_name and ord; rows alike in what is shown meet as one.
+    """
+    shown = ["project_id", "page_name", "visual_name", "object_name"]
+    once = usage.groupBy(*shown, "canonical").agg(F.min(F.struct("ord", "visual_title")).alias("u"))
+    rows = once.join(met.withColumnRenamed("root", "canonical"), ["project_id", "canonical"])
     keys = ["project_id", "page_name", "visual_name", "direct_object", "indirect_object", "dependency_path"]
-    rows = indirect.withColumns({"direct_object": F.col("object_name"), "indirect_object": F.element_at("path", -1), "dependency_path": text})
-    first = F.min(F.struct("ord", "visual_title", F.col("level").alias("dependency_level"), F.col("dax").alias("dax_expression"))).alias("x")
+    rows = rows.withColumns({"direct_object": F.col("object_name"), "indirect_object": F.element_at("path", -1), "dependency_path": F.concat_ws(" -> ", "object_name", "path")})
+    first = F.min(F.struct("u.ord", "u.visual_title", F.col("level").alias("dependency_level"), F.col("dax").alias("dax_expression"))).alias("x")
     return rows.groupBy(*keys).agg(first).select(*keys, "x.visual_title", "x.dependency_level", "x.dax_expression")
 
 
-def object_usage(universe: DataFrame, usage: DataFrame, indirect: DataFrame) -> DataFrame:
+def numbered_places(usage: DataFrame) -> DataFrame:
+    """usage with `number`: that of its place, a page's name and a visual's id, among those of the project, from 1.
+
+    Numbers are dense but for gaps where a project's places lie in several partitions of the written table.
+    """
+    placed = usage.withColumn("place", F.struct("page_name", "visual_id"))
+    found = G.written(placed.select("project_id", "place").distinct().sort("project_id").withColumn("id", F.monotonically_increasing_id()))
+    first = found.groupBy("project_id").agg(F.min("id").alias("first"))
+    numbers = found.join(first, "project_id").select("project_id", "place", (F.col("id") - F.col("first") + 1).alias("number"))
+    return placed.join(numbers, ["project_id", "place"]).drop("place")
+
+
+def used_by_root(usage: DataFrame) -> DataFrame:
+    """(project_id, root, bucket, uses, map): for each object that is used, its uses and its places as exact bitmaps, a row a bucket of place numbers.
+
+    A bitmap is cut after its last set bit, so that the few places of a small project take a few bytes.
+    """
+    bit = F.bitmap_bit_position("number")
+    rows = numbered_places(usage).groupBy("project_id", F.col("canonical").alias("root"), F.bitmap_bucket_number("number").alias("bucket"))
+    found = rows.agg(F.count("*").alias("uses"), F.bitmap_construct_agg(bit).alias("map"), F.max(bit).alias("last"))
+    return found.withColumn("map", F.substring("map", F.lit(1), (F.floor(F.col("last") / 8) + 1).cast("int"))).drop("last")
+
+
+def object_usage(universe: DataFrame, usage: DataFrame, met: DataFrame) -> DataFrame:
     """Each object's counts and class. A location is a page's name and a visual's id; direct and indirect
-    uses at one location count it once."""
-    place = F.struct("page_name", "visual_id").alias("place")
-    uses = usage.select("project_id", "canonical", F.lit(1).alias("direct"), F.lit(0).alias("indirect"), place).unionByName(
-        indirect.select("project_id", F.col("node").alias("canonical"), F.lit(0).alias("direct"), F.lit(1).alias("indirect"), place)
-    )
-    # By place first, so that an object used everywhere is combined before its rows meet.
-    by_place = uses.groupBy("project_id", "canonical", "place").agg(F.sum("direct").alias("direct"), F.sum("indirect").alias("indirect"))
-    counts = by_place.groupBy("project_id", "canonical").agg(F.sum("direct").alias("direct_count"), F.sum("indirect").alias("indirect_count"), F.count("*").alias("location_count"))
+    uses at one location count it once.
+
+    met: reach() of usage. Uses are summed and their places made a bitmap for each object that is used, before these meet what the object
+    leads to; sums add up and bitmaps are or-ed along the closure, which no row of usage meets.
+    """
+    own = G.written(used_by_root(usage))
+    ways = met.select("project_id", "root", "node", F.lit(False).alias("direct"))
+    ways = ways.unionByName(own.select("project_id", "root").distinct().select("project_id", "root", F.col("root").alias("node"), F.lit(True).alias("direct")))
+    flow = ways.join(own, ["project_id", "root"]).withColumnRenamed("node", "canonical")
+    sums = lambda direct: F.sum(F.when(F.col("direct") == F.lit(direct), F.col("uses")).otherwise(0))
+    by_bucket = flow.groupBy("project_id", "canonical", "bucket").agg(sums(True).alias("d"), sums(False).alias("i"), F.bitmap_count(F.bitmap_or_agg("map")).alias("places"))
+    counts = by_bucket.groupBy("project_id", "canonical").agg(F.sum("d").alias("direct_count"), F.sum("i").alias("indirect_count"), F.sum("places").alias("location_count"))
     found = universe.join(counts, ["project_id", "canonical"], "left").fillna(0, ["direct_count", "indirect_count", "location_count"])
     direct, other = F.col("direct_count") > 0, F.col("indirect_count") > 0
     kind = F.when(direct & other, "Direct + Indirect").when(direct, "Direct").when(other, "Indirect").otherwise("Unused")

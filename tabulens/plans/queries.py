@@ -331,7 +331,7 @@ def bound_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = B.load(spark, sf_dir, ["part"])["part"]
     universe = part.selectExpr("'p' AS project_id", "0 AS part", "p_partkey AS ord", "'Measure' AS object_type", "p_brand AS table_name", "'M' || p_partkey AS object_name", "'MEASURE:' || p_partkey AS canonical")
     used = bound_usage(spark, sf_dir)
-    return usage.object_usage(universe, used, usage.reached(used, bound_edges(spark, sf_dir), paths=False))
+    return usage.object_usage(universe, used, usage.reach(used, bound_edges(spark, sf_dir), paths=False))
 
 
 @query(f"{REACH} SELECT root, node, CAST(level AS INT) AS level FROM met")
@@ -349,7 +349,7 @@ def g4_transitive_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM u JOIN best ON best.root = u.l_partkey""")
 def g5_usage_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = bound_usage(spark, sf_dir)
-    found = usage.lineage(usage.reached(used, bound_edges(spark, sf_dir)))
+    found = usage.lineage(used, usage.reach(used, bound_edges(spark, sf_dir)))
     return found.select("page_name", "visual_name", "direct_object", "indirect_object", "dependency_path", "dependency_level")
 
 
@@ -449,6 +449,27 @@ def g3_cycle_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(rings, rings.selectExpr("project_id", "src", "CAST(src AS BIGINT) AS at"))
 
 
+#: In each ten suppliers a ring and chords across it, so that rings share nodes; one leads to itself, and the first ten of a project lead to the second.
+SHARED_RINGS = """SELECT DISTINCT s // 20 AS project, 'N' || lpad(CAST(s AS VARCHAR(19)), 8, '0') AS src, 'N' || lpad(CAST(t AS VARCHAR(19)), 8, '0') AS dst FROM (
+        SELECT s_suppkey AS s, s_suppkey - s_suppkey % 10 + (s_suppkey + 1) % 10 AS t FROM supplier
+        UNION ALL SELECT s_suppkey AS s, s_suppkey - s_suppkey % 10 + (s_suppkey + 7) % 10 AS t FROM supplier WHERE s_suppkey % 10 % 3 = 0
+        UNION ALL SELECT s_suppkey AS s, s_suppkey AS t FROM supplier WHERE s_suppkey % 10 = 5
+        UNION ALL SELECT s_suppkey AS s, s_suppkey + 1 AS t FROM supplier WHERE s_suppkey % 20 = 9) AS x"""
+
+
+@query(f"""WITH RECURSIVE e AS ({SHARED_RINGS}), back AS (SELECT * FROM e WHERE dst < src),
+    walk AS (SELECT DISTINCT project, dst AS root, dst AS node, [dst] AS way FROM back
+             UNION ALL SELECT w.project, w.root, e.dst, list_append(w.way, e.dst) FROM walk w JOIN e ON e.project = w.project AND e.src = w.node WHERE NOT list_contains(w.way, e.dst)),
+    best AS (SELECT w.project, b.src, b.dst, min({{'n': len(way), 'way': way}}) AS b FROM back b JOIN walk w ON w.project = b.project AND w.root = b.dst AND w.node = b.src GROUP BY ALL),
+    ring AS (SELECT project, b.way AS way FROM best UNION ALL SELECT project, [src] FROM e WHERE src = dst),
+    turned AS (SELECT project, way[list_position(way, list_min(way)):] || way[:list_position(way, list_min(way)) - 1] AS way FROM ring),
+    once AS (SELECT project, min(way) AS way FROM turned GROUP BY project, list_sort(way))
+    SELECT CAST(project AS VARCHAR) AS project_id, 'Cycle-' || row_number() OVER (PARTITION BY project ORDER BY len(way), way) AS cycle_id, array_to_string(list_append(way, way[1]), ' -> ') AS path, CAST(len(way) AS INT) AS size FROM once""")
+def g3_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = B.bound(spark, sf_dir, SHARED_RINGS.replace("s // 20", "s DIV 20")).selectExpr("CAST(project AS STRING) AS project_id", "src", "dst", "'' AS label", "'' AS dax", "0 AS n")
+    return graph.rings(edges).select("project_id", "cycle_id", "path", (F.size("nodes") - 1).alias("size"))
+
+
 # --- Visuals ----------------------------------------------------------------------------------
 
 TYPE = """CASE event_id % 8 WHEN 0 THEN 'Card' WHEN 1 THEN 'Clustered Column Chart' WHEN 2 THEN 'Table' WHEN 3 THEN 'Some3D New Type' WHEN 4 THEN 'Line Chart' WHEN 7 THEN 'My_Visual' ELSE 'Unknown' END"""
