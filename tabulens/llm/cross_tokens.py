@@ -22,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, discard, read_file
+from .common import by_bytes, cut, discard, gather, read_file
 
 FOLDER = os.environ.get("TABULENS_TOKENIZERS", "/opt/tokenizers")
 A_PATH, B_PATH = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
-#: Stripes of ids; bytes of text that a batch holds (or one text); characters of a text that are encoded at once.
-STRIPES, BYTES, PART = 128, 2 << 20, 1 << 20
+#: Stripes of ids; bytes of text that a batch holds (or one text); distinct units that are encoded as one text.
+STRIPES, BYTES, RUN = 128, 2 << 20, 256
 #: Pairs that a task adds up before it sends them on; rows that are added into one block, and batches that one block scores, at most or so.
 PAIRS, ROWS = 1 << 21, 128
 #: A space between two characters that are none: both tokenizers part a text there.
@@ -77,27 +77,48 @@ class Tokenizers:
         self.a_words = np.array([f"{i}{end}".encode() for i in range(len(self.a_bytes)) for end in ",|"], object)
         self.b_words = np.array([f"{i}{end}".encode() for i in range(len(names)) for end in (",", ";", "")], object)
 
-    def parts(self, text: str) -> list[str]:
-        out, at = [], 0
-        while not self.whole and len(text) - at > PART and (m := PLACE.search(text, at + PART)):
-            out.append(text[at : m.start()])
-            at = m.end()
-        return [*out, text[at:]]
-
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of each text on both sides; none if it is null or empty, or either side's bytes are not a space and the text."""
-        parts = [self.parts(t) if t else [] for t in texts]
-        flat = list(chain.from_iterable(parts))
-        a = [x.ids for x in self.a.encode_batch_fast([" " + p for p in flat], add_special_tokens=False)]
-        b, k, out = self.b.encode(flat, num_threads=1) if flat else [], 0, ([], [])
-        for text, own in zip(texts, parts, strict=True):
-            sides = [list(chain.from_iterable(x[k : k + len(own)])) if len(own) != 1 else x[k] for x in (a, b)]
-            k += len(own)
-            want = f" {text}".encode() if text else b""
-            same = all(b"".join(map(table.__getitem__, ids)) == want for table, ids in zip((self.a_bytes, self.b_bytes), sides, strict=True))
-            for side, ids in zip(out, sides, strict=True):
-                side.append(ids if same else [])
-        return out
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of both sides the ids of all texts and their number in each; none if a text is null or empty, or either side's bytes are not a space and the text.
+
+        Texts are cut where both sides part, and each distinct unit of all texts is encoded once.
+        """
+        parts = [([t] if self.whole else PLACE.split(t)) if t else [] for t in texts]
+        coded = pa.array(chain.from_iterable(parts), pa.string()).dictionary_encode()
+        sides, good = self.units(coded.dictionary.to_pylist())
+        use, text = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), np.fromiter(map(len, parts), np.int64, len(parts)))
+        keep = (np.bincount(text, ~good[use], len(texts)) == 0)[text]
+        use, text = use[keep], text[keep]
+        return [(ids[gather(start[use], size[use])], np.bincount(text, size[use], len(texts)).astype(np.int64)) for ids, start, size in sides]
+
+    def units(self, units: list[str]) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+        """Of both sides (ids, start, size) by unit, and which units give their own bytes on both.
+
+        Units that white space can't join to their neighbours are encoded many in one text, parted by spaces; those with white space at an end or a
+        written mark of space, and all if anything does not fit, one by one.
+        """
+        odd = np.array([self.whole or u[0].isspace() or u[-1].isspace() or "▁" in u for u in units], bool)
+        plain = np.flatnonzero(~odd).tolist()
+        runs = [" ".join(units[k] for k in plain[s : s + RUN]) for s in range(0, len(plain), RUN)]
+        want = "".join(" " + r for r in runs).encode()
+        ends = np.cumsum([len(units[k].encode()) + 1 for k in plain], dtype=np.int64)
+        flat = [list(chain.from_iterable(x.ids for x in self.a.encode_batch_fast([" " + r for r in runs], add_special_tokens=False))), list(chain.from_iterable(self.b.encode(runs, num_threads=1) if runs else ()))]
+        places = [np.cumsum(sizes[np.array(ids, np.int64)]) for ids, sizes in zip(flat, self.sizes, strict=True)]
+        fits = all(b"".join(map(table.__getitem__, ids)) == want and np.isin(ends, p).all() for table, ids, p in zip((self.a_bytes, self.b_bytes), flat, places, strict=True))
+        if not fits:
+            plain, odd, flat, places, ends = [], np.ones(len(units), bool), [[], []], [np.zeros(0, np.int64)] * 2, ends[:0]
+        good, out = ~odd, []
+        alone = [(k, self.a.encode(" " + units[k], add_special_tokens=False).ids, self.b.encode(units[k])) for k in np.flatnonzero(odd).tolist()]
+        for k, *ids in alone:
+            good[k] = all(b"".join(map(table.__getitem__, x)) == f" {units[k]}".encode() for table, x in zip((self.a_bytes, self.b_bytes), ids, strict=True))
+        for side in range(2):
+            start, size = np.zeros((2, len(units)), np.int64)
+            last = np.searchsorted(places[side], ends) + 1
+            start[plain], size[plain] = np.r_[0, last[:-1]][: len(last)], np.diff(last, prepend=0)
+            single = [x[side + 1] for x in alone]
+            size[odd] = list(map(len, single))
+            start[odd] = len(flat[side]) + np.cumsum(size[odd]) - size[odd]
+            out.append((np.array(flat[side] + list(chain.from_iterable(single)), np.int64), start, size))
+        return out, good
 
 
 @lru_cache(maxsize=1)
@@ -108,9 +129,9 @@ def loaded(a: bytes, b: bytes) -> Tokenizers:
 class Aligned:
     """The links and groups of a batch of texts, whose tokens lie end to end."""
 
-    def __init__(self, known: Tokenizers, a: list[list[int]], b: list[list[int]]) -> None:
-        self.known, self.n = known, [np.fromiter(map(len, side), np.int64, len(side)) for side in (a, b)]
-        self.ids = [np.fromiter(chain.from_iterable(side), np.int64, n.sum()) for side, n in zip((a, b), self.n, strict=True)]
+    def __init__(self, known: Tokenizers, sides: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.known, self.ids, self.n = known, [ids for ids, _ in sides], [n for _, n in sides]
+        texts = len(self.n[0])
         self.ends = [np.cumsum(size[ids]) for size, ids in zip(known.sizes, self.ids, strict=True)]
         marks = [np.zeros((e[-1] if len(e) else 0) + 1, bool) for e in self.ends]
         for mark, e in zip(marks, self.ends, strict=True):
@@ -121,8 +142,8 @@ class Aligned:
         last = np.cumsum(self.n[0])
         bytes_at = np.r_[0, self.ends[0]][last] if len(last) else last
         self.text = np.searchsorted(bytes_at, at)  # that of each link; texts without tokens have none
-        self.n_links = np.bincount(self.text, minlength=len(a))
-        self.n_groups = np.bincount(self.text[self.common[at]], minlength=len(a))
+        self.n_links = np.bincount(self.text, minlength=texts)
+        self.n_groups = np.bincount(self.text[self.common[at]], minlength=texts)
 
     def groups(self) -> list[bytes]:
         """The groups of each text as `a1,a2|b1;a3|b2,b3`."""
@@ -184,7 +205,7 @@ def encoded(docs: DataFrame, files: tuple[bytes, bytes], digest: bool) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, first = loaded(*sent.value), TaskContext.get().partitionId() << 40
         for k, b in enumerate(part for whole in batches for part in by_bytes(whole, 1, BYTES)):
-            found = Aligned(known, *known.encode(b.column(1).to_pylist()))
+            found = Aligned(known, known.encode(b.column(1).to_pylist()))
             spelt = [hashlib.sha256(g).hexdigest() if digest and g else g.decode() for g in found.groups()]
             lists = [b.column(0), *map(pa.array, (*found.n, found.n_groups, found.n_links)), pa.array(spelt, pa.string())]
             links = pa.array([dict(zip(("stripe", "cells", "texts"), s, strict=True)) for s in found.stripes()], shape)
@@ -315,7 +336,7 @@ def align(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH, digest: b
     strings are plain text. Where tokens of both sides end, groups part; groups: their ids as `a1,a2|b1;a3|b2,b3`, or with `digest` the SHA-256 of that.
     Links: pairs of tokens whose bytes overlap. A pair's count is the number of rows in which it is linked; n_best links have the greatest count of
     their A id, ties included; count_sum adds up the counts of all links. Null and empty texts, and those whose tokens' bytes are not a space
-    and the text, have no tokens: zeros and ''. Whole texts are encoded; long ones part by part, cut where both sides part. Rows that share a doc_id, or
+    and the text, have no tokens: zeros and ''. Whole texts are encoded, by units between which both sides part. Rows that share a doc_id, or
     have none, are each by itself, and copies count each. An empty table gives an empty result; other columns are ignored.
 
     Texts are encoded once. Links are written packed by batch and stripe, shuffled once by (stripe, group of batches) to meet the stripe's block.

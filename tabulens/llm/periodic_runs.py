@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bound, by_bytes
+from .common import WORD, bound, by_bytes, gather
 
 #: Words of the shortest run; it holds two periods at least.
 LEAST = 12
@@ -25,11 +25,6 @@ LEAST = 12
 BYTES, VISITS = 4 << 20, 1 << 21
 
 
-def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers of several intervals, one after another."""
-    return np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-
-
 def leaves(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """The suffixes of x in order, and their ranks by their first 1, 2, 4, ... symbols until no two tie.
 

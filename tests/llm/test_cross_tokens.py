@@ -89,8 +89,22 @@ def test_long_texts_are_encoded_as_a_whole(spark, monkeypatch):
     whole = sorted(map(tuple, cross_tokens.align(docs).collect()))
     a = Tokenizer.from_file(cross_tokens.A_PATH)
     assert [r[1] for r in whole] == [len(a.encode(" " + t, add_special_tokens=False).ids) for _, t in rows]
-    monkeypatch.setattr(cross_tokens, "PART", 50)
-    assert sorted(map(tuple, cross_tokens.align(docs).collect())) == whole
+    for run in (1, 3):
+        monkeypatch.setattr(cross_tokens, "RUN", run)
+        assert sorted(map(tuple, cross_tokens.align(docs).collect())) == whole
+
+
+def test_units_are_those_of_the_libraries(monkeypatch):
+    """Encoded many at once, one by one because one of them does not fit, or by themselves: ids are those of each unit alone."""
+    known = cross_tokens.Tokenizers(*(cross_tokens.read_file(p) for p in (cross_tokens.A_PATH, cross_tokens.B_PATH)))
+    units = ["the", "of", " x", "y ", "a▁b", "x\ny", "z" * 300, "漢字", "<s>", "\u00a0q", "<|endoftext|>"]
+    for k in range(2):
+        if k:  # nothing fits
+            monkeypatch.setattr(cross_tokens.np, "isin", lambda *a: cross_tokens.np.zeros(1, bool))
+        sides, good = known.units(units)
+        assert [units[i] for i in range(len(units)) if not good[i]] == ["a▁b"]
+        for (ids, start, size), encode in zip(sides, (lambda u: known.a.encode(" " + u, add_special_tokens=False).ids, known.b.encode), strict=True):
+            assert [ids[s : s + n].tolist() for s, n in zip(start, size, strict=True)] == [encode(u) for u in units]
 
 
 def test_no_rows(spark):
