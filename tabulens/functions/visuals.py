@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
 
 from .names import strip
 
@@ -26,9 +21,6 @@ TYPE_NAMES = {
     "waterfallchart": "Waterfall Chart", "decompositiontree": "Decomposition Tree", "pythonvisual": "Python Visual",
     "rvisual": "R Visual", "keyinfluencers": "Key Influencers",
 }
-FIELD = "array<struct<table:string,name:string,kind:string>>"
-FIELD_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("table", "name", "kind")]))
-
 
 def title_case(text: Column) -> Column:
     """Each run of letters with its first letter in upper case and the rest in lower case."""
@@ -91,67 +83,54 @@ def explicit_name(doc: Column) -> Column:
     return F.coalesce(*[F.nullif(text_at(doc, p), F.lit("")) for p in paths], F.lit(""))
 
 
-def query_reference(text: str) -> tuple[str | None, str, None]:
-    """Table and field of a reference such as Table.Field, Agg(Table.Field) or Table.Field.Variation.Level."""
-    text = text.strip()
-    if wrapped := re.fullmatch(r"[a-zA-Z0-9_]+\((.*)\)", text):
-        text = wrapped[1].strip()
-    marks = "'\"[]"
-    table, dot, field = text.partition(".")
-    if not dot:
-        return None, text.strip(marks), None
-    field = field.strip().strip(marks)
-    return table.strip().strip(marks), field.split(".", 1)[0].strip().strip(marks), None
+def query_reference(text: Column) -> Column:
+    """struct(table, name, kind) of a reference such as Table.Field, Agg(Table.Field) or Table.Field.Variation.Level."""
+    bare = lambda x: F.btrim(strip(x), F.lit("'\"[]"))
+    inner = F.regexp_extract(strip(text), r"^[a-zA-Z0-9_]+\((.*)\)$", 1)
+    wrapped = strip(text).rlike(r"^[a-zA-Z0-9_]+\(.*\)$")
+
+    def parts(x: Column) -> Column:
+        dot = F.locate(".", x)
+        field = bare(F.substr(x, dot + 1))
+        table = F.when(dot > 0, bare(F.substring_index(x, ".", 1)))
+        name = F.when(dot > 0, bare(F.substring_index(field, ".", 1))).otherwise(F.btrim(x, F.lit("'\"[]")))
+        return F.struct(table.alias("table"), name.alias("name"), F.lit(None).cast("string").alias("kind"))
+
+    return bound(F.when(wrapped, strip(inner)).otherwise(strip(text)), parts)
 
 
-def aliases(doc: dict) -> dict[str, str]:
-    single = doc.get("singleVisual")
-    query = doc.get("prototypeQuery") or (single.get("prototypeQuery") if isinstance(single, dict) else None)
-    sources = query.get("From") if isinstance(query, dict) else None
-    pairs = [(s.get("Name"), s.get("Entity")) for s in sources or () if isinstance(s, dict)]
-    return {a: e for a, e in pairs if a and e}
+def aliases(doc: Column) -> Column:
+    """map<string,string> of a visual's query (variant): its sources' short names and what they stand for; the last of one name counts."""
+    query = F.coalesce(filled(doc, "$.prototypeQuery"), at(doc, "$.singleVisual.prototypeQuery", "variant"))
+    sources = F.coalesce(F.try_variant_get(query, "$.From", "array<struct<Name:string,Entity:string>>"), F.array().cast("array<struct<Name:string,Entity:string>>"))
+    named = F.filter(sources, lambda x: (F.coalesce(x["Name"], F.lit("")) != "") & (F.coalesce(x["Entity"], F.lit("")) != ""))
+    last = lambda x, i: F.array_max(F.transform(F.sequence(F.lit(0), F.size(named) - 1), lambda j: F.when(F.get(named, j)["Name"] == x["Name"], j))) == i
+    return F.when(F.size(named) > 0, F.map_from_entries(F.filter(named, last)))
 
 
 #: Objects that name a field, the property that does, and the kind of field.
 NAMED_BY = (("Column", "Property", "Column"), ("Measure", "Property", "Measure"), ("HierarchyLevel", "Level", "Column"))
 
 
-def references(raw: str | None) -> list[tuple[str | None, str, str | None]]:
-    """All field references anywhere in a visual's JSON: (table, name, kind); what is not JSON has none."""
-    try:
-        doc = json.loads(raw or "")
-    except ValueError:
-        return []
-    known = aliases(doc) if isinstance(doc, dict) else {}
-    found: dict[tuple[str | None, str, str | None], None] = {}
-    rest = [doc]
-    while rest:
-        x = rest.pop()
-        if isinstance(x, list):
-            rest += x
-        elif isinstance(x, dict):
-            rest += x.values()
-            for holder, prop, kind in NAMED_BY:
-                named = x.get(holder)
-                if isinstance(named, dict) and named.get(prop):
-                    ref = named.get("Expression")
-                    ref = ref.get("SourceRef") if isinstance(ref, dict) else None
-                    ref = ref if isinstance(ref, dict) else {}
-                    found[ref.get("Entity") or known.get(ref.get("Source")), str(named[prop]), kind] = None
-            if isinstance(x.get("queryRef"), str):
-                found[query_reference(x["queryRef"])] = None
-    return list(found)
-
-
-@arrow_udf(FIELD_TYPE)
-def raw_fields(raw: pa.Array) -> pa.Array:
-    """references() of a batch. A nested document has no bound on its depth, so that it is walked here."""
-    rows = [[dict(zip(FIELD_TYPE.elementType.names, f, strict=True)) for f in references(x.as_py())] for x in raw]
-    return pa.array(rows, pa.list_(pa.struct([(n, pa.string()) for n in FIELD_TYPE.elementType.names])))
-
-
-def fields(raw: Column, title: Column) -> Column:
-    """raw_fields, and the first bracketed name in the title."""
+#: Names of the entries that may name a field.
+HOLDERS = (*(holder for holder, _, _ in NAMED_BY), "queryRef")
+
+
+def field_at(key: Column, value: Column, known: Column) -> Column:
+    """struct(table, name, kind) that an entry of an object names, or null. known: aliases()."""
+
+    def of(prop: str, kind: str) -> Column:
+        name = F.nullif(at(value, f"$.{prop}"), F.lit(""))
+        source = at(value, "$.Expression.SourceRef.Source")
+        table = F.coalesce(F.nullif(at(value, "$.Expression.SourceRef.Entity"), F.lit("")), F.when(known.isNotNull(), F.try_element_at(known, source)))
+        return F.when(name.isNotNull() & ~name.isin("{}", "[]"), F.struct(table.alias("table"), name.alias("name"), F.lit(kind).alias("kind")))
+
+    named = [F.when(key == holder, of(prop, kind)) for holder, prop, kind in NAMED_BY]
+    asked = F.when((key == "queryRef") & (F.schema_of_variant(value) == "STRING"), query_reference(at(value, "$")))
+    return F.coalesce(*named, asked)
+
+
+def title_field(title: Column) -> Column:
+    """struct(table, name, kind) of the first bracketed name in a title, or null."""
     named = F.regexp_extract(F.coalesce(title, F.lit("")), r"\[([^\]]+)\]", 1)
-    more = F.when(named != "", F.array(F.struct(F.lit(None).cast("string").alias("table"), named.alias("name"), F.lit(None).cast("string").alias("kind"))))
-    return F.concat(raw_fields(raw), F.coalesce(more, F.array().cast(FIELD)))
+    return F.when(named != "", F.struct(F.lit(None).cast("string").alias("table"), named.alias("name"), F.lit(None).cast("string").alias("kind")))

@@ -1,7 +1,6 @@
 """Questions about a model: the names in them, what they ask for, and what they refer back to.
 
-Names are matched against questions of their own project: a project's names are few, and a question
-meets those alone.
+Names are matched against questions of their own project, by an inverted index of the names' grams.
 """
 
 from __future__ import annotations
@@ -10,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import written
+
+#: Characters of a gram, by which names are looked up.
+GRAM = 3
 #: Words that ask for a part of the context, and phrases that refer back.
 INTENTS = {
     "unused_objects_summary": ("unused", "orphan", "clean up", "redundant", "dead"),
@@ -37,24 +40,44 @@ def refers_back(text: Column) -> Column:
     return F.startswith(q, F.lit("it ")) | F.exists(F.array(*[F.lit(p) for p in PRONOUNS]), lambda p: F.contains(q, p))
 
 
-def with_names(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """Questions with all names of their project as an array: one row a question, no pairs are made.
-    The array is as large as the project's model, and goes to its questions by an equi-join."""
-    per = names.filter("name <> ''").groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("names"))
-    return questions.join(per, "project_id")
+def grams(text: Column, size: int) -> Column:
+    """The distinct substrings of so many characters, found in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def index(names: DataFrame) -> DataFrame:
+    """(project_id, gram, ord, name): an inverted index of names, in any case.
+
+    Each name stands once, under the gram of its own that the fewest names of its project have; one shorter than a gram under itself.
+    """
+    once = names.filter("name <> ''").select("project_id", "ord", "name").distinct()
+    low = F.lower("name")
+    each = once.withColumn("gram", F.explode(F.when(F.length(low) < GRAM, F.array(low)).otherwise(grams(low, GRAM))))
+    often = each.groupBy("project_id", "gram").agg(F.count("*").alias("often"))
+    rarest = F.min_by("gram", F.struct("often", "gram")).alias("gram")
+    return each.join(often, ["project_id", "gram"]).groupBy("project_id", "ord", "name").agg(rarest)
 
 
 def contained(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """Questions with each name that their text contains, in any case."""
-    found = F.filter("names", lambda n: F.contains(F.lower("text"), F.lower(n["name"])))
-    return with_names(questions, names).withColumn("n", F.explode(found)).select(*questions.columns, "n.ord", "n.name")
+    """Questions with each name that their text contains, in any case.
+
+    A text that contains a name has the name's rarest gram: names meet questions by an equi-join on it, and what meets is verified. Neither
+    the names of a project nor its questions are gathered; texts are not sent with their grams.
+    """
+    taken = {c.lower() for c in [*questions.columns, *names.columns]}
+    row = next(r for r in ("row_", "row__", "row___") if r not in taken)
+    asked = written(questions.withColumn(row, F.monotonically_increasing_id()))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    sizes = F.flatten(F.array(*[grams(low, q) for q in range(1, GRAM + 1)]))
+    own = asked.select("project_id", row, F.explode(sizes).alias("gram"))
+    met = own.join(index(names), ["project_id", "gram"]).select(row, "ord", "name")
+    return asked.join(met, row).filter(F.contains(low, F.lower("name"))).select(*questions.columns, "ord", "name")
 
 
 def whole_words(questions: DataFrame, names: DataFrame) -> DataFrame:
     """Questions with each name that stands in their text as a whole word, in any case."""
-    pattern = lambda n: F.concat(F.lit("(?U)\\b\\Q"), F.lower(n["name"]), F.lit("\\E\\b"))
-    found = F.filter("names", lambda n: F.contains(F.lower("text"), F.lower(n["name"])) & F.regexp(F.lower("text"), pattern(n)))
-    return with_names(questions, names).withColumn("n", F.explode(found)).select(*questions.columns, "n.ord", "n.name")
+    pattern = F.concat(F.lit("(?U)\\b\\Q"), F.lower("name"), F.lit("\\E\\b"))
+    return contained(questions, names).filter(F.regexp(F.lower("text"), pattern))
 
 
 def recent_entity(messages: DataFrame, measures: DataFrame, tables: DataFrame, back: int = 4) -> DataFrame:
@@ -65,17 +88,15 @@ def recent_entity(messages: DataFrame, measures: DataFrame, tables: DataFrame, b
     """
     newest = F.row_number().over(W.partitionBy("project_id", "conv_id").orderBy(F.desc("turn")))
     recent = messages.withColumn("back", newest).filter(F.col("back") <= back)
-    bracket = lambda n: F.contains(F.lower("text"), F.concat(F.lit("["), F.lower(n["name"]), F.lit("]")))
-    inside = lambda n: F.contains(F.lower("text"), F.lower(n["name"]))
+    bracketed = F.contains(F.lower("text"), F.concat(F.lit("["), F.lower("name"), F.lit("]")))
 
-    def hits(names: DataFrame, kind: str, ranks: list) -> DataFrame:
-        rank = lambda n: F.coalesce(*[F.when(p(n), r) for r, p in ranks])
-        met = F.filter(F.transform("names", lambda n, i: F.struct(rank(n).alias("rank"), i.alias("at"), n["name"].alias("name"))), lambda x: x["rank"].isNotNull())
-        return with_names(recent, names).select("project_id", "conv_id", "back", F.lit(kind).alias("kind"), F.explode(met).alias("h"))
+    def best(names: DataFrame, kind: str, rank: Column) -> DataFrame:
+        hits = contained(recent, names).withColumn("rank", rank)
+        first = F.min_by(F.struct("back", "rank", F.lit(kind).alias("kind"), "name"), F.struct("back", "rank", "ord", "name"))
+        return hits.groupBy("project_id", "conv_id").agg(first.alias("x")).select("project_id", "conv_id", "x")
 
-    every = hits(measures, "measure", [(0, bracket), (1, inside)]).unionByName(hits(tables, "table", [(2, inside)]))
-    first = F.min_by(F.struct("kind", "h.name"), F.struct("back", "h.rank", "h.at"))
-    return every.groupBy("project_id", "conv_id").agg(first.alias("x")).select("project_id", "conv_id", "x.*")
+    every = best(measures, "measure", F.when(bracketed, 0).otherwise(1)).unionByName(best(tables, "table", F.lit(2)))
+    return every.groupBy("project_id", "conv_id").agg(F.min_by("x", F.struct("x.back", "x.rank")).alias("x")).select("project_id", "conv_id", "x.kind", "x.name")
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:

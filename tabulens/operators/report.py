@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import visuals as V
+from .graph import written
 from .resolve import Catalog, resolve_fields
 
+#: Levels of nesting that are walked in one plan.
+LEVELS = 10
+TITLE = "[title]"
+
 
 def visuals(raw: DataFrame) -> DataFrame:
     """Raw visuals (schemas.RAW_VISUAL) with their types, titles and names.
@@ -38,9 +45,42 @@ def shown_title(title: Column) -> Column:
     return F.when(title.isin("", "None", "Untitled") | title.isNull(), "Untitled").otherwise(text)
 
 
+def field_references(found: DataFrame) -> DataFrame:
+    """found without raw and with f (table, name, kind): a row for each distinct field reference anywhere in a visual's JSON (raw), and for that in its title.
+
+    The JSON is walked a level at a time, breadth first: what is still nested is a frontier of variants, whose entries are exploded; LEVELS levels make up
+    one plan, after which the frontier that is left, if any, is written and goes on. What is not JSON has no references of its own.
+    """
+    own = F.struct(*(c for c in found.columns if c != "raw"))
+    none = F.lit(None).cast("variant")
+    rows = found.select(own.alias("own"), F.lit(None).cast("string").alias("key"), none.alias("held"), F.try_parse_json("raw").alias("value"))
+    rows = rows.withColumn("known", V.aliases(F.col("value")))
+    # The title's name is held from the start.
+    title = F.when(F.col("own.visual_title").contains("["), F.array(F.struct(F.lit(TITLE).alias("key"), F.to_variant_object(F.array(F.lit(0))).alias("held"), none.alias("value"))))
+    document = F.struct("key", "held", "value")
+    rows = rows.select("own", "known", F.inline(F.concat(F.array(document), F.coalesce(title, F.array().cast(rows.select(F.array(document)).schema[0].dataType)))))
+    done, tvf = [], found.sparkSession.tvf
+    while True:
+        for _ in range(LEVELS):
+            # What may name a field is held from where it is met, and goes on as a frontier too.
+            inner = rows.lateralJoin(tvf.variant_explode_outer(F.col("value").outer()).toDF("pos", "name", "entry")).filter("held IS NOT NULL OR entry IS NOT NULL")
+            names = F.col("name").isin(*V.HOLDERS)
+            held = F.struct(F.coalesce("key", "name").alias("key"), F.coalesce("held", "entry").alias("held"), none.alias("value"))
+            ahead = F.struct(F.lit(None).cast("string").alias("key"), none.alias("held"), F.col("entry").alias("value"))
+            both = F.when(F.col("held").isNotNull(), F.array(held)).when(names, F.array(held, ahead)).otherwise(F.array(ahead))
+            rows = inner.select("own", "known", F.inline(both))
+        rows = written(rows.filter(F.col("held").isNotNull() | F.left(F.col("value").cast("string"), F.lit(1)).isin("{", "[")))
+        done.append(rows.filter("held IS NOT NULL"))
+        rows = rows.filter("held IS NULL")
+        if rows.isEmpty():
+            break
+    field = F.when(F.col("key") == TITLE, V.title_field(F.col("own.visual_title"))).otherwise(V.field_at(F.col("key"), F.col("held"), F.col("known")))
+    return reduce(DataFrame.unionByName, done).select("own", field.alias("f")).filter("f IS NOT NULL").distinct().select("own.*", "f")
+
+
 def field_uses(found: DataFrame, cat: Catalog) -> DataFrame:
     """A row for each distinct field reference of each visual, resolved or not."""
-    rows = found.withColumn("f", F.explode(V.fields(F.col("raw"), F.col("visual_title"))))
+    rows = field_references(found)
     flat = rows.select("project_id", "page_id", "page_name", "ord", "visual_id", "visual_name", "visual_type", shown_title(F.col("visual_title")).alias("visual_title"), "f.table", "f.name")
     return resolve_fields(flat.distinct(), cat)
 

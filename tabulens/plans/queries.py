@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions import names as N
-from ..functions import visuals as V
 from ..operators import assistant, graph, health, model, quality, report, resolve, usage
 from . import bindings as B
 
@@ -478,12 +477,14 @@ NAMED = f"""SELECT *, {TYPE} AS type, {TITLE} AS shown, CASE WHEN event_id % 9 =
 
 
 def bound_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visuals whose JSON has the field in one of four forms and the title in one of two."""
+    """Visuals whose JSON has the field in one of four forms, some by a table's short name, and the title in one of two."""
     rows = B.bound(spark, sf_dir, B.VISUALS)
-    ref = lambda holder, prop: f"named_struct('{holder}', named_struct('Expression', named_struct('SourceRef', named_struct('Entity', table_name)), '{prop}', field))"
+    short = "event_id % 3 = 1"
+    ref = lambda holder, prop: f"named_struct('{holder}', named_struct('Expression', named_struct('SourceRef', named_struct('Entity', CASE WHEN NOT {short} THEN table_name END, 'Source', CASE WHEN {short} THEN 's' END)), '{prop}', field))"
+    query = f"CASE WHEN {short} THEN named_struct('From', array(named_struct('Name', 'x', 'Entity', 'Other'), named_struct('Name', 's', 'Entity', table_name))) END"
     forms = [ref("Column", "Property"), ref("Measure", "Property"), ref("HierarchyLevel", "Level")]
     title = "named_struct('title', array(named_struct('properties', named_struct('text', named_struct('expr', named_struct('Literal', named_struct('Value', title)))))))"
-    doc = lambda f: f"to_json(named_struct('displayName', display_name, 'visual', named_struct('visualContainerObjects', {title}, 'query', named_struct('q', array(named_struct('field', {f}))))))"
+    doc = lambda f: f"to_json(named_struct('displayName', display_name, 'prototypeQuery', CASE WHEN event_id % 2 = 0 THEN {query} END, 'singleVisual', CASE WHEN event_id % 2 = 1 THEN named_struct('prototypeQuery', {query}) END, 'visual', named_struct('visualContainerObjects', {title}, 'query', named_struct('q', array(named_struct('field', {f}))))))"
     old = "to_json(named_struct('displayName', display_name, 'title', title, 'singleVisual', named_struct('projections', array(named_struct('queryRef', 'Sum(' || table_name || '.' || field || '.Variation)')))))"
     raw = f"CASE form WHEN 0 THEN {doc(forms[0])} WHEN 1 THEN {doc(forms[1])} WHEN 2 THEN {doc(forms[2])} ELSE {old} END"
     raws = rows.selectExpr("CAST(project AS STRING) AS project_id", "CAST(page AS STRING) AS page_id", "'P' || page AS page_name", "CAST(event_id AS INT) AS ord", "'v' || event_id AS visual_id", "'' AS visual_name", "raw_type", f"{raw} AS raw")
@@ -497,8 +498,7 @@ def p11_p14_s16_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT e.event_id, x.t AS \"table\", x.n AS name FROM (" + B.VISUALS + ") e, LATERAL (SELECT table_name AS t, field AS n UNION ALL SELECT NULL, 'M' || event_id % 40 WHERE event_id % 7 = 3) x")
 def v1_v4_visual_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bound_visuals(spark, sf_dir).withColumn("f", F.explode(V.fields(F.col("raw"), F.col("visual_title"))))
-    return rows.select(F.col("ord").cast("long").alias("event_id"), "f.table", "f.name")
+    return report.field_references(bound_visuals(spark, sf_dir)).select(F.col("ord").cast("long").alias("event_id"), "f.table", "f.name")
 
 
 def visual_catalog(spark: SparkSession, sf_dir: str) -> resolve.Catalog:
