@@ -8,6 +8,7 @@ common units from a broadcast of bounded size, those of all others by joins.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import vocabulary
-from .common import bound, cut_by, setting, small_batches
+from .common import bound, cut, cut_by, setting, small_batches
 from .vocabulary import SPACE, Vocabulary
 
 #: Bytes of common units and their ids that are broadcast at most, whatever the corpus, and the longest of them in bytes.
@@ -32,7 +33,7 @@ TEXTS = 2048
 GROUPS = 1 << 18
 #: Characters by which the longest piece that can begin at a place is known.
 HEAD = 3
-#: Places of a unit that are folded as one block, so that no array grows with the whole of a long unit.
+#: Places of a unit that are folded as one block; longer units are cut into windows of so many.
 BLOCK = 256
 
 
@@ -131,22 +132,45 @@ def reaches(df: DataFrame, known: Vocabulary) -> DataFrame:
     return df.sparkSession.createDataFrame(list(reach.items()), "head string, reach int")
 
 
-def lattice(distinct: DataFrame, known: Vocabulary) -> DataFrame:
-    """distinct (unit, count) -> with edges: array<long> in order of end, then start; see edge().
+def edges(windows: DataFrame, keys: list[str], known: Vocabulary) -> DataFrame:
+    """windows (keys, text, first, starts) -> (keys, edge): the pieces that begin at the first `starts` characters of a text, whose first is place `first` of its unit; see edge().
 
-    Grouping needs no second shuffle: the pieces are broadcast (as many as the vocabulary has), so
-    that the rows of a unit stay where the units were dealt. Substrings at a place are no longer than the
+    The pieces are broadcast (as many as the vocabulary has), so that rows stay where they are. Substrings at a place are no longer than the
     longest piece that begins with the same characters.
     """
-    starts = distinct.select("unit", "count", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at"))
-    starts = starts.withColumn("head", F.substring("unit", F.col("at"), F.lit(HEAD))).join(F.broadcast(reaches(distinct, known)), "head", "left")
-    longest = F.least(F.coalesce("reach", F.lit(HEAD - 1)), F.length("unit") - F.col("at") + 1)
-    pieces = starts.select("unit", "count", "at", F.explode(F.sequence(F.lit(1), longest)).alias("n"))
-    edges = pieces.withColumn("piece", F.substring("unit", F.col("at"), F.col("n"))).join(F.broadcast(piece_table(distinct, known)), "piece", "left")
+    starts = windows.select(*keys, "text", "first", F.explode(F.sequence(F.lit(1), F.col("starts"))).alias("at"))
+    starts = starts.withColumn("head", F.substring("text", F.col("at"), F.lit(HEAD))).join(F.broadcast(reaches(windows, known)), "head", "left")
+    longest = F.least(F.coalesce("reach", F.lit(HEAD - 1)), F.length("text") - F.col("at") + 1)
+    pieces = starts.select(*keys, "text", "first", "at", F.explode(F.sequence(F.lit(1), longest)).alias("n"))
+    found = pieces.withColumn("piece", F.substring("text", F.col("at"), F.col("n"))).join(F.broadcast(piece_table(windows, known)), "piece", "left")
     unknown = F.col("id").isNull() & (F.col("n") == 1)  # a character that is no piece: an edge of its own
-    edges = edges.filter(F.col("id").isNotNull() | unknown)
-    made = edge(F.col("at") + F.col("n") - 1, F.col("n"), F.coalesce("id", F.lit(known.unknown_id)))
-    return edges.select("unit", "count", made.alias("edge")).groupBy("unit", "count").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    found = found.filter(F.col("id").isNotNull() | unknown)
+    return found.select(*keys, edge(F.col("first") + F.col("at") + F.col("n") - 2, F.col("n"), F.coalesce("id", F.lit(known.unknown_id))).alias("edge"))
+
+
+def lattice(distinct: DataFrame, known: Vocabulary) -> DataFrame:
+    """distinct (unit, count), units of BLOCK characters at most -> with blocks: one array<long> of the edges in order of end, then start.
+
+    Grouping needs no second shuffle, as the rows of a unit stay where the units were dealt.
+    """
+    whole = distinct.select("unit", "count", F.col("unit").alias("text"), F.lit(1).alias("first"), F.length("unit").alias("starts"))
+    return edges(whole, ["unit", "count"], known).groupBy("unit", "count").agg(F.array(F.sort_array(F.collect_list("edge"))).alias("blocks"))
+
+
+def long_lattice(distinct: DataFrame, known: Vocabulary) -> DataFrame:
+    """The same for units of any length, a block of edges for each BLOCK of places.
+
+    Units are numbered and cut into windows, which overlap by the longest piece: what is exploded, joined and grouped has a number and
+    a window at most, so that the work grows with a unit's length. Only at the end do a unit's blocks meet.
+    """
+    numbered = cut(distinct.withColumn("number", F.monotonically_increasing_id()))
+    windows = numbered.select("number", "unit", F.explode(F.sequence(F.lit(0), F.floor((F.length("unit") - 1) / BLOCK).cast("int"))).alias("k"))
+    first = F.col("k") * BLOCK + 1
+    windows = windows.select("number", "k", F.substring("unit", first, F.lit(BLOCK + known.longest - 1)).alias("text"), first.alias("first"), F.least(F.lit(BLOCK), F.length("unit") - first + 1).alias("starts"))
+    found = edges(windows.repartition("number", "k"), ["number"], known)
+    by_block = found.groupBy("number", F.floor((end_of(F.col("edge")) - 1) / BLOCK).alias("k")).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    blocks = by_block.groupBy("number").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "edges"))), lambda x: x["edges"]).alias("blocks"))
+    return numbered.join(blocks, "number").select("unit", "count", "blocks")
 
 
 def edge(end: Column, length: Column, id_: Column) -> Column:
@@ -167,14 +191,8 @@ def back_of(e: Column) -> Column:
     return F.shiftright(e, 24).bitwiseAND(F.lit(255))
 
 
-def blocks(items: Column) -> Column:
-    """An array cut into runs of BLOCK; none of an empty one."""
-    count = F.ceil(F.size(items) / BLOCK).cast("int")
-    return F.transform(F.filter(F.sequence(F.lit(0), count), lambda k: k < count), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
-
-
-def best_path(edges: Column, known: Vocabulary) -> Column:
-    """array<long> of the edges on the path with the highest score. Every place has an edge into it.
+def best_path(blocks: Column, known: Vocabulary) -> Column:
+    """array<long> of the edges on the path with the highest score. blocks: array of the edges into each run of places. Every place has an edge into it.
 
     A place's edges are taken together: each adds its score to the best of the place where it starts. Of equal
     totals the earliest start stays, which comes first. The fold keeps the best scores of as many places
@@ -182,10 +200,7 @@ def best_path(edges: Column, known: Vocabulary) -> Column:
     """
     # One foldable literal, by id.
     scores = F.split(F.lit(",".join(map(repr, known.scores))), ",").cast("array<double>")
-    # A place's last edge is that of a single character, which every place has.
-    ends = F.filter(F.sequence(F.lit(1), F.size(edges)), lambda i: F.get(edges, i - 1).bitwiseAND(F.lit(255 << 24)) == 254 << 24)
     before = lambda at, i: F.coalesce(F.get(at, i - 1), F.lit(0))
-    places = bound(ends, lambda at: F.transform(at, lambda a, i: F.slice(edges, before(at, i) + 1, a - before(at, i))))
     longs = F.array().cast("array<bigint>")
     mask = F.lit((1 << 24) - 1).cast("long")
 
@@ -195,14 +210,19 @@ def best_path(edges: Column, known: Vocabulary) -> Column:
             F.array_append(s["best"], F.array_max(t)).alias("best"), (s["skip"] + 1).alias("skip"), F.array_append(s["picks"], F.get(x, F.array_position(t, F.array_max(t)) - 1)).alias("picks"),
         ))
 
+    def places(block: Column) -> Column:
+        # A place's last edge is that of a single character, which every place has.
+        ends = F.filter(F.sequence(F.lit(1), F.size(block)), lambda i: F.get(block, i - 1).bitwiseAND(F.lit(255 << 24)) == 254 << 24)
+        return bound(ends, lambda at: F.transform(at, lambda a, i: F.slice(block, before(at, i) + 1, a - before(at, i))))
+
     def forward(s: Column, block: Column) -> Column:
         # The place where an edge begins lies its length before the end of the best scores.
         start = F.struct(s["best"].alias("best"), (F.size(s["best"]) - 255).cast("long").alias("skip"), longs.alias("picks"))
         kept = lambda t: F.slice(t["best"], F.greatest(F.size(t["best"]) - known.longest, F.lit(0)) + 1, F.lit(known.longest))
-        return bound(F.aggregate(block, start, choose), lambda t: F.struct(kept(t).alias("best"), F.array_append(s["picks"], t["picks"]).alias("picks")))
+        return bound(F.aggregate(places(block), start, choose), lambda t: F.struct(kept(t).alias("best"), F.array_append(s["picks"], t["picks"]).alias("picks")))
 
     first = F.struct(F.array(F.lit(0.0)).alias("best"), F.array().cast("array<array<bigint>>").alias("picks"))
-    picks = F.aggregate(blocks(places), first, forward, lambda s: s["picks"])
+    picks = F.aggregate(blocks, first, forward, lambda s: s["picks"])
 
     def hop(s: Column, e: Column) -> Column:  # e is the choice of one place, from the last to the first; the path skips some
         return F.when(end_of(e) == s["at"], F.struct((end_of(e) - 255 + back_of(e)).alias("at"), F.array_append(s["path"], e).alias("path"))).otherwise(s)
@@ -211,23 +231,32 @@ def best_path(edges: Column, known: Vocabulary) -> Column:
         inner = F.aggregate(F.reverse(block), F.struct(s["at"].alias("at"), longs.alias("path")), hop)
         return bound(inner, lambda t: F.struct(t["at"].alias("at"), F.array_append(s["path"], t["path"]).alias("path")))
 
-    last = F.struct(end_of(F.get(edges, F.size(edges) - 1)).alias("at"), F.array().cast("array<array<bigint>>").alias("path"))
+    last = F.struct(end_of(F.element_at(F.element_at(blocks, -1), -1)).alias("at"), F.array().cast("array<array<bigint>>").alias("path"))
     return F.reverse(F.flatten(F.aggregate(F.reverse(picks), last, back, lambda s: s["path"])))
 
 
 def unit_ids(distinct: DataFrame, known: Vocabulary) -> DataFrame:
-    """(unit, count) -> (unit, count, ids): the unit's piece ids; unknown characters give the ids of their bytes."""
+    """(unit, count) -> (unit, count, ids): the unit's piece ids; unknown characters give the ids of their bytes.
+
+    Units of more than BLOCK characters take the way of long_lattice(), all others that of lattice(); both give the same, and are folded alike.
+    """
+    short, long = F.length("unit") <= BLOCK, F.length("unit") > BLOCK
+    at = lambda e: F.substring(F.col("unit"), end_of(e).cast("int"), F.lit(1))
+    few = with_ids(lattice(distinct.filter(short), known), known, lambda ids: ids(at))
+    many = with_ids(long_lattice(distinct.filter(long), known), known, lambda ids: bound(F.split("unit", ""), lambda chars: ids(lambda e: F.get(chars, (end_of(e) - 1).cast("int")))))
+    return few.unionByName(many)
+
+
+def with_ids(found: DataFrame, known: Vocabulary, reading: Callable[[Callable[[Callable[[Column], Column]], Column]], Column]) -> DataFrame:
+    """A lattice's units with the ids of their best paths. reading: applies a function to one that gives the character where an edge ends."""
     # Kept apart, so that the fold's result is made once though it is used more than once.
-    paths = lattice(distinct, known).select("unit", "count", best_path(F.col("edges"), known).alias("path"))
+    paths = found.select("unit", "count", best_path(F.col("blocks"), known).alias("path"))
     if not known.byte_ids:
         return paths.select("unit", "count", F.transform("path", id_of).alias("ids"))
     table = F.array(*[F.lit(i) for i in known.byte_ids])
-    as_bytes = lambda e: F.transform(
-        F.regexp_extract_all(F.hex(F.encode(F.substring(F.col("unit"), end_of(e).cast("int"), F.lit(1)), "UTF-8")), F.lit(".."), F.lit(0)),
-        lambda h: F.get(table, F.conv(h, 16, 10).cast("int")),
-    )
-    each = F.transform("path", lambda e: F.when(id_of(e) == known.unknown_id, as_bytes(e)).otherwise(F.array(id_of(e))))
-    return paths.select("unit", "count", F.flatten(each).alias("ids"))
+    as_bytes = lambda char: F.transform(F.regexp_extract_all(F.hex(F.encode(char, "UTF-8")), F.lit(".."), F.lit(0)), lambda h: F.get(table, F.conv(h, 16, 10).cast("int")))
+    each = lambda char: F.transform("path", lambda e: F.when(id_of(e) == known.unknown_id, as_bytes(char(e))).otherwise(F.array(id_of(e))))
+    return paths.select("unit", "count", F.flatten(reading(each)).alias("ids"))
 
 
 def common_units(pieces: DataFrame) -> tuple[pa.Table, int]:
@@ -256,11 +285,20 @@ class Places:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table)
-        self.data = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+        self.data, self.name = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
+
+    def table(self) -> tuple[dict[str, int], pa.Array]:
+        """The place of each common unit, and the ids by place; made once in a worker."""
+        if self.name not in HELD:
+            HELD.clear()
+            t = pa.ipc.open_stream(pa.py_buffer(self.data.value)).read_all()
+            ids = t["ids"].combine_chunks() if t["ids"].num_chunks != 1 else t["ids"].chunk(0)
+            HELD[self.name] = {u: k for k, u in enumerate(t["unit"].to_pylist())}, ids
+        return HELD[self.name]
+
 
-    def table(self) -> tuple[pa.Array, pa.Array]:
-        t = pa.ipc.open_stream(pa.py_buffer(self.data.value)).read_all()
-        return tuple(c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in t.columns)
+#: What a worker holds of the last Places it has used.
+HELD: dict[str, tuple[dict[str, int], pa.Array]] = {}
 
 
 def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
@@ -293,17 +331,16 @@ def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
     def others(units: pa.Array) -> pa.Array:
         """The units of a batch that are not broadcast, in order."""
         common = places.table()[0]
-        rows = [pc.filter(u.values, pc.invert(pc.is_in(u.values, value_set=common))) for u in units]
-        return pa.array([r.to_pylist() for r in rows], pa.list_(pa.string()))
+        return pa.array([[x for x in u.as_py() if x not in common] for u in units], pa.list_(pa.string()))
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each unit of a batch takes its ids from the broadcast, or else the next of the batch's own."""
         common, ids = places.table()
         for b in batches:
             for doc_ids, digests, sizes, body, units, own in zip(*b.columns, strict=True):
-                place = pc.fill_null(pc.index_in(units.values, value_set=common), -1).to_numpy().copy()
+                place = np.fromiter((common.get(u, -1) for u in units.as_py()), np.int64, len(units.values))
                 rare = np.flatnonzero(place < 0)
-                place[rare] = len(common) + np.arange(len(rare))
+                place[rare] = len(ids) + np.arange(len(rare))
                 lists = pa.concat_arrays([ids, own.values]).take(pa.array(place))
                 at = unpacked(body.as_py())
                 ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy()[at])]

@@ -97,3 +97,23 @@ def test_units_beyond_the_broadcast(spark, library, monkeypatch):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert token_count.token_counts(none).count() == piece_lattice.encoded_corpus(none).count() == 0
+
+
+@pytest.mark.parametrize("n", [100_000, 1_000_000])
+def test_units_without_end(spark, n):
+    """One unit of very many characters, of few pieces and of many, known and unknown: as many pieces as the count of operator 4 finds, and the text again."""
+    rng = random.Random(n)
+    rows = [(0, "a" * n), (1, "ab c" * 3), (2, "".join(rng.choice("thentionsé") for _ in range(n // 4))), (3, "漢☃" * (n // 40)), (4, "=" * (piece_lattice.BLOCK + 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r["doc_id"]: r["n_tokens"] for r in token_count.token_counts(docs).collect()}
+    got = piece_lattice.encoded_corpus(docs).select("doc_id", "n_pieces", "round_trip").collect()
+    assert {r["doc_id"]: r["n_pieces"] for r in got} == want and all(r["round_trip"] for r in got)
+
+
+def test_both_ways_give_the_same(spark, monkeypatch):
+    """Units cut into windows of a few places have the ids of whole ones."""
+    known = vocabulary.load()
+    found = piece_lattice.corpus_units(spark.createDataFrame([(t,) for t in texts()], "text string"), known)
+    want = {r["unit"]: r["ids"] for r in piece_lattice.unit_ids(found, known).collect()}
+    monkeypatch.setattr(piece_lattice, "BLOCK", 5)
+    assert {r["unit"]: r["ids"] for r in piece_lattice.unit_ids(found, known).collect()} == want
