@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import health
 from .providers import REPLY_SEVERITIES, Provider, json_of
+from .replies import Replies, answer
 
 log = logging.getLogger(__name__)
 
@@ -35,14 +36,22 @@ def issues_of(reply: Any) -> list[dict[str, str]] | None:
     return out
 
 
-def advised(provider: Provider, found: DataFrame, subject: str, shown: tuple[str, ...], rules: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def advised(provider: Provider, found: DataFrame, subject: str, shown: tuple[str, ...], rules: Callable[[DataFrame], DataFrame], table: Replies | None = None) -> DataFrame:
     """rules(found), but for projects on which the provider gives a list of issues: those are its own, in its order.
 
-    found has one row a project. One request is sent for each, from the driver, which sees counts only; a failure, or a
-    reply without a list, leaves the rules' advice. An empty list is an answer: such a project has no rows.
+    found has one row a project. One request is sent for each, which shows counts only: with a table of replies from tasks, projects with the same counts
+    sharing one, without from the driver. A failure, or a reply without a list, leaves the rules' advice. An empty list is an answer: such a project has no rows.
     """
     if not provider.is_available():
         return rules(found)
+    if table is not None:
+        context = F.to_json(F.struct(F.lit(subject).alias("subject"), F.struct(*shown).alias("counts")))
+        asked = found.select("project_id", context.alias("context")).withColumn("request", F.sha2(F.concat(F.lit("advice:"), "context"), 256))
+        said, _, _ = table.ask(asked, lambda context: issues_of(answer(provider.advise(context))))
+        issue = "array<struct<type:string,severity:string,description:string,recommendation:string>>"
+        answers = asked.select("project_id", "request").join(said, "request").select("project_id", F.from_json("reply", issue).alias("issues"))
+        own = answers.select("project_id", F.posexplode("issues").alias("place", "i")).select("project_id", "place", "i.*")
+        return rules(found.join(answers.select("project_id"), "project_id", "left_anti")).unionByName(own)
     answered, rows = [], []
     for row in found.select("project_id", *shown).toLocalIterator():
         context = row.asDict()
@@ -60,13 +69,13 @@ def advised(provider: Provider, found: DataFrame, subject: str, shown: tuple[str
     return rules(left).unionByName(spark.createDataFrame(rows, ROWS))
 
 
-def model_advice(provider: Provider, found: DataFrame) -> DataFrame:
+def model_advice(provider: Provider, found: DataFrame, table: Replies | None = None) -> DataFrame:
     """found: health()."""
-    return advised(provider, found, "model", ON_MODELS, health.model_advice)
+    return advised(provider, found, "model", ON_MODELS, health.model_advice, table)
 
 
-def report_advice(provider: Provider, found: DataFrame, visual_usage: DataFrame) -> DataFrame:
+def report_advice(provider: Provider, found: DataFrame, visual_usage: DataFrame, table: Replies | None = None) -> DataFrame:
     """found: health(). The provider is also shown how many objects a report uses."""
     used = visual_usage.filter("object_name <> ''").groupBy("project_id").agg(F.countDistinct("object_name").alias("objects_used"))
     counted = found.join(used, "project_id", "left").withColumn("objects_used", F.coalesce("objects_used", F.lit(0))) if provider.is_available() else found
-    return advised(provider, counted, "report", ON_REPORTS, health.report_advice)
+    return advised(provider, counted, "report", ON_REPORTS, health.report_advice, table)

@@ -1,7 +1,7 @@
 """Providers of suggestions, and how the expressions of an analysis are put to them.
 
-A provider is called from the driver, once for each distinct request and within a budget: no task calls out.
-Expressions are shown to it without secrets.
+A provider is called once for each distinct request and within a budget: from the driver, or, where a table of
+replies is named, from a bounded number of tasks. Expressions are shown to it without secrets.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions import lint, origins
-
 from ..operators.resolve import Catalog, resolve
 from . import prompts
+from .replies import Replies, answer
 
 #: Requests a project, severities of replies, and suggestions that are none.
 MOST_REQUESTS = 50
@@ -168,34 +168,42 @@ def requests(analysed: DataFrame, edges: DataFrame) -> DataFrame:
 REPLIES = f"project_id string, kind string, table_name string, name string, reply {lint.ISSUE}"
 
 
-def ask_all(provider: Provider, analysed: DataFrame, edges: DataFrame, cat: Catalog, most: int = MOST_REQUESTS) -> tuple[DataFrame, int, int]:
+def ask_all(provider: Provider, analysed: DataFrame, edges: DataFrame, cat: Catalog, most: int = MOST_REQUESTS, table: Replies | None = None) -> tuple[DataFrame, int, int]:
     """Replies on an analysis's expressions, with the numbers of requests sent and failed.
 
     Each distinct request is sent once, at most so many a project, in order of objects; objects with the same
-    request share its reply. Only the requests within the budget come to the driver.
+    request share its reply. With a table of replies they are sent from tasks, and none that the table answers; without
+    one from the driver, to which only the requests within the budget come.
     """
     spark = analysed.sparkSession
     if not provider.is_available():
         return spark.createDataFrame([], REPLIES), 0, 0
     wanted = requests(analysed, edges)
     first = wanted.groupBy("project_id", "request").agg(F.min_by(F.struct("kind", "table_name", "name", "dax", "dependencies", "issues"), "ord").alias("o"), F.min("ord").alias("ord"))
-    within = first.withColumn("n", F.expr("row_number() OVER (PARTITION BY project_id ORDER BY ord)")).filter(F.col("n") <= most)
-    sent, failed, got = 0, 0, []
-    for row in within.select("project_id", "request", "o.*", origins.redacted(F.col("o.dax")).alias("shown")).toLocalIterator():
-        context = {
-            "object_name": f"[{row['name']}]" if row["kind"] == "Measure" else f"{row['table_name']}[{row['name']}]", "object_type": row["kind"], "table": row["table_name"], "original_dax": row["shown"],
-            "dependencies": row["dependencies"], "static_issues": [{"issue": i["issue"], "severity": i["severity"], "explanation": i["explanation"]} for i in row["issues"]],
-        }
-        sent += 1
-        try:
-            reply = parse_reply(provider.analyze_expression(context))
-        except Exception:  # a provider is foreign code: its failure leaves the rules' own result
-            failed += 1
-            continue
-        if reply:
-            got.append((row["project_id"], row["request"], *[reply[k] for k in REPLY_DEFAULTS], reply["requires_manual_validation"]))
+    within = first.withColumn("n", F.expr("row_number() OVER (PARTITION BY project_id ORDER BY ord)")).filter(F.col("n") <= most).select("project_id", "request", "o.*")
+    shown = F.when(F.col("kind") == "Measure", F.concat(F.lit("["), "name", F.lit("]"))).otherwise(F.concat("table_name", F.lit("["), "name", F.lit("]")))
+    context = F.to_json(F.struct(
+        shown.alias("object_name"), F.col("kind").alias("object_type"), F.col("table_name").alias("table"), origins.redacted(F.col("dax")).alias("original_dax"), "dependencies",
+        F.transform("issues", lambda i: F.struct(i["issue"].alias("issue"), i["severity"].alias("severity"), i["explanation"].alias("explanation"))).alias("static_issues"),
+    ))
+    within = within.select("project_id", "request", context.alias("context"))
     fields = ", ".join(f"{k} string" for k in REPLY_DEFAULTS)
-    replies = spark.createDataFrame(got, f"project_id string, request string, {fields}, requires_manual_validation boolean")
+    fields = f"{fields}, requires_manual_validation boolean"
+    if table is not None:
+        said, sent, failed = table.ask(within, lambda context: parse_reply(answer(provider.analyze_expression(context))))
+        replies = within.select("project_id", "request").join(said, "request").select("project_id", "request", F.from_json("reply", fields).alias("r")).select("project_id", "request", "r.*")
+    else:
+        sent, failed, got = 0, 0, []
+        for row in within.toLocalIterator():
+            sent += 1
+            try:
+                reply = parse_reply(provider.analyze_expression(json.loads(row["context"])))
+            except Exception:  # a provider is foreign code: its failure leaves the rules' own result
+                failed += 1
+                continue
+            if reply:
+                got.append((row["project_id"], row["request"], *[reply[k] for k in REPLY_DEFAULTS], reply["requires_manual_validation"]))
+        replies = spark.createDataFrame(got, f"project_id string, request string, {fields}")
     met = validated(wanted.select("project_id", "kind", "table_name", "name", "request").join(replies, ["project_id", "request"]), cat)
     met = met.withColumns({"source": F.lit("AI"), "explanation": F.concat("explanation", F.when(F.col("note") != "", F.concat(F.lit(" [Warning: "), "note", F.lit("]"))).otherwise(""))})
     return met.select("project_id", "kind", "table_name", "name", F.struct(*lint.FIELDS, "requires_manual_validation").alias("reply")), sent, failed

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..assist import advice, providers
+from ..assist.replies import Replies
 from ..operators import graph, health, model, quality, report, resolve, usage
 from ..sources import archive, bim, report_files, tmdl
 
@@ -31,8 +32,9 @@ def raw(files: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def analyze_files(files: DataFrame, provider: providers.Provider | None = None, strict: bool = False) -> dict[str, DataFrame]:
-    """Every table of the analysis by name. Tables that several others read are written once."""
+def analyze_files(files: DataFrame, provider: providers.Provider | None = None, strict: bool = False, replies: str | None = None) -> dict[str, DataFrame]:
+    """Every table of the analysis by name. Tables that several others read are written once. replies: a shared folder for the provider's, by which requests are sent from tasks."""
+    table = Replies(files.sparkSession, replies) if replies else None
     provider = provider or providers.NullProvider()
     r = raw(files)
     projects, tables_raw = r["projects"], r["raw_tables"]
@@ -66,7 +68,7 @@ def analyze_files(files: DataFrame, provider: providers.Provider | None = None,
     out["visual_metrics"], out["usage_summary"] = report.visual_metrics(uses), usage.usage_summary(found)
 
     analysed = graph.written(quality.analysed(objects))
-    replies, requests, failures = providers.ask_all(provider, analysed, edges, cat)
+    replies, requests, failures = providers.ask_all(provider, analysed, edges, cat, table=table)
     analysed = quality.with_replies(analysed, replies)
     out["dax_analysis"], out["dax_improvements"] = quality.analysis_records(analysed, usage.usage_by_name(found)), quality.improvements(analysed)
     out["dax_complexity"], out["quality_summary"] = quality.complexity_records(analysed), quality.quality_summary(analysed, requests, failures)
@@ -78,17 +80,17 @@ def analyze_files(files: DataFrame, provider: providers.Provider | None = None,
         high_severity=out["dax_analysis"].filter("highest_severity = 'High'"), tables=tables, measures=measures, pages=out["pages"], visuals=visuals, sources=out["data_sources"],
     )
     out["model_health"] = graph.written(health.health(counted))
-    out["model_advisories"] = advice.model_advice(provider, out["model_health"])
-    out["report_advisories"] = advice.report_advice(provider, out["model_health"], direct)
+    out["model_advisories"] = advice.model_advice(provider, out["model_health"], table)
+    out["report_advisories"] = advice.report_advice(provider, out["model_health"], direct, table)
     out["executive_documentation"] = health.documentation(out["model_health"], projects)
     out["inventory"] = usage.inventory(tables, columns, measures, calculated, found, direct)
     out["analysis_sheet"] = quality.analysis_sheet(out["dax_analysis"], out["dax_improvements"])
     return out
 
 
-def analyze(spark: SparkSession, paths: str | list[str], provider: providers.Provider | None = None, strict: bool = False) -> dict[str, DataFrame]:
+def analyze(spark: SparkSession, paths: str | list[str], provider: providers.Provider | None = None, strict: bool = False, replies: str | None = None) -> dict[str, DataFrame]:
     """Analyses all archives at some paths. A project whose archive can't be analysed has an error in projects."""
-    return analyze_files(graph.written(archive.read_archives(spark, paths)), provider, strict)
+    return analyze_files(graph.written(archive.read_archives(spark, paths)), provider, strict, replies)
 
 
 def register(found: dict[str, DataFrame], prefix: str = "") -> None:

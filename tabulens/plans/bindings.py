@@ -60,10 +60,10 @@ EXPRESSIONS = r"""
         ELSE 'RETURN [M' || k || ']' END AS dax
     FROM (SELECT *, CAST(p_partkey AS VARCHAR(19)) AS k FROM part) AS p"""
 
-#: A query text for each supplier, one of 16 forms.
+#: A query text for each supplier, one of 23 forms.
 QUERIES = r"""
-    SELECT s_suppkey, CASE WHEN s_suppkey % 16 = 15 THEN 'calculated' ELSE 'm' END AS type,
-      CASE s_suppkey % 16
+    SELECT s_suppkey, CASE WHEN s_suppkey % 23 = 15 THEN 'calculated' ELSE 'm' END AS type,
+      CASE s_suppkey % 23
         WHEN 0 THEN 'let Source = Sql.Database("srv' || k || '", "db") in Source'
         WHEN 1 THEN 'let Source = sql.databases("srv' || k || '") in Source'
         WHEN 2 THEN 'Excel.Workbook(File.Contents("C:/f' || k || '.xlsx"), null, true)'
@@ -79,7 +79,14 @@ QUERIES = r"""
         WHEN 12 THEN '#table({"a"}, {{' || k || '}})'
         WHEN 13 THEN 'let x = ' || k || ' in x'
         WHEN 14 THEN 'connect pwd = ''s' || k || ''' SECRET   =  "t' || k || '"'
-        ELSE 'FILTER(ALL(T), T[c] > ' || k || ')' END AS expression
+        WHEN 15 THEN 'FILTER(ALL(T), T[c] > ' || k || ')'
+        WHEN 16 THEN 'Oracle.Database("ora' || k || '", [HierarchicalNavigation=true])'
+        WHEN 17 THEN 'My_SQL and mysql.Database  ("my' || k || '","db") '
+        WHEN 18 THEN 'AzureStorage.' || CASE s_suppkey % 3 WHEN 0 THEN 'Blobs' WHEN 1 THEN 'DataLake' ELSE 'tables' END || '("https://acc' || k || '")'
+        WHEN 19 THEN 'Folder.Files("C:/in/' || k || '")'
+        WHEN 20 THEN 'Salesforce.' || CASE s_suppkey % 2 WHEN 0 THEN 'Data' ELSE 'Reports' END || '()'
+        WHEN 21 THEN CASE s_suppkey % 2 WHEN 0 THEN 'SapHana.Database' ELSE 'SapBusinessWarehouse.Cubes' END || '("sap' || k || '", "00")'
+        ELSE 'AnalysisServices.Database("as' || k || '"' || CASE s_suppkey % 2 WHEN 0 THEN ', "cube"' ELSE '' END || ')' END AS expression
     FROM (SELECT *, CAST(s_suppkey AS VARCHAR(19)) AS k FROM supplier) AS s"""
 
 #: A relationship for each customer, with raw spellings of all kinds.

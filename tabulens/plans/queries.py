@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..assist import providers
 from ..functions import expressions as E
 from ..functions import names as N
 from ..operators import assistant, graph, health, model, quality, report, resolve, usage
+from ..sources import tmdl
 from . import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,11 +148,13 @@ def p21_date_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.date_summary(raw, model.date_tables(raw))
 
 
-@query(f"""SELECT s_suppkey, CASE WHEN type = 'calculated' THEN 'DAX Calculated Table' ELSE ['SQL Server', 'SQL Server', 'Excel', 'Excel', 'SharePoint', 'CSV', 'CSV', 'Web', 'Dataflow', 'SQL Server', 'Snowflake', 'OData', 'Enter Data', 'Other (Power Query M)', 'Unknown', ''][s_suppkey % 16 + 1] END AS source_type,
-           CASE s_suppkey % 16 WHEN 0 THEN 'Server: srv' || s_suppkey || ', Database: db' WHEN 1 THEN 'Server: srv' || s_suppkey WHEN 2 THEN 'File: C:/f' || s_suppkey || '.xlsx' WHEN 3 THEN 'Excel Workbook' WHEN 4 THEN 'URL: https://s/' || s_suppkey
+@query(f"""SELECT s_suppkey, CASE WHEN type = 'calculated' THEN 'DAX Calculated Table' ELSE ['SQL Server', 'SQL Server', 'Excel', 'Excel', 'SharePoint', 'CSV', 'CSV', 'Web', 'Dataflow', 'SQL Server', 'Snowflake', 'OData', 'Enter Data', 'Other (Power Query M)', 'Unknown', '', 'Oracle', 'SQL Server', 'Azure Storage', 'Folder', 'Salesforce', 'SAP', 'Analysis Services'][s_suppkey % 23 + 1] END AS source_type,
+           CASE s_suppkey % 23 WHEN 0 THEN 'Server: srv' || s_suppkey || ', Database: db' WHEN 1 THEN 'Server: srv' || s_suppkey WHEN 2 THEN 'File: C:/f' || s_suppkey || '.xlsx' WHEN 3 THEN 'Excel Workbook' WHEN 4 THEN 'URL: https://s/' || s_suppkey
              WHEN 5 THEN 'File: f' || s_suppkey || '.csv' WHEN 6 THEN 'CSV Document' WHEN 7 THEN 'URL: https://api/' || s_suppkey WHEN 8 THEN 'Power BI Dataflow' WHEN 9 THEN 'Server: pg' || s_suppkey || ', Database: db' || s_suppkey
-             WHEN 10 THEN 'Server: sf' || s_suppkey || ', Warehouse/DB: wh' WHEN 11 THEN 'Feed URL: https://o/' || s_suppkey WHEN 12 THEN 'Inline / Entered Data Table' WHEN 13 THEN 'Custom M Query' WHEN 14 THEN 'Unknown' ELSE 'Model Internal DAX Expression' END AS source_details,
-           CASE s_suppkey % 16 WHEN 7 THEN replace(expression, 'api_key = "abc' || s_suppkey || '"', 'api_key="[REDACTED]"') WHEN 9 THEN replace(expression, 'Password="p"', 'Password="[REDACTED]"')
+             WHEN 10 THEN 'Server: sf' || s_suppkey || ', Warehouse/DB: wh' WHEN 11 THEN 'Feed URL: https://o/' || s_suppkey WHEN 12 THEN 'Inline / Entered Data Table' WHEN 13 THEN 'Custom M Query' WHEN 14 THEN 'Unknown' WHEN 15 THEN 'Model Internal DAX Expression'
+             WHEN 16 THEN 'Server: ora' || s_suppkey WHEN 17 THEN 'Server: my' || s_suppkey || ', Database: db' WHEN 18 THEN 'Account/URL: https://acc' || s_suppkey WHEN 19 THEN 'Path: C:/in/' || s_suppkey WHEN 20 THEN 'Salesforce Connection'
+             WHEN 21 THEN 'Server: sap' || s_suppkey ELSE 'Server: as' || s_suppkey || CASE s_suppkey % 2 WHEN 0 THEN ', Database: cube' ELSE '' END END AS source_details,
+           CASE s_suppkey % 23 WHEN 7 THEN replace(expression, 'api_key = "abc' || s_suppkey || '"', 'api_key="[REDACTED]"') WHEN 9 THEN replace(expression, 'Password="p"', 'Password="[REDACTED]"')
              WHEN 14 THEN 'connect pwd=' || chr(39) || '[REDACTED]' || chr(39) || ' SECRET="[REDACTED]"' ELSE expression END AS m_expression FROM ({B.QUERIES})""")
 def p22_p23_p24_data_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.bound(spark, sf_dir, B.QUERIES).selectExpr("'p' AS project_id", "0 AS part", "s_suppkey AS ord", "'t' AS table", "type", "expression")
@@ -301,6 +305,49 @@ def a8_quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_summary(quality.analysed(expressions(spark, sf_dir)))
 
 
+# --- Files of models ------------------------------------------------------------------------
+
+PROJECTS = """SELECT CAST(c_custkey AS VARCHAR(19)) AS project_id, c_name AS project_name, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Model ' || c_mktsegment END AS model_name, CASE c_custkey % 2 WHEN 0 THEN 'TMDL' ELSE 'BIM_JSON' END AS model_format FROM customer"""
+MODELS = """SELECT CAST(c_custkey AS VARCHAR(19)) AS project_id, CASE c_custkey % 4 WHEN 0 THEN 'Own ' || c_name WHEN 1 THEN '' END AS name, CASE c_custkey % 2 WHEN 0 THEN 'en-US' ELSE '' END AS culture, CAST(1500 + c_nationkey AS VARCHAR(9)) AS level,
+    CASE c_custkey % 7 WHEN 0 THEN 'de-DE' END AS source_culture, 'powerBI_V3' AS version FROM customer WHERE c_custkey % 5 <> 0"""
+
+
+@query(f"""SELECT p.project_id, project_name, coalesce(nullif(name, ''), nullif(model_name, ''), 'Model') AS model_name, model_format, coalesce(nullif(culture, ''), 'Unknown') AS culture, coalesce(level, 'Unknown') AS compatibility_level,
+    coalesce(source_culture, 'Unknown') AS source_query_culture, coalesce(version, 'Unknown') AS default_data_source_version FROM ({PROJECTS}) p LEFT JOIN ({MODELS}) m ON p.project_id = m.project_id""")
+def p1_model_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = B.bound(spark, sf_dir, MODELS).selectExpr("project_id", "name", "culture", "level AS compatibilityLevel", "source_culture AS sourceQueryCulture", "version AS defaultPowerBIDataSourceVersion")
+    return model.model_info(B.bound(spark, sf_dir, PROJECTS), raw)
+
+
+def tmdl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of each brand's table as text: a column for each part and, for every third, a measure, with properties, notes and fences."""
+    k = "CAST(p_partkey AS STRING)"
+    lines = f"""concat_ws('\n',
+        '\tcolumn C' || {k} || CASE WHEN p_partkey % 7 = 0 THEN ' = SUM(T[C' || {k} || '])' ELSE '' END, '\t\t// of part ' || {k}, CASE p_size % 4 WHEN 0 THEN '\t\tdataType: int64' WHEN 1 THEN '\t\tdataType: string' WHEN 2 THEN '\t\tdataType: dateTime' END,
+        CASE p_size % 3 WHEN 0 THEN '\t\tisHidden' WHEN 1 THEN '\t\tisHidden: false' END, CASE WHEN p_partkey % 50 = 2 THEN '\t\tisKey' END, CASE WHEN p_partkey % 3 = 0 THEN '\t\tformatString: 0.0' END, '\t\tsourceColumn: ' || p_name, '\t\tannotation Note = "' || p_type || '"', '',
+        CASE WHEN p_partkey % 3 = 0 THEN concat_ws('\n', CASE WHEN p_partkey % 2 = 0 THEN '\tmeasure M' || {k} || ' = ```' ELSE '\tmeasure ''M ' || {k} || ''' = [M' || {k} || '] * 2' END, CASE WHEN p_partkey % 2 = 0 THEN concat('\t\t\tVAR x = [M', {k}, ']\n\n\t\t\t\tRETURN x + 1\n\t\t\t```') END,
+            CASE WHEN p_partkey % 5 = 0 THEN '\t\tformatString: 0%' END, '\t\tdescription: "About ' || {k} || '"', '') END)"""
+    part = B.load(spark, sf_dir, ["part"])["part"]
+    body = part.groupBy("p_brand").agg(F.expr(f"array_join(transform(array_sort(collect_list(struct(p_partkey, {lines} AS text))), x -> x.text), '\n')").alias("body"))
+    head = "concat('table ''Table ', p_brand, '''\n', CASE WHEN p_brand LIKE '%1' THEN '\tisHidden\n' ELSE '' END, '\n', body, '\n\tpartition p = m\n\t\tmode: import\n\t\tsource =\n\t\t\tlet x = 1 in x\n')"
+    return body.selectExpr("'p' AS project_id", "p_brand || '.tmdl' AS path", "'tables/' || p_brand || '.tmdl' AS rel", f"{head} AS text")
+
+
+@query("""WITH k AS (SELECT *, 'Table ' || p_brand AS table_name, CAST(p_partkey AS VARCHAR) AS k FROM part)
+    SELECT table_name, p_brand LIKE '%1' AS table_hidden, 'column' AS kind, 'C' || k AS name, CASE p_size % 4 WHEN 0 THEN 'int64' WHEN 1 THEN 'string' WHEN 2 THEN 'dateTime' ELSE 'Unknown' END AS data_type, p_size % 3 = 0 AS is_hidden, p_partkey % 50 = 2 AS is_key,
+           CASE WHEN p_partkey % 7 = 0 THEN 'SUM(T[C' || k || '])' ELSE '' END AS expression, CASE WHEN p_partkey % 3 = 0 THEN '0.0' ELSE '' END AS format_string, p_name AS source, p_type AS note FROM k
+    UNION ALL SELECT table_name, p_brand LIKE '%1', 'measure', CASE p_partkey % 2 WHEN 0 THEN 'M' ELSE 'M ' END || k, '', false, false, CASE p_partkey % 2 WHEN 0 THEN 'VAR x = [M' || k || ']' || chr(10) || chr(9) || 'RETURN x + 1' ELSE '[M' || k || '] * 2' END,
+           CASE WHEN p_partkey % 5 = 0 THEN '0%' ELSE '' END, '', 'About ' || k FROM k WHERE p_partkey % 3 = 0
+    UNION ALL SELECT DISTINCT table_name, p_brand LIKE '%1', 'partition', 'p', '', false, false, 'let x = 1 in x', '', 'import', 'm' FROM k""")
+def s6_s9_tmdl_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = tmdl.raw_tables(tmdl_files(spark, sf_dir))
+    every = raw.selectExpr("name AS table_name", "isHidden AS table_hidden", "columns", "measures", "partitions")
+    pick = lambda field, kind, *rest: every.selectExpr("table_name", "table_hidden", f"explode({field}) AS x").selectExpr("table_name", "table_hidden", f"'{kind}' AS kind", "x.name AS name", *rest)
+    columns = pick("columns", "column", "x.dataType AS data_type", "x.isHidden AS is_hidden", "x.isKey AS is_key", "x.expression", "x.formatString AS format_string", "x.sourceColumn AS source", "x.annotations[0].value AS note")
+    measures = pick("measures", "measure", "'' AS data_type", "x.isHidden AS is_hidden", "false AS is_key", "x.expression", "x.formatString AS format_string", "'' AS source", "x.description AS note")
+    return columns.unionByName(measures).unionByName(pick("partitions", "partition", "'' AS data_type", "false AS is_hidden", "false AS is_key", "x.expression", "'' AS format_string", "x.mode AS source", "x.type AS note"))
+
+
 # --- Graph and use ----------------------------------------------------------------------------
 
 REACH = f"""
@@ -432,6 +479,31 @@ def g1_g2_dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_edges(spark, sf_dir).select("source_name", "target_kind", "target_name", "resolved")
 
 
+@query(f"""WITH m AS ({LINKED}), d AS (SELECT a.name, '[' || b.name || ']' AS d FROM m a JOIN m b ON b.p_partkey IN (a.p_partkey // 2, a.p_partkey // 3) WHERE a.p_partkey <> b.p_partkey UNION SELECT name, chr(39) || table_name || chr(39) || '[C1]' FROM m),
+    l AS (SELECT name, list_sort(list(DISTINCT d)) AS deps FROM d GROUP BY name)
+    SELECT m.name, array_to_string(deps, ',') AS dependencies, sha256('Measure:' || table_name || ':' || m.name || ':' || dax || ':' || array_to_string(deps, ',')) AS request FROM m JOIN l ON m.name = l.name""")
+def o5_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.bound(spark, sf_dir, LINKED).selectExpr("'p' AS project_id", "'Measure' AS kind", "table_name", "name", "dax")
+    found = providers.requests(rows, linked_edges(spark, sf_dir))
+    return found.select("name", F.array_join(F.array_sort("dependencies"), ",").alias("dependencies"), "request")
+
+
+#: A provider's suggestion for each part: none, of what there is, or of what there is not, up to four.
+SUGGESTED = """SELECT p_partkey, 'M' || CAST(p_partkey AS VARCHAR(19)) AS name, 'T' || CAST(p_size AS VARCHAR(9)) AS table_name, CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN NULL
+    WHEN 2 THEN 'DIVIDE([M' || CAST(p_partkey AS VARCHAR(19)) || '], SUM(T' || CAST(p_size AS VARCHAR(9)) || '[C1]))' WHEN 3 THEN '[Gone A] + [M' || CAST(p_partkey AS VARCHAR(19)) || ']'
+    WHEN 4 THEN 'SUM(Lost[C1]) + [x1] + [x2] + [x3]' ELSE '[m' || CAST(p_partkey AS VARCHAR(19)) || '] -- [Not seen]' END AS dax FROM part"""
+
+
+@query(f"""SELECT name, CASE p_partkey % 6 WHEN 0 THEN 'No Suggestion' WHEN 1 THEN 'No Suggestion' WHEN 3 THEN 'Invalid' WHEN 4 THEN 'Invalid' ELSE 'Validated' END AS validation_status,
+    CASE p_partkey % 6 WHEN 3 THEN 'Suggested DAX references unknown model object(s): [Gone A]' WHEN 4 THEN 'Suggested DAX references unknown model object(s): Lost[C1], [x1], [x2]' ELSE '' END AS note FROM ({SUGGESTED})""")
+def c12_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.bound(spark, sf_dir, SUGGESTED).selectExpr("'p' AS project_id", "'Measure' AS kind", "table_name", "name", "dax AS suggested_dax", "p_partkey AS ord")
+    tables = rows.groupBy("project_id", "table_name").agg(F.min("ord").alias("ord"))
+    columns = tables.withColumn("column_name", F.lit("C1"))
+    cat = resolve.catalog(tables, columns, rows.withColumnRenamed("name", "measure_name"), columns.filter("false"))
+    return providers.validated(rows, cat).select("name", "validation_status", "note")
+
+
 #: A graph with rings: every tenth key leads on within its ten, and back from their last to their first.
 RINGS = """SELECT DISTINCT s_suppkey AS src, CASE WHEN s_suppkey % 10 = 9 AND s_suppkey % 20 = 9 THEN s_suppkey - 9 ELSE s_suppkey + 1 END AS dst FROM supplier"""
 

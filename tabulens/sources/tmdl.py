@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from .. import schemas
 from ..functions import names as N
@@ -39,79 +41,109 @@ HEADER = {
     "expression": re.compile(r"expression\s+('[^']+'|[^\s=]+)(?:\s*=\s*(.*))?$"),
 }
 FENCE = "```"
-EVENTS = "project_id string, path string, line int, item int, section string, role string, chunk int, value string"
+EVENTS = (("line", T.IntegerType()), ("item", T.IntegerType()), ("section", T.StringType()), ("role", T.StringType()), ("chunk", T.IntegerType()), ("value", T.StringType()))
 
 
-def events(text: str) -> Iterator[tuple[int, int, str, str, int, str | None]]:
-    """(line, item, section, role, chunk, value) for each line that counts. role is head (value: the name),
-    defined (what follows the head's equals sign), prop (the line) or text (a line of an expression).
+class Reader:
+    """Goes through the lines of a file, one after another, and knows what is open: an item's section, a fenced expression."""
 
-    Lines of one chunk belong together; a property or a closed fence ends a chunk, and of an
-    item's chunks the last is its expression. Blank and comment lines never count.
-    """
-    section, item, chunk, fenced, filled = "table", 0, 0, False, False
-    for n, raw in enumerate(re.split(r"\r\n|\n|\r", text)):
+    def __init__(self) -> None:
+        self.section, self.item, self.chunk, self.fenced, self.filled = "table", 0, 0, False, False
+
+    def read(self, n: int, raw: str) -> Iterator[tuple[int, int, str, str, int, str | None]]:
+        """(line, item, section, role, chunk, value) for each line that counts. role is head (value: the name),
+        defined (what follows the head's equals sign), prop (the line) or text (a line of an expression).
+
+        Lines of one chunk belong together; a property or a closed fence ends a chunk, and of an
+        item's chunks the last is its expression. Blank and comment lines never count.
+        """
         line = raw.strip()
         if not line or line.startswith("//"):
-            continue
-        if fenced:
+            return
+        if self.fenced:
             ends = line.endswith(FENCE)
             kept = line[: -len(FENCE)].strip() if ends else raw
             if kept:
-                yield n, item, section, "text", chunk, kept
+                yield n, self.item, self.section, "text", self.chunk, kept
             if ends:
-                fenced, filled, chunk = False, False, chunk + 1
-            continue
-        known = line.startswith(HEADS) or line in BARE[section] or line.startswith(BEGINNINGS[section])
-        if known and filled:
-            chunk, filled = chunk + 1, False
+                self.fenced, self.filled, self.chunk = False, False, self.chunk + 1
+            return
+        known = line.startswith(HEADS) or line in BARE[self.section] or line.startswith(BEGINNINGS[self.section])
+        if known and self.filled:
+            self.chunk, self.filled = self.chunk + 1, False
         opened = next(((s, m) for s, p in HEADER.items() if (m := p.match(line))), None)
         if opened:
-            section, match = opened
-            item, chunk = item + 1, 0
-            yield n, item, section, "head", 0, match[1]
-            if section == "partition":  # what follows is its type
-                yield n, item, section, "defined", 0, match[2].strip()
-                continue
+            self.section, match = opened
+            self.item, self.chunk = self.item + 1, 0
+            yield n, self.item, self.section, "head", 0, match[1]
+            if self.section == "partition":  # what follows is its type
+                yield n, self.item, self.section, "defined", 0, match[2].strip()
+                return
             value = match[2]
-            if value is None or section == "table":
-                continue
-            yield n, item, section, "defined", 0, value.strip()
-        elif section == "partition" and line.startswith(("source =", "source:")):
+            if value is None or self.section == "table":
+                return
+            yield n, self.item, self.section, "defined", 0, value.strip()
+        elif self.section == "partition" and line.startswith(("source =", "source:")):
             value = line.partition("=" if "=" in line else ":")[2]
-            yield n, item, section, "prop", chunk, line
-        elif known or section in ("table", "expression"):
-            yield n, item, section, "prop", chunk, line
-            continue
+            yield n, self.item, self.section, "prop", self.chunk, line
+        elif known or self.section in ("table", "expression"):
+            yield n, self.item, self.section, "prop", self.chunk, line
+            return
         else:
-            yield n, item, section, "text", chunk, raw
-            filled = True
-            continue
+            yield n, self.item, self.section, "text", self.chunk, raw
+            self.filled = True
+            return
         value = value.strip()
         if value.startswith(FENCE):
-            inline = value.endswith(FENCE) and len(value) > len(FENCE) and section in ("column", "measure")
+            inline = value.endswith(FENCE) and len(value) > len(FENCE) and self.section in ("column", "measure")
             rest = value[len(FENCE) :]
             rest = (rest[: -len(FENCE)] if inline else rest).strip()
-            if rest and section != "expression":
-                yield n, item, section, "text", chunk, rest
+            if rest and self.section != "expression":
+                yield n, self.item, self.section, "text", self.chunk, rest
             if inline:
-                chunk += 1
+                self.chunk += 1
             else:
-                fenced = True
+                self.fenced = True
         elif value:
-            yield n, item, section, "text", chunk, value
-            filled = True
+            yield n, self.item, self.section, "text", self.chunk, value
+            self.filled = True
+
+
+class Events:
+    """Table function: the events of files whose lines are the rows of its table, with columns n and line and any others, which name the file.
+
+    It asks for the rows of each file together and in order of n, so that a file is read as it comes and never held whole. Callable from SQL once
+    registered: SELECT * FROM tmdl_events(TABLE(lines)).
+    """
+
+    @staticmethod
+    def analyze(lines: AnalyzeArgument) -> AnalyzeResult:
+        keys = [f for f in lines.dataType.fields if f.name not in ("n", "line")]
+        made = T.StructType([*keys, *(T.StructField(*e) for e in EVENTS)])
+        return AnalyzeResult(made, partitionBy=[PartitioningColumn(f.name) for f in keys], orderBy=[OrderingColumn("n")])
+
+    def __init__(self) -> None:
+        self.reader = Reader()
+
+    def eval(self, row: Row) -> Iterator[tuple]:
+        keys = tuple(v for name, v in row.asDict().items() if name not in ("n", "line"))
+        for event in self.reader.read(row["n"], row["line"]):
+            yield (*keys, *event)
+
+
+def file_lines(files: DataFrame) -> DataFrame:
+    """files (project_id, path, text) -> (project_id, path, n, line)."""
+    return files.select("project_id", "path", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\n|\r")).alias("n", "line"))
 
 
 def file_events(files: DataFrame) -> DataFrame:
-    """files (project_id, path, text) -> EVENTS."""
+    """files (project_id, path, text) -> (project_id, path) and EVENTS."""
+    return udtf(Events)(file_lines(files).asTable())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(p, path, *e) for p, path, text in zip(b["project_id"], b["path"], b["text"], strict=True) for e in events(text or "")]
-            yield pd.DataFrame(rows, columns=["project_id", "path", "line", "item", "section", "role", "chunk", "value"])
 
-    return files.select("project_id", "path", "text").mapInPandas(run, EVENTS)
+def register(spark: SparkSession, name: str = "tmdl_events") -> None:
+    """Makes Events a function of SQL."""
+    spark.udtf.register(name, udtf(Events))
 
 
 def dedented(lines: Column) -> Column:
