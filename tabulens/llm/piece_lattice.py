@@ -8,7 +8,6 @@ common units from a broadcast of bounded size, those of all others by joins.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql.functions import arrow_udf
 
 from . import vocabulary
 from .common import bound, cut, cut_by, setting, small_batches
-from .vocabulary import SPACE, Vocabulary
+from .vocabulary import SPACE, UNITS, Vocabulary
 
 #: Bytes of common units and their ids that are broadcast at most, whatever the corpus, and the longest of them in bytes.
 COMMON_BYTES, COMMON_UNIT = 16 << 20, 64
@@ -31,6 +30,8 @@ COMMON_BYTES, COMMON_UNIT = 16 << 20, 64
 TEXTS = 2048
 #: Units that a task of the aggregate holds before it sorts instead.
 GROUPS = 1 << 18
+#: Marks that often end a word; none is a letter, a space or a line end.
+MARKS = frozenset(".,;:!?")
 #: Characters by which the longest piece that can begin at a place is known.
 HEAD = 3
 #: Places of a unit that are folded as one block; longer units are cut into windows of so many.
@@ -50,7 +51,7 @@ class Units:
         words = pc.split_pattern(pc.if_else(odd, pc.replace_substring(texts, " ", SPACE), texts), " ")
         coded = words.flatten().dictionary_encode()
         self.word = coded.indices.to_numpy()
-        parts = [split(SPACE + w) for w in coded.dictionary.to_pylist()]
+        parts = [split(w) for w in coded.dictionary.to_pylist()]
         self.flat = pa.array([u for part in parts for u in part], pa.string())
         self.sizes = np.fromiter(map(len, parts), np.int32, len(parts))
         words_at = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))]
@@ -69,6 +70,21 @@ class Units:
         return coded.dictionary.take(pa.array(order)), n[order], lists.take(pa.array(self.word)).flatten().to_numpy()
 
 
+def word_units(pattern: str) -> Callable[[str], list[str]]:
+    """A function that gives the units of a word, a space before it. Where letters and other characters part, words of letters alone, or
+    with a mark behind them, are not searched."""
+    search, letters = regex.compile(pattern).findall, pattern == UNITS[0]
+
+    def units(word: str) -> list[str]:
+        if letters and word.isalpha():
+            return [SPACE + word]
+        if letters and word[-1:] in MARKS and word[:-1].isalpha():
+            return [SPACE + word[:-1], word[-1]]
+        return search(SPACE + word)
+
+    return units
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Whole numbers of 32 bits, compressed byte by byte, as the high ones repeat."""
     planes = np.ascontiguousarray(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T)
@@ -92,7 +108,7 @@ def split_texts(docs: DataFrame, known: Vocabulary) -> DataFrame:
     shape = f"batch long, units array<string>, counts array<long>, doc_ids array<{kind}>, digests array<binary>, sizes array<int>, body binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, first = regex.compile(pattern).findall, TaskContext.get().partitionId() << 40
+        split, first = word_units(pattern), TaskContext.get().partitionId() << 40
         for k, b in enumerate(batches):
             if not len(b):
                 continue
@@ -285,20 +301,16 @@ class Places:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table)
-        self.data, self.name = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
+        self.data = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
-    def table(self) -> tuple[dict[str, int], pa.Array]:
-        """The place of each common unit, and the ids by place; made once in a worker."""
-        if self.name not in HELD:
-            HELD.clear()
-            t = pa.ipc.open_stream(pa.py_buffer(self.data.value)).read_all()
-            ids = t["ids"].combine_chunks() if t["ids"].num_chunks != 1 else t["ids"].chunk(0)
-            HELD[self.name] = {u: k for k, u in enumerate(t["unit"].to_pylist())}, ids
-        return HELD[self.name]
+    def table(self) -> tuple[pa.Array, pa.Array]:
+        t = pa.ipc.open_stream(pa.py_buffer(self.data.value)).read_all()
+        return tuple(c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in t.columns)
 
 
-#: What a worker holds of the last Places it has used.
-HELD: dict[str, tuple[dict[str, int], pa.Array]] = {}
+def list_ends(lists: pa.ListArray) -> np.ndarray:
+    """Where each list begins among the values of all, and where the last ends."""
+    return np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
 
 
 def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
@@ -330,21 +342,25 @@ def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
     @arrow_udf("array<string>")
     def others(units: pa.Array) -> pa.Array:
         """The units of a batch that are not broadcast, in order."""
-        common = places.table()[0]
-        return pa.array([[x for x in u.as_py() if x not in common] for u in units], pa.list_(pa.string()))
+        flat = units.flatten()
+        mask = pc.invert(pc.is_in(flat, value_set=places.table()[0]))
+        sofar = np.r_[0, np.cumsum(mask.to_numpy(zero_copy_only=False))]
+        return pa.ListArray.from_arrays(pa.array(sofar[list_ends(units)].astype(np.int32)), flat.filter(mask))
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each unit of a batch takes its ids from the broadcast, or else the next of the batch's own."""
         common, ids = places.table()
         for b in batches:
-            for doc_ids, digests, sizes, body, units, own in zip(*b.columns, strict=True):
-                place = np.fromiter((common.get(u, -1) for u in units.as_py()), np.int64, len(units.values))
+            # Looked up together, as a look-up makes an index of all common units first.
+            every, ends = pc.fill_null(pc.index_in(b.column(4).flatten(), value_set=common), -1).to_numpy(), list_ends(b.column(4))
+            for row, (doc_ids, digests, sizes, body, _, own) in enumerate(zip(*b.columns, strict=True)):
+                place = every[ends[row] : ends[row + 1]].copy()
                 rare = np.flatnonzero(place < 0)
                 place[rare] = len(ids) + np.arange(len(rare))
                 lists = pa.concat_arrays([ids, own.values]).take(pa.array(place))
                 at = unpacked(body.as_py())
-                ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy()[at])]
-                offsets = ends[np.r_[0, np.cumsum(sizes.values.to_numpy())]].astype(np.int32)
+                own_ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy()[at])]
+                offsets = own_ends[np.r_[0, np.cumsum(sizes.values.to_numpy())]].astype(np.int32)
                 found = pa.ListArray.from_arrays(pa.array(offsets), lists.take(pa.array(at)).flatten())
                 yield pa.RecordBatch.from_arrays([doc_ids.values, digests.values, found], ["doc_id", "digest", "ids"])
 
