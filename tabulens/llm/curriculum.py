@@ -75,6 +75,12 @@ def mix(docs: DataFrame) -> DataFrame:
     )
 
 
+def schedule(docs: DataFrame) -> DataFrame:
+    """mix(), written and range-sorted by training position: documents in the order of their first pass, then by doc_id those that are not taken."""
+    order = [F.col("first_position").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), F.col("size")]
+    return cut(mix(docs)).repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def position(words: Column) -> Column:
     """Training time at which a source's demand reaches so many words: its rate is start at time 0
     and 2 - start at time 1, in parts of target, so that demand start*t + (1 - start)*t*t is solved for t."""

@@ -30,7 +30,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = curriculum.mix(read(spark, sf_dir, "documents"))
+    found = curriculum.schedule(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "first_position")
 
 

@@ -145,6 +145,14 @@ def test_quality_on_held_out_rows_of_the_test_tables(spark):
     assert right[0] >= 0.95 and right[1] >= 0.98, right
 
 
+def test_the_schedule_is_in_order_of_training(spark):
+    docs = frame(spark, docs_for_mix()).repartition(5)
+    rows = curriculum.schedule(docs).collect()
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, curriculum.mix(docs).collect()))
+    at = [(r["first_position"] is None, r["first_position"] or 0, r["doc_id"] is None, r["doc_id"] or 0) for r in rows]
+    assert at == sorted(at) and at[-1][0]
+
+
 def slow_spans(text):
     out = {}
     for kind, (pattern, group, least) in secret_scan.KINDS.items():
