@@ -16,7 +16,7 @@ ROWS = [
 def test_short_units(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
     text = dict(ROWS)
-    got = sorted((r["doc_id"], text[r["doc_id"]][r["start"] : r["end"]], r["keep_id"], r["copies"]) for r in unit_dedup.repeats(docs).collect())
+    got = sorted((r["doc_id"], text[r["doc_id"]][r["start"] : r["end"]], r["keep_id"], r["copies"]) for r in unit_dedup.repeats(docs, sentence=1).collect())
     assert got == [
         (2, "---", 1, 2),
         (2, "all rights reserved.", 1, 2),
@@ -25,5 +25,16 @@ def test_short_units(spark):
         (5, VERSE, 3, 3),
         (6, "Yes it is! ", 5, 2),
     ]
-    left = {r["doc_id"]: r["text"] for r in unit_dedup.remove(docs).collect()}
+    left = {r["doc_id"]: r["text"] for r in unit_dedup.remove(docs, sentence=1).collect()}
     assert left[1] == text[1] and left[3] == text[3] and left[6] == "Unlike. Otherwise.\n*** . Alone here"
+
+
+def test_short_sentences_stay_unless_asked_for(spark):
+    """Lines of any length go; a sentence goes from so many words on."""
+    long = "Every word of this sentence stands in two documents."
+    rows = [(1, f"One. {long} Yes it is!\nShort line"), (2, f"Two. {long} Yes it is!\nshort line")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    for least, want in ((unit_dedup.SENTENCE, [long + " ", "short line"]), (10, ["short line"]), (1, [long + " ", "Yes it is!", "short line"])):
+        got = sorted((r["start"], text[r["doc_id"]][r["start"] : r["end"]]) for r in unit_dedup.repeats(docs, least).collect())
+        assert [x for _, x in got] == want
