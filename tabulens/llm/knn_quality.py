@@ -53,8 +53,10 @@ class Voters:
 
     def latent(self, x: np.ndarray) -> np.ndarray:
         """Unit vectors in whole steps. A row's do not depend on the rows beside it, and products of two are exact in single precision."""
-        z = np.stack([row @ self.basis for row in unit(x * self.rarity) - self.mean])
-        return np.rint(unit(z) * STEPS).astype(np.float32)
+        return self.steps(unit(x * self.rarity) - self.mean)
+
+    def steps(self, centred: np.ndarray) -> np.ndarray:
+        return np.rint(unit(np.stack([row @ self.basis for row in centred])) * STEPS).astype(np.float32)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.prior)
@@ -99,9 +101,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Voters:
     if not len(y):
         none = np.zeros(0)
         return Voters(none, none, np.zeros((0, 0)), np.zeros((0, 0)), y, prior)
-    x = np.stack([np.frombuffer(b, np.float16).astype(np.float32) for b in got["x"].to_pylist()])
-    rarity = (1 + np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0)))).astype(np.float32)
-    z = unit(x * rarity)
+    # The sample is held once, and changed in place.
+    z = np.empty((len(y), 1 << BITS), np.float32)
+    for row, b in zip(z, got["x"], strict=True):
+        row[:] = np.frombuffer(b.as_buffer(), np.float16)
+    del got
+    rarity = (1 + np.log((1 + len(z)) / (1 + np.count_nonzero(z, axis=0)))).astype(np.float32)
+    z *= rarity
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
     mean = z.mean(axis=0)
     z -= mean
     # Randomized truncated SVD, with a fixed seed.
@@ -112,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Voters:
     q = np.linalg.qr(q)[0]
     _, _, vt = np.linalg.svd(z @ q, full_matrices=False)
     found = Voters(rarity, mean, (q @ vt.T)[:, :LATENT].astype(np.float32), np.zeros((0, 0)), y, prior)
-    return replace(found, vectors=found.latent(x))
+    return replace(found, vectors=found.steps(z))
 
 
 def scored(docs: DataFrame, labels: DataFrame, columns: list[str], keep=None) -> DataFrame:
