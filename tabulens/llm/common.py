@@ -68,11 +68,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_by(df: DataFrame, column: str) -> DataFrame:
-    """Like cut(), with rows dealt to files by a column, so that a join on it moves only its other side."""
+    """Like cut(), with rows dealt to files by a column, so that a join on it moves only its other side. Compressed
+    more than is usual, as such tables are as large as the corpus's distinct text."""
     spark, name = df.sparkSession, f"tabulens_{uuid.uuid4().hex}"
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{workdir(spark)}/{name}"
-    df.write.bucketBy(files, column).option("path", path).saveAsTable(name)
+    df.write.bucketBy(files, column).option("compression", "zstd").option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._cut_path = path
     spark.sql(f"DROP TABLE {name}")  # from the catalogue only: the files stay
