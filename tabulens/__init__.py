@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_HOMES = {"analyze": "plans.analysis", "analyze_files": "plans.analysis", "register": "plans.analysis", "write_workbook": "sources.workbook", "watch": "streaming", "sweep": "operators.graph"}
+_HOMES = {"analyze": "plans.analysis", "analyze_files": "plans.analysis", "register": "plans.analysis", "write_workbook": "sources.workbook", "write_workbooks": "sources.workbook", "watch": "streaming", "sweep": "operators.graph"}
 
 
 def __getattr__(name: str):

@@ -128,6 +128,16 @@ def test_workbook(found, tmp_path):
     assert "85/100 (B (Good))" in text
 
 
+def test_workbooks_of_all_projects_from_tasks(found, tmp_path):
+    named = {r["project_id"].rsplit("/", 1)[1]: r for r in tabulens.write_workbooks(found, tmp_path / "all").collect()}
+    assert set(named) == {"shop.zip", "ledger.zip"}
+    assert sorted(map(str, (tmp_path / "all").iterdir())) == sorted(r["file"] for r in named.values())
+    for r in named.values():
+        alone = tabulens.write_workbook(found, r["project_id"], tmp_path / "alone.xlsx")
+        with zipfile.ZipFile(r["file"]) as a, zipfile.ZipFile(alone) as b:
+            assert a.namelist() == b.namelist() and all(a.read(n) == b.read(n) for n in a.namelist())
+
+
 class Fake(Provider):
     name = "Fake"
 
