@@ -117,6 +117,7 @@ def split_texts(docs: DataFrame, known: Vocabulary) -> DataFrame:
             lists = [units, pa.array(counts), b.column(0), b.column(1), pa.array(np.diff(found.at).astype(np.int32))]
             one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
             yield pa.RecordBatch.from_arrays([pa.array([first + k]), *one, pa.array([packed(places)], pa.binary())], names)
+            pa.default_memory_pool().release_unused()
 
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     return docs.select("doc_id", digest.alias("digest"), "text").mapInArrow(run, shape)
@@ -363,6 +364,7 @@ def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
                 offsets = own_ends[np.r_[0, np.cumsum(sizes.values.to_numpy())]].astype(np.int32)
                 found = pa.ListArray.from_arrays(pa.array(offsets), lists.take(pa.array(at)).flatten())
                 yield pa.RecordBatch.from_arrays([doc_ids.values, digests.values, found], ["doc_id", "digest", "ids"])
+            pa.default_memory_pool().release_unused()
 
     rare = split.select("batch", F.posexplode(others("units")).alias("k", "unit"))
     beyond = pieces.filter((F.col("count") < least) | (F.octet_length("unit") > COMMON_UNIT)).select("unit", "ids")
