@@ -47,8 +47,12 @@ def analysis_records(found: DataFrame, by_name: DataFrame) -> DataFrame:
 
 
 def improvements(found: DataFrame) -> DataFrame:
-    """One row an issue, in order within its object (issue_ord)."""
-    rows = found.select("project_id", "ord", F.col("kind").alias("object_type"), "table_name", F.col("name").alias("object_name"), F.col("dax").alias("original_dax"), F.posexplode("issues").alias("issue_ord", "i"))
+    """One row an issue, in order within its object (issue_ord).
+
+    The outer form and a filter after it: for the inner form the optimizer makes a filter by the array's size, which
+    it pushes below all columns and with which it computes every rule once more for each place where it is used.
+    """
+    rows = found.select("project_id", "ord", F.col("kind").alias("object_type"), "table_name", F.col("name").alias("object_name"), F.col("dax").alias("original_dax"), F.posexplode_outer("issues").alias("issue_ord", "i")).filter("i IS NOT NULL")
     return rows.select(
         "project_id", "ord", "issue_ord", "object_type", "table_name", "object_name", "original_dax",
         F.col("i.category").alias("issue_category"), "i.severity", "i.issue", "i.explanation", "i.recommendation",
