@@ -64,8 +64,11 @@ def sources(measures: DataFrame, calculated: DataFrame) -> DataFrame:
 
 
 def with_references(objects: DataFrame, strict: bool = False) -> DataFrame:
-    """Objects with their stripped text, its mask and references, each computed once."""
-    out = objects.withColumn("text", N.strip(F.col("dax"))).withColumn("mask", E.masked(F.col("text")))
+    """Objects with their stripped text, its mask and references, each computed once.
+
+    Objects are dealt anew by name: a table of a million of them is a file of some megabytes, which would be one task.
+    """
+    out = objects.repartition("project_id", "name").withColumn("text", N.strip(F.col("dax"))).withColumn("mask", E.masked(F.col("text")))
     return out.withColumn("refs", E.references(F.col("mask"), strict))
 
 
@@ -76,7 +79,8 @@ def edges(objects: DataFrame, cat: Catalog) -> DataFrame:
     target_kind, target_table, target_name, raw, dax, resolved. What resolves to nothing has a
     target of kind Unknown and is no edge of the graph.
     """
-    refs = objects.select("project_id", F.col("kind").alias("source_kind"), F.col("table_name").alias("context"), F.col("name").alias("source_name"), "dax", "ord", F.posexplode("refs").alias("ref_ord", "r"))
+    # Outer, as in quality.improvements(): no filter by the array is to be pushed below the columns that make it.
+    refs = objects.select("project_id", F.col("kind").alias("source_kind"), F.col("table_name").alias("context"), F.col("name").alias("source_name"), "dax", "ord", F.posexplode_outer("refs").alias("ref_ord", "r")).filter("r IS NOT NULL")
     flat = refs.select("project_id", "source_kind", "context", "source_name", "dax", "ord", "ref_ord", "r.kind", "r.table", "r.name", "r.raw")
     met = resolve(flat, cat)
     found = F.col("found")
