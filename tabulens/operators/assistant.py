@@ -13,6 +13,8 @@ from .graph import written
 
 #: Characters of a gram, by which names are looked up.
 GRAM = 3
+#: Names whose index is sent to every task, a few MB; more are joined.
+SENT = 20_000
 #: Words that ask for a part of the context, and phrases that refer back.
 INTENTS = {
     "unused_objects_summary": ("unused", "orphan", "clean up", "redundant", "dead"),
@@ -55,23 +57,28 @@ def index(names: DataFrame) -> DataFrame:
     each = once.withColumn("gram", F.explode(F.when(F.length(low) < GRAM, F.array(low)).otherwise(grams(low, GRAM))))
     often = each.groupBy("project_id", "gram").agg(F.count("*").alias("often"))
     rarest = F.min_by("gram", F.struct("often", "gram")).alias("gram")
-    return each.join(often, ["project_id", "gram"]).groupBy("project_id", "ord", "name").agg(rarest)
+    return each.hint("merge").join(often, ["project_id", "gram"]).groupBy("project_id", "ord", "name").agg(rarest)
 
 
 def contained(questions: DataFrame, names: DataFrame) -> DataFrame:
     """Questions with each name that their text contains, in any case.
 
-    A text that contains a name has the name's rarest gram: names meet questions by an equi-join on it, and what meets is verified. Neither
-    the names of a project nor its questions are gathered; texts are not sent with their grams.
+    A text that contains a name has the name's rarest gram: names meet questions by an equi-join on it, and what meets is verified. An index of
+    SENT names at most is sent to the questions; a larger one meets their grams in a merge join, and texts are not sent with their grams. Questions
+    are never sent: the optimizer takes exploded grams for no larger than their texts, and would gather them on the driver.
     """
     taken = {c.lower() for c in [*questions.columns, *names.columns]}
-    row = next(r for r in ("row_", "row__", "row___") if r not in taken)
-    asked = written(questions.withColumn(row, F.monotonically_increasing_id()))
+    row, gram = (next(c for c in (f"{x}_", f"{x}__", f"{x}___") if c not in taken) for x in ("row", "gram"))
     low = F.lower(F.coalesce("text", F.lit("")))
-    sizes = F.flatten(F.array(*[grams(low, q) for q in range(1, GRAM + 1)]))
-    own = asked.select("project_id", row, F.explode(sizes).alias("gram"))
-    met = own.join(index(names), ["project_id", "gram"]).select(row, "ord", "name")
-    return asked.join(met, row).filter(F.contains(low, F.lower("name"))).select(*questions.columns, "ord", "name")
+    sizes = F.explode_outer(F.flatten(F.array(*[grams(low, q) for q in range(1, GRAM + 1)]))).alias(gram)
+    found = written(index(names)).withColumnRenamed("gram", gram)
+    if found.limit(SENT + 1).count() <= SENT:
+        met = questions.select("*", sizes).join(F.broadcast(found), ["project_id", gram])
+    else:
+        asked = written(questions.withColumn(row, F.monotonically_increasing_id()))
+        ids = asked.select("project_id", row, sizes).join(found.hint("merge"), ["project_id", gram]).select(row, "ord", "name")
+        met = asked.join(ids.hint("merge"), row)
+    return met.filter(F.contains(low, F.lower("name"))).select(*questions.columns, "ord", "name")
 
 
 def whole_words(questions: DataFrame, names: DataFrame) -> DataFrame:
