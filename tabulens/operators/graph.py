@@ -122,6 +122,39 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
             discard(df)
 
 
+def levels(edges: DataFrame, starts: DataFrame, put: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(root, node, level): the least number of edges (src, dst) from each of starts (root) to each node it leads to, itself included.
+
+    By repeated squaring: a round extends what the roots reach within fewer than 2**k edges by the ways of exactly 2**k edges, which is the k-th
+    square of the graph and gives the next. New pairs are those that no earlier round has reached. The first round without any is the last, on rings
+    too, as the way to what lies further would lead through some that lies nearer: there are as many rounds as the depth has binary digits, and two.
+    """
+    power = put(edges.select("src", "dst").distinct())
+    seen = [put(starts.select("root", F.col("root").alias("node"), F.lit(0).alias("level")).distinct())]
+    size = 1
+    while True:
+        step = reduce(DataFrame.unionByName, seen).join(power.withColumnRenamed("src", "node"), "node").select("root", F.col("dst").alias("node"), (F.col("level") + size).alias("level"))
+        first = step.groupBy("root", "node").agg(F.min("level").alias("level"))
+        new = put(first.join(reduce(DataFrame.unionByName, seen), ["root", "node"], "left_anti"))
+        if new.isEmpty():
+            return reduce(DataFrame.unionByName, seen)
+        seen.append(new)
+        if len(seen) > ROUNDS:
+            seen = [put(reduce(DataFrame.unionByName, seen))]
+        power = put(power.withColumnRenamed("dst", "via").join(power.withColumnRenamed("src", "via"), "via").select("src", "dst").distinct())
+        size *= 2
+
+
+def numbered_graph(graph: DataFrame, roots: DataFrame, put: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """names (project_id, name, id), the graph with ids for src and dst, and roots as ids: numbers stand for names while pairs are made."""
+    ends = graph.select("project_id", F.explode(F.array("src", "dst")).alias("name")).unionByName(roots.select("project_id", F.col("root").alias("name")))
+    names = put(ends.filter("name IS NOT NULL").distinct().withColumn("id", F.monotonically_increasing_id()))
+    of = lambda end: names.select("project_id", F.col("name").alias(end), F.col("id").alias(f"{end}_id"))
+    edges = graph.join(of("src"), ["project_id", "src"]).join(of("dst"), ["project_id", "dst"]).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
+    starts = roots.select("project_id", "root").distinct().join(of("root"), ["project_id", "root"]).select(F.col("root_id").alias("root"))
+    return names, put(edges), put(starts)
+
+
 def closure(graph: DataFrame, roots: DataFrame, paths: bool = True) -> DataFrame:
     """What each root leads to: (project_id, root, node, level[, path, dax]), the root itself excluded.
 
@@ -131,25 +164,29 @@ def closure(graph: DataFrame, roots: DataFrame, paths: bool = True) -> DataFrame
     on rings too, as the way to what lies further would lead through some that lies nearer: there are as many rounds as the depth has
     binary digits, and two. Of the shortest paths to a node the one that comes first by edge numbers is kept, as a queue would visit it: path is its array of
     labels, dax the expression of its last edge. Each root is followed once however many use it. Tables between are written to the
-    shared folder and deleted; the result is one written table.
+    shared folder and deleted; the result is one written table. Without paths, numbers stand for names meanwhile (levels()).
     """
+    if not paths:
+        with scratch() as put:
+            names, edges, starts = numbered_graph(graph, roots, put)
+            of = lambda end: names.select("project_id", F.col("name").alias(f"{end}_name"), F.col("id").alias(end))
+            named = levels(edges, starts, put).filter("level > 0").join(of("root"), "root").join(of("node").drop("project_id"), "node")
+            return written(named.select("project_id", F.col("root_name").alias("root"), F.col("node_name").alias("node"), "level"))
     keys = ["project_id", "root", "node"]
-    more = ["at", "path", "dax"] if paths else []
+    more = ["at", "path", "dax"]
     way = F.struct("level", *more)
     with scratch() as put:
-        edge = F.struct(F.array(F.col("n").cast("int")).alias("at"), F.array("label").alias("path"), "dax") if paths else F.struct(F.lit(0).alias("none"))
+        edge = F.struct(F.array(F.col("n").cast("int")).alias("at"), F.array("label").alias("path"), "dax")
         power = put(graph.groupBy("project_id", "src", "dst").agg(F.min(edge).alias("e")))
         state = roots.select("project_id", "root").distinct().select("project_id", "root", F.col("root").alias("node"), F.lit(0).alias("level"))
-        if paths:
-            state = state.withColumns({"at": F.array().cast("array<int>"), "path": F.array().cast("array<string>"), "dax": F.lit("")})
+        state = state.withColumns({"at": F.array().cast("array<int>"), "path": F.array().cast("array<string>"), "dax": F.lit("")})
         seen = [put(state)]
         size = 1
-        joined = lambda e, f: F.struct(F.concat(e["at"], f["at"]).alias("at"), F.concat(e["path"], f["path"]).alias("path"), f["dax"].alias("dax")) if paths else F.struct(F.lit(0).alias("none"))
+        joined = lambda e, f: F.struct(F.concat(e["at"], f["at"]).alias("at"), F.concat(e["path"], f["path"]).alias("path"), f["dax"].alias("dax"))
         while True:
             ends = power.withColumnRenamed("src", "node").withColumnRenamed("e", "f")
             step = reduce(DataFrame.unionByName, seen).join(ends, ["project_id", "node"]).withColumn("level", F.col("level") + size)
-            if paths:
-                step = step.withColumn("f", joined(F.struct(*more), F.col("f"))).drop(*more).select("*", "f.*")
+            step = step.withColumn("f", joined(F.struct(*more), F.col("f"))).drop(*more).select("*", "f.*")
             first = step.select("project_id", "root", F.col("dst").alias("node"), "level", *more).groupBy(*keys).agg(F.min(way).alias("x")).select(*keys, "x.*")
             new = put(first.join(reduce(DataFrame.unionByName, seen), keys, "left_anti"))
             if new.isEmpty():

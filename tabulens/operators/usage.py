@@ -50,30 +50,29 @@ def numbered_places(usage: DataFrame) -> DataFrame:
 
 
 def used_by_root(usage: DataFrame) -> DataFrame:
-    """(project_id, root, bucket, uses, map): for each object that is used, its uses and its places as exact bitmaps, a row a bucket of place numbers.
+    """(project_id, root, word, uses, bits): for each object that is used, its uses and its places as exact bits, a row for each word of 64 place numbers.
 
-    A bitmap is cut after its last set bit, so that the few places of a small project take a few bytes.
+    A row has one number for up to 64 places, so that few places take few bytes and many take a bit each.
     """
-    bit = F.bitmap_bit_position("number")
-    rows = numbered_places(usage).groupBy("project_id", F.col("canonical").alias("root"), F.bitmap_bucket_number("number").alias("bucket"))
-    found = rows.agg(F.count("*").alias("uses"), F.bitmap_construct_agg(bit).alias("map"), F.max(bit).alias("last"))
-    return found.withColumn("map", F.substring("map", F.lit(1), (F.floor(F.col("last") / 8) + 1).cast("int"))).drop("last")
+    number = F.col("number")
+    rows = numbered_places(usage).groupBy("project_id", F.col("canonical").alias("root"), F.shiftright(number, 6).alias("word"))
+    return rows.agg(F.count("*").alias("uses"), F.bit_or(F.expr("shiftleft(1L, CAST(number & 63 AS INT))")).alias("bits"))
 
 
 def object_usage(universe: DataFrame, usage: DataFrame, met: DataFrame) -> DataFrame:
     """Each object's counts and class. A location is a page's name and a visual's id; direct and indirect
     uses at one location count it once.
 
-    met: reach() of usage. Uses are summed and their places made a bitmap for each object that is used, before these meet what the object
-    leads to; sums add up and bitmaps are or-ed along the closure, which no row of usage meets.
+    met: reach() of usage. Uses are summed and their places made bits of words for each object that is used, before these meet what the object
+    leads to; sums add up and words are or-ed along the closure, which no row of usage meets.
     """
     own = G.written(used_by_root(usage))
     ways = met.select("project_id", "root", "node", F.lit(False).alias("direct"))
     ways = ways.unionByName(own.select("project_id", "root").distinct().select("project_id", "root", F.col("root").alias("node"), F.lit(True).alias("direct")))
     flow = ways.join(own, ["project_id", "root"]).withColumnRenamed("node", "canonical")
     sums = lambda direct: F.sum(F.when(F.col("direct") == F.lit(direct), F.col("uses")).otherwise(0))
-    by_bucket = flow.groupBy("project_id", "canonical", "bucket").agg(sums(True).alias("d"), sums(False).alias("i"), F.bitmap_count(F.bitmap_or_agg("map")).alias("places"))
-    counts = by_bucket.groupBy("project_id", "canonical").agg(F.sum("d").alias("direct_count"), F.sum("i").alias("indirect_count"), F.sum("places").alias("location_count"))
+    by_word = flow.groupBy("project_id", "canonical", "word").agg(sums(True).alias("d"), sums(False).alias("i"), F.bit_count(F.bit_or("bits")).alias("places"))
+    counts = by_word.groupBy("project_id", "canonical").agg(F.sum("d").alias("direct_count"), F.sum("i").alias("indirect_count"), F.sum("places").alias("location_count"))
     found = universe.join(counts, ["project_id", "canonical"], "left").fillna(0, ["direct_count", "indirect_count", "location_count"])
     direct, other = F.col("direct_count") > 0, F.col("indirect_count") > 0
     kind = F.when(direct & other, "Direct + Indirect").when(direct, "Direct").when(other, "Indirect").otherwise("Unused")
