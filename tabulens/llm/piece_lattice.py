@@ -140,25 +140,25 @@ def piece_table(df: DataFrame, known: Vocabulary) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "piece string, id int")
 
 
-def reaches(df: DataFrame, known: Vocabulary) -> DataFrame:
-    """(head, reach): the first HEAD characters of pieces, and the length of the longest piece that begins so."""
-    reach: dict[str, int] = {}
+def lengths(df: DataFrame, known: Vocabulary) -> DataFrame:
+    """(head, lengths): the first HEAD characters of pieces, and the lengths that a piece may have that begins so, 1 to HEAD - 1 among them."""
+    found: dict[str, set[int]] = {}
     for p in known.pieces:
         if len(p) >= HEAD:
-            reach[p[:HEAD]] = max(reach.get(p[:HEAD], 0), len(p))
-    return df.sparkSession.createDataFrame(list(reach.items()), "head string, reach int")
+            found.setdefault(p[:HEAD], set(range(1, HEAD))).add(len(p))
+    return df.sparkSession.createDataFrame([(h, sorted(x)) for h, x in found.items()], "head string, lengths array<int>")
 
 
 def edges(windows: DataFrame, keys: list[str], known: Vocabulary) -> DataFrame:
     """windows (keys, text, first, starts) -> (keys, edge): the pieces that begin at the first `starts` characters of a text, whose first is place `first` of its unit; see edge().
 
-    The pieces are broadcast (as many as the vocabulary has), so that rows stay where they are. Substrings at a place are no longer than the
-    longest piece that begins with the same characters.
+    The pieces are broadcast (as many as the vocabulary has), so that rows stay where they are. Substrings at a place have the lengths of pieces
+    that begin with the same characters.
     """
     starts = windows.select(*keys, "text", "first", F.explode(F.sequence(F.lit(1), F.col("starts"))).alias("at"))
-    starts = starts.withColumn("head", F.substring("text", F.col("at"), F.lit(HEAD))).join(F.broadcast(reaches(windows, known)), "head", "left")
-    longest = F.least(F.coalesce("reach", F.lit(HEAD - 1)), F.length("text") - F.col("at") + 1)
-    pieces = starts.select(*keys, "text", "first", "at", F.explode(F.sequence(F.lit(1), longest)).alias("n"))
+    starts = starts.withColumn("head", F.substring("text", F.col("at"), F.lit(HEAD))).join(F.broadcast(lengths(windows, known)), "head", "left")
+    few = F.array(*[F.lit(n) for n in range(1, HEAD)])
+    pieces = starts.select(*keys, "text", "first", "at", F.explode(F.coalesce("lengths", few)).alias("n")).filter(F.col("n") <= F.length("text") - F.col("at") + 1)
     found = pieces.withColumn("piece", F.substring("text", F.col("at"), F.col("n"))).join(F.broadcast(piece_table(windows, known)), "piece", "left")
     unknown = F.col("id").isNull() & (F.col("n") == 1)  # a character that is no piece: an edge of its own
     found = found.filter(F.col("id").isNotNull() | unknown)
@@ -228,9 +228,7 @@ def best_path(blocks: Column, known: Vocabulary) -> Column:
         ))
 
     def places(block: Column) -> Column:
-        # A place's last edge is that of a single character, which every place has.
-        ends = F.filter(F.sequence(F.lit(1), F.size(block)), lambda i: F.get(block, i - 1).bitwiseAND(F.lit(255 << 24)) == 254 << 24)
-        return bound(ends, lambda at: F.transform(at, lambda a, i: F.slice(block, before(at, i) + 1, a - before(at, i))))
+        return bound(place_ends(block), lambda at: F.transform(at, lambda a, i: F.slice(block, before(at, i) + 1, a - before(at, i))))
 
     def forward(s: Column, block: Column) -> Column:
         # The place where an edge begins lies its length before the end of the best scores.
@@ -252,22 +250,58 @@ def best_path(blocks: Column, known: Vocabulary) -> Column:
     return F.reverse(F.flatten(F.aggregate(F.reverse(picks), last, back, lambda s: s["path"])))
 
 
+def whole_scores(known: Vocabulary) -> bool:
+    """Whether totals of a block are whole numbers of 31 bits, as for files of the BPE kind, whose scores are ranks."""
+    return all(float(x).is_integer() for x in known.scores) and max(map(abs, known.scores)) * BLOCK < 1 << 31
+
+
+def best_short_path(block: Column, known: Vocabulary) -> Column:
+    """best_path() of one block, for whole_scores(): the same fold over one number a place, which has the least cost in its high half
+    and the low half of the edge chosen in its low one, so that of equal costs the earliest start is least. Nothing but these numbers is made or copied."""
+    costs = F.split(F.lit(",".join(str(-int(x) << 32) for x in known.scores)), ",").cast("array<bigint>")
+    mask, low, high = (F.lit(x).cast("long") for x in ((1 << 24) - 1, (1 << 32) - 1, -1 << 32))
+
+    def cost(s: Column, e: Column) -> Column:
+        return F.get(s, back_of(e) + F.size(s) - 255).bitwiseAND(high) + F.get(costs, e.bitwiseAND(mask)) + e.bitwiseAND(low)
+
+    def back(s: Column) -> Column:
+        last = F.size(s) - 1
+        picked = lambda p: F.shiftleft(p.cast("long"), 32) + F.get(s, p).bitwiseAND(low)
+        hop = lambda t, p: F.when(t["at"] == p, F.struct((p - 255 + back_of(F.get(s, p)).cast("int")).alias("at"), F.array_append(t["path"], picked(p)).alias("path"))).otherwise(t)
+        none = F.struct(last.alias("at"), F.array().cast("array<bigint>").alias("path"))
+        return F.aggregate(F.sequence(last, F.lit(1), F.lit(-1)), none, hop, lambda t: F.reverse(t["path"]))
+
+    def forward(ends: Column) -> Column:
+        done = lambda s: F.coalesce(F.get(ends, F.size(s) - 2), F.lit(0))
+        choose = lambda s, end: F.array_append(s, F.array_min(F.transform(F.slice(block, done(s) + 1, end - done(s)), lambda e: cost(s, e))))
+        return F.aggregate(ends, F.array(F.lit(0).cast("long")), choose, back)
+
+    # Named by an aggregate of nothing, which makes no copy of it.
+    return F.aggregate(F.array().cast("array<int>"), place_ends(block), lambda ends, _: ends, forward)
+
+
+def place_ends(block: Column) -> Column:
+    """How many of a block's edges there are up to each place; a place's last edge is that of a single character, which every place has."""
+    return F.filter(F.sequence(F.lit(1), F.size(block)), lambda i: F.get(block, i - 1).bitwiseAND(F.lit(255 << 24)) == 254 << 24)
+
+
 def unit_ids(distinct: DataFrame, known: Vocabulary) -> DataFrame:
     """(unit, count) -> (unit, count, ids): the unit's piece ids; unknown characters give the ids of their bytes.
 
-    Units of more than BLOCK characters take the way of long_lattice(), all others that of lattice(); both give the same, and are folded alike.
+    Units of more than BLOCK characters take the way of long_lattice(), all others that of lattice(); both give the same.
     """
     short, long = F.length("unit") <= BLOCK, F.length("unit") > BLOCK
     at = lambda e: F.substring(F.col("unit"), end_of(e).cast("int"), F.lit(1))
-    few = with_ids(lattice(distinct.filter(short), known), known, lambda ids: ids(at))
-    many = with_ids(long_lattice(distinct.filter(long), known), known, lambda ids: bound(F.split("unit", ""), lambda chars: ids(lambda e: F.get(chars, (end_of(e) - 1).cast("int")))))
+    fold = best_short_path(F.element_at("blocks", 1), known) if whole_scores(known) else best_path(F.col("blocks"), known)
+    few = with_ids(lattice(distinct.filter(short), known), fold, known, lambda ids: ids(at))
+    many = with_ids(long_lattice(distinct.filter(long), known), best_path(F.col("blocks"), known), known, lambda ids: bound(F.split("unit", ""), lambda chars: ids(lambda e: F.get(chars, (end_of(e) - 1).cast("int")))))
     return few.unionByName(many)
 
 
-def with_ids(found: DataFrame, known: Vocabulary, reading: Callable[[Callable[[Callable[[Column], Column]], Column]], Column]) -> DataFrame:
-    """A lattice's units with the ids of their best paths. reading: applies a function to one that gives the character where an edge ends."""
+def with_ids(found: DataFrame, path: Column, known: Vocabulary, reading: Callable[[Callable[[Callable[[Column], Column]], Column]], Column]) -> DataFrame:
+    """A lattice's units with the ids of their best paths (path). reading: applies a function to one that gives the character where an edge ends."""
     # Kept apart, so that the fold's result is made once though it is used more than once.
-    paths = found.select("unit", "count", best_path(F.col("blocks"), known).alias("path"))
+    paths = found.select("unit", "count", path.alias("path"))
     if not known.byte_ids:
         return paths.select("unit", "count", F.transform("path", id_of).alias("ids"))
     table = F.array(*[F.lit(i) for i in known.byte_ids])
