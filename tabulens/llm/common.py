@@ -17,6 +17,8 @@ from pyspark.sql.types import StringType
 
 #: Words of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Characters of a plan's description.
+PLAN = 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,6 +38,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def short_plans(spark: SparkSession) -> None:
+    """Plans that hold a vocabulary as a literal are described in so many characters at most: the driver makes a description
+    for every stage that ends, and keeps the last ones of up to a thousand queries."""
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN))
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """A setting of the session while a table is written, put back after it."""

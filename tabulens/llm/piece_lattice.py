@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import vocabulary
-from .common import bound, cut, cut_by, setting, small_batches
+from .common import bound, cut, cut_by, setting, short_plans, small_batches
 from .vocabulary import SPACE, UNITS, Vocabulary
 
 #: Bytes of common units and their ids that are broadcast at most, whatever the corpus, and the longest of them in bytes.
@@ -363,6 +363,7 @@ def encode(docs: DataFrame, path: str = vocabulary.DEFAULT_PATH) -> DataFrame:
     known = vocabulary.load(path)
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     small_batches(spark)
+    short_plans(spark)
     # Shuffles of a table are not needed once it is written.
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS)):
