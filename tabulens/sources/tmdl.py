@@ -192,12 +192,15 @@ def flag(name: str) -> Column:
     return F.array_contains("marks", name) | F.contains(F.lower(value_of(name)), F.lit("true"))
 
 
-def raw_tables(files: DataFrame) -> DataFrame:
-    """schemas.RAW_TABLE of the models' files (project_id, path, rel, text): those of the tables folder, then
-    those beside it that begin with a table. Order is by path, and by place in a file."""
+def table_files(files: DataFrame) -> DataFrame:
+    """The models' files (project_id, path, rel, text) that are tables, with rank: 0 for those of the tables folder, 1 for those beside it that begin with a table."""
     beside = ~F.contains("rel", F.lit("/")) & ~F.lower("rel").isin("model.tmdl", "relationships.tmdl", "expressions.tmdl") & F.startswith(N.strip(F.col("text")), F.lit("table "))
     inside = F.col("rel").rlike("^tables/[^/]*$")
-    chosen = files.filter(F.endswith(F.lower("rel"), F.lit(".tmdl")) & (inside | beside)).withColumn("rank", F.when(inside, 0).otherwise(1))
+    return files.filter(F.endswith(F.lower("rel"), F.lit(".tmdl")) & (inside | beside)).withColumn("rank", F.when(inside, 0).otherwise(1))
+
+
+def table_items(chosen: DataFrame) -> DataFrame:
+    """(project_id, path, item, section) and t, column, measure, partition of the items of table_files(): a row an item, with the one of these that it is."""
     found = items(file_events(chosen))
     text = F.when(F.col("lines").isNotNull(), dedented(F.col("lines"))).otherwise("")
     variation = F.array_contains("marks", "isDefault") | F.exists("marks", lambda m: F.startswith(m, F.lit("variation")) | F.startswith(m, F.lit("dateTime variation")) | F.startswith(m, F.lit("defaultHierarchy:")) | F.startswith(m, F.lit("relationship:")))
@@ -211,18 +214,48 @@ def raw_tables(files: DataFrame) -> DataFrame:
     )
     measure = F.struct(ord_, name, text.alias("expression"), value_of("formatString", quoted=True).alias("formatString"), value_of("description", quoted=True).alias("description"), flag("isHidden").alias("isHidden"), value_of("lineageTag").alias("lineageTag"))
     partition = F.struct(ord_, name, value_of("mode", "import").alias("mode"), F.col("defined").alias("type"), text.alias("expression"))
-    listed = lambda section, x: F.array_sort(F.collect_list(F.when(F.col("section") == section, x)))
-    head = F.when(F.col("section") == "table", F.struct(name, flag("isHidden").alias("isHidden"), value_of("description", quoted=True).alias("description"), value_of("dataCategory").alias("dataCategory"), F.col("annotations").alias("annotations")))
-    per = found.groupBy("project_id", "path").agg(F.max_by(head, F.when(F.col("section") == "table", F.col("item"))).alias("t"), listed("column", column).alias("columns"), listed("measure", measure).alias("measures"), listed("partition", partition).alias("partitions"))
-    placed = chosen.select("project_id", "path", "rel", "rank").join(per, ["project_id", "path"])
-    base = F.regexp_replace(F.regexp_replace("rel", "^.*/", ""), r"\.[^.]*$", "")
-    out = placed.withColumn("ord", F.expr("CAST(row_number() OVER (PARTITION BY project_id ORDER BY rank, rel) - 1 AS INT)"))
-    return out.select(
-        "project_id", "ord", F.coalesce("t.name", base).alias("name"), F.coalesce("t.isHidden", F.lit(False)).alias("isHidden"), F.coalesce("t.description", F.lit("")).alias("description"),
+    head = F.struct(name, flag("isHidden").alias("isHidden"), value_of("description", quoted=True).alias("description"), value_of("dataCategory").alias("dataCategory"), F.col("annotations").alias("annotations"))
+    kinds = {"t": ("table", head), "column": ("column", column), "measure": ("measure", measure), "partition": ("partition", partition)}
+    return found.select(*KEY, "section", *[F.when(F.col("section") == section, x).alias(k) for k, (section, x) in kinds.items()])
+
+
+def table_name() -> Column:
+    """A table's name: that of its head, or else of its file."""
+    return F.coalesce("t.name", F.regexp_replace(F.regexp_replace("rel", "^.*/", ""), r"\.[^.]*$", ""))
+
+
+def last_head() -> Column:
+    return F.max_by("t", F.when(F.col("section") == "table", F.col("item"))).alias("t")
+
+
+def table_objects(chosen: DataFrame, found: DataFrame) -> DataFrame:
+    """found, table_items(), with table_name and table_hidden: what raw_tables() has as lists, a row an object, so that files of any length take no more of a task.
+
+    found is read twice, and had better be a table that is written."""
+    heads = found.filter("section = 'table'").groupBy("project_id", "path").agg(last_head())
+    named = chosen.select("project_id", "path", "rel").join(heads, ["project_id", "path"], "left").select("project_id", "path", table_name().alias("table_name"), F.coalesce("t.isHidden", F.lit(False)).alias("table_hidden"))
+    return found.filter("section IN ('column', 'measure', 'partition')").drop("t").join(named, ["project_id", "path"])
+
+
+def raw_tables(files: DataFrame) -> DataFrame:
+    """schemas.RAW_TABLE of the models' files (project_id, path, rel, text): those of the tables folder, then
+    those beside it that begin with a table. Order is by path, and by place in a file."""
+    chosen = table_files(files)
+    listed = lambda kind: F.array_sort(F.collect_list(kind)).alias(f"{kind}s")
+    per = table_items(chosen).groupBy("project_id", "path").agg(last_head(), listed("column"), listed("measure"), listed("partition"))
+    return numbered(chosen, per).select(
+        "project_id", "ord", table_name().alias("name"), F.coalesce("t.isHidden", F.lit(False)).alias("isHidden"), F.coalesce("t.description", F.lit("")).alias("description"),
         F.coalesce("t.dataCategory", F.lit("")).alias("dataCategory"), F.lit(None).cast("boolean").alias("markAsDateTable"), F.coalesce("t.annotations", F.array().cast(schemas.ANNOTATIONS)).alias("annotations"), "columns", "measures", "partitions",
     )
 
 
+def numbered(chosen: DataFrame, per: DataFrame) -> DataFrame:
+    """per (project_id, path, ...) with rel, and ord by rank and rel. Files are numbered without what they hold, as a project's meet in one task."""
+    held = chosen.select("project_id", "path", "rel", "rank").join(per.select("project_id", "path"), ["project_id", "path"])
+    placed = held.select("project_id", "path", "rel", F.expr("CAST(row_number() OVER (PARTITION BY project_id ORDER BY rank, rel) - 1 AS INT)").alias("ord"))
+    return placed.join(per, ["project_id", "path"])
+
+
 def lines(files: DataFrame) -> DataFrame:
     """(project_id, path, n, line): stripped lines that are neither blank nor comments."""
     rows = files.select("project_id", "path", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("n", "line")).withColumn("line", N.strip(F.col("line")))

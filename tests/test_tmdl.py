@@ -32,3 +32,17 @@ def test_a_file_of_many_lines(spark):
     body = "\n".join(f"\tmeasure M{k} = [M{k - 1}] + 1\n\t\tformatString: 0" for k in range(5000))
     files = spark.createDataFrame([("p", "a", "tables/a.tmdl", f"table Big\n{body}")], "project_id string, path string, rel string, text string")
     assert tmdl.raw_tables(files).select(F.size("measures"), F.element_at("measures", -1)["expression"]).first() == (5000, "[M4998] + 1")
+
+
+def test_files_are_numbered_without_what_they_hold(spark):
+    """A project's files meet in one task to be numbered; their lists of objects must not be there. Objects alone come a row each, as in the lists."""
+    files = spark.createDataFrame([("p", f"{k}.tmdl", f"tables/{k}.tmdl", FILE if k % 2 else "column B\n") for k in range(4)], "project_id string, path string, rel string, text string")
+    raw = tmdl.raw_tables(files)
+    plan = raw._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    window = next(k for k, line in enumerate(plan) if line.lstrip(" :+-").startswith("Window"))
+    above = plan[window - 1]
+    assert "Project [project_id" in above and "measures" not in above and "measures" not in plan[window + 1]
+    chosen = tmdl.table_files(files)
+    got = tmdl.table_objects(chosen, tmdl.table_items(chosen)).selectExpr("table_name", "coalesce(column.name, measure.name) AS name").collect()
+    want = [(r["name"], x["name"]) for r in raw.collect() for x in [*r["columns"], *r["measures"]]]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 6
