@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import visuals as V
-from .graph import written
 from .resolve import Catalog, resolve_fields
 
-#: Levels of nesting that are walked in one plan.
+#: Levels of nesting that are walked before a look whether any is left.
 LEVELS = 10
-TITLE = "[title]"
+#: Columns that visuals are dealt by, once: all that is done with each of them after that is done where it lies.
+DEALT = ["project_id", "page_id", "visual_type"]
 
 
 def visuals(raw: DataFrame) -> DataFrame:
@@ -24,18 +22,16 @@ def visuals(raw: DataFrame) -> DataFrame:
     A visual's name is the one a user gave it, unless that is its id or looks like one; or its title; or
     its type and a number, which counts the visuals of that type on the page that have neither, in order.
     """
-    doc = F.try_parse_json("raw")
-    inner = V.at(F.col("doc"), "$.visual", "variant")
-    out = raw.withColumn("doc", doc).withColumns({
-        "visual_type": V.visual_type(F.col("raw_type")),
-        "own": V.explicit_name(F.col("doc")),
-        "inner_title": V.config_title(inner),
-        "outer_title": V.config_title(F.col("doc")),
-    })
-    out = out.withColumn("visual_title", F.coalesce(F.nullif("inner_title", F.lit("")), F.nullif("outer_title", F.lit("")), F.lit("")))
+    # Dealt before their JSON is read, to as many tasks as are set: by their few bytes, a million of them would be one task or a handful.
+    tasks = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = raw.withColumn("visual_type", V.visual_type(F.col("raw_type"))).repartition(tasks, *DEALT).withColumn("doc", F.try_parse_json("raw"))
+    filled = lambda title: V.bound(title, lambda x: F.when(x != "", x))
+    out = out.withColumn("read", V.config(F.col("doc"))).withColumn("inner", V.config(F.col("read.visual")))
+    titles = [filled(V.config_title(F.col(c))) for c in ("inner", "read")]
+    out = out.withColumns({"own": V.explicit_name(F.col("read"), F.col("inner")), "visual_title": F.coalesce(*titles, F.lit(""))})
     given = F.when((F.col("own") != "") & (F.col("own") != F.col("visual_id")) & ~F.col("own").rlike("(?i)^[0-9a-f]{8,}$"), N.strip(F.col("own")))
     out = out.withColumn("named", F.coalesce(given, F.nullif("visual_title", F.lit(""))))
-    sofar = F.sum(F.when(F.col("named").isNull(), 1).otherwise(0)).over(W.partitionBy("project_id", "page_id", "visual_type").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow))
+    sofar = F.sum(F.when(F.col("named").isNull(), 1).otherwise(0)).over(W.partitionBy(*DEALT).orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow))
     name = F.coalesce("named", F.concat_ws(" ", "visual_type", sofar))
     return out.withColumn("visual_name", name).select("project_id", "page_id", "page_name", "ord", "visual_id", "visual_name", "visual_type", "visual_title", "raw")
 
@@ -45,42 +41,28 @@ def shown_title(title: Column) -> Column:
     return F.when(title.isin("", "None", "Untitled") | title.isNull(), "Untitled").otherwise(text)
 
 
+def each_reference(found: DataFrame) -> DataFrame:
+    """found without raw and with f: as field_references(), but for visuals that are alike in all columns."""
+    kept = [c for c in found.columns if c != "raw"]
+    rows = found.withColumn("doc", F.try_parse_json("raw"))
+    rows = rows.select(*kept, V.aliases(F.col("doc")).alias("known"), V.held(F.col("doc"), F.col("raw"), LEVELS).alias("held"))
+    fields = F.transform("held", lambda x: V.field_at(x["key"], x["value"], F.col("known")))
+    title = F.when(F.col("visual_title").contains("["), V.title_field(F.col("visual_title")))
+    return rows.select(*kept, F.explode(F.array_distinct(F.concat(fields, F.array(title)))).alias("f")).filter("f IS NOT NULL")
+
+
 def field_references(found: DataFrame) -> DataFrame:
     """found without raw and with f (table, name, kind): a row for each distinct field reference anywhere in a visual's JSON (raw), and for that in its title.
 
-    The JSON is walked a level at a time, breadth first: what is still nested is a frontier of variants, whose entries are exploded; LEVELS levels make up
-    one plan, after which the frontier that is left, if any, is written and goes on. What is not JSON has no references of its own.
+    A visual's JSON is walked within its row, as arrays of variants, so that its other columns are not copied for all that is nested in it. What is not JSON
+    has no references of its own.
     """
-    own = F.struct(*(c for c in found.columns if c != "raw"))
-    none = F.lit(None).cast("variant")
-    rows = found.select(own.alias("own"), F.lit(None).cast("string").alias("key"), none.alias("held"), F.try_parse_json("raw").alias("value"))
-    rows = rows.withColumn("known", V.aliases(F.col("value")))
-    # The title's name is held from the start.
-    title = F.when(F.col("own.visual_title").contains("["), F.array(F.struct(F.lit(TITLE).alias("key"), F.to_variant_object(F.array(F.lit(0))).alias("held"), none.alias("value"))))
-    document = F.struct("key", "held", "value")
-    rows = rows.select("own", "known", F.inline(F.concat(F.array(document), F.coalesce(title, F.array().cast(rows.select(F.array(document)).schema[0].dataType)))))
-    done, tvf = [], found.sparkSession.tvf
-    while True:
-        for _ in range(LEVELS):
-            # What may name a field is held from where it is met, and goes on as a frontier too.
-            inner = rows.lateralJoin(tvf.variant_explode_outer(F.col("value").outer()).toDF("pos", "name", "entry")).filter("held IS NOT NULL OR entry IS NOT NULL")
-            names = F.col("name").isin(*V.HOLDERS)
-            held = F.struct(F.coalesce("key", "name").alias("key"), F.coalesce("held", "entry").alias("held"), none.alias("value"))
-            ahead = F.struct(F.lit(None).cast("string").alias("key"), none.alias("held"), F.col("entry").alias("value"))
-            both = F.when(F.col("held").isNotNull(), F.array(held)).when(names, F.array(held, ahead)).otherwise(F.array(ahead))
-            rows = inner.select("own", "known", F.inline(both))
-        rows = written(rows.filter(F.col("held").isNotNull() | F.left(F.col("value").cast("string"), F.lit(1)).isin("{", "[")))
-        done.append(rows.filter("held IS NOT NULL"))
-        rows = rows.filter("held IS NULL")
-        if rows.isEmpty():
-            break
-    field = F.when(F.col("key") == TITLE, V.title_field(F.col("own.visual_title"))).otherwise(V.field_at(F.col("key"), F.col("held"), F.col("known")))
-    return reduce(DataFrame.unionByName, done).select("own", field.alias("f")).filter("f IS NOT NULL").distinct().select("own.*", "f")
+    return each_reference(found).distinct()
 
 
 def field_uses(found: DataFrame, cat: Catalog) -> DataFrame:
     """A row for each distinct field reference of each visual, resolved or not."""
-    rows = field_references(found)
+    rows = each_reference(found)
     flat = rows.select("project_id", "page_id", "page_name", "ord", "visual_id", "visual_name", "visual_type", shown_title(F.col("visual_title")).alias("visual_title"), "f.table", "f.name")
     return resolve_fields(flat.distinct(), cat)
 
