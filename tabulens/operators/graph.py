@@ -7,33 +7,47 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions import names as N
 from .resolve import Catalog, resolve
+from .trees import TREE, trees
 
 #: Rounds whose pairs are looked up apart, before they are written as one table.
 ROUNDS = 8
+#: Roots, on average, whose ways are followed at a time: what is shuffled and written meanwhile is deleted before the next.
+ROOTS = 2**17
 #: Tables that are written and not yet deleted.
 TABLES: list[str] = []
 
 
-def written(df: DataFrame) -> DataFrame:
+#: Whether a query's shuffle files go when it ends, and not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, to: DataFrame | None = None) -> DataFrame:
     """df, written to the shared folder that the session names and read from there: a cut in lineage that
-    outlives executors and tells the optimizer its size."""
+    outlives executors and tells the optimizer its size. Rows are added to a table that this has made, if one is given."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tabulens-"))
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/tabulens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    TABLES.append(path)
+    path = to._written_path if to is not None else f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/tabulens-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("append").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    if to is None:
+        TABLES.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
@@ -122,18 +136,29 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
             discard(df)
 
 
-def levels(edges: DataFrame, starts: DataFrame, put: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(root, node, level): the least number of edges (src, dst) from each of starts (root) to each node it leads to, itself included.
+def squares(edges: DataFrame, put: Callable[[DataFrame], DataFrame]) -> Callable[[int], DataFrame]:
+    """The k-th square of the graph (src, dst): its ways of exactly 2**k edges. Each is made when it is first asked for."""
+    made = [put(edges.select("src", "dst").distinct())]
+
+    def power(k: int) -> DataFrame:
+        while len(made) <= k:
+            made.append(put(made[-1].withColumnRenamed("dst", "via").join(made[-1].withColumnRenamed("src", "via"), "via").select("src", "dst").distinct()))
+        return made[k]
+
+    return power
+
+
+def levels(power: Callable[[int], DataFrame], starts: DataFrame, put: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(root, node, level): the least number of edges from each of starts (root) to each node it leads to, itself included. power: squares() of the graph.
 
     By repeated squaring: a round extends what the roots reach within fewer than 2**k edges by the ways of exactly 2**k edges, which is the k-th
     square of the graph and gives the next. New pairs are those that no earlier round has reached. The first round without any is the last, on rings
     too, as the way to what lies further would lead through some that lies nearer: there are as many rounds as the depth has binary digits, and two.
     """
-    power = put(edges.select("src", "dst").distinct())
     seen = [put(starts.select("root", F.col("root").alias("node"), F.lit(0).alias("level")).distinct())]
-    size = 1
+    k = 0
     while True:
-        step = reduce(DataFrame.unionByName, seen).join(power.withColumnRenamed("src", "node"), "node").select("root", F.col("dst").alias("node"), (F.col("level") + size).alias("level"))
+        step = reduce(DataFrame.unionByName, seen).join(power(k).withColumnRenamed("src", "node"), "node").select("root", F.col("dst").alias("node"), (F.col("level") + 2**k).alias("level"))
         first = step.groupBy("root", "node").agg(F.min("level").alias("level"))
         new = put(first.join(reduce(DataFrame.unionByName, seen), ["root", "node"], "left_anti"))
         if new.isEmpty():
@@ -141,64 +166,95 @@ def levels(edges: DataFrame, starts: DataFrame, put: Callable[[DataFrame], DataF
         seen.append(new)
         if len(seen) > ROUNDS:
             seen = [put(reduce(DataFrame.unionByName, seen))]
-        power = put(power.withColumnRenamed("dst", "via").join(power.withColumnRenamed("src", "via"), "via").select("src", "dst").distinct())
-        size *= 2
+        k += 1
 
 
-def numbered_graph(graph: DataFrame, roots: DataFrame, put: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """names (project_id, name, id), the graph with ids for src and dst, and roots as ids: numbers stand for names while pairs are made."""
+def numbered_graph(graph: DataFrame, roots: DataFrame, put: Callable[[DataFrame], DataFrame], *more: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """names (project_id, name, id), the graph with ids for src and dst and its columns more, and roots as ids: numbers stand for names while pairs are made."""
     ends = graph.select("project_id", F.explode(F.array("src", "dst")).alias("name")).unionByName(roots.select("project_id", F.col("root").alias("name")))
-    names = put(ends.filter("name IS NOT NULL").distinct().withColumn("id", F.monotonically_increasing_id()))
+    names = written(ends.filter("name IS NOT NULL").distinct().withColumn("id", F.monotonically_increasing_id()))
     of = lambda end: names.select("project_id", F.col("name").alias(end), F.col("id").alias(f"{end}_id"))
-    edges = graph.join(of("src"), ["project_id", "src"]).join(of("dst"), ["project_id", "dst"]).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
+    edges = graph.join(of("src"), ["project_id", "src"]).join(of("dst"), ["project_id", "dst"]).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), *more)
     starts = roots.select("project_id", "root").distinct().join(of("root"), ["project_id", "root"]).select(F.col("root_id").alias("root"))
     return names, put(edges), put(starts)
 
 
+class Ways(NamedTuple):
+    """What each root leads to: names (project_id, name, id), and trees (TREE of the module trees), whose roots and nodes are such ids. Two written tables."""
+
+    names: DataFrame
+    trees: DataFrame
+
+    def of(self, end: str) -> DataFrame:
+        """(project_id, <end>_name, <end>): names of roots or nodes."""
+        return self.names.select("project_id", F.col("name").alias(f"{end}_name"), F.col("id").alias(end))
+
+    def pairs(self) -> DataFrame:
+        """(project_id, root, node)."""
+        met = self.trees.select("root", F.explode(F.flatten("nodes")).alias("node")).join(self.of("root"), "root").join(self.of("node").drop("project_id"), "node")
+        return met.select("project_id", F.col("root_name").alias("root"), F.col("node_name").alias("node"))
+
+
+def along(start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """A value of each way of a tree, level by level: step makes it of the value of the way's first part and its last label; start is the root's."""
+    last = lambda x: F.element_at(x, -1)
+    level = lambda made, x: F.zip_with(x["parents"], x["labels"], lambda p, label: step(F.get(last(made), p), label))
+    made = F.aggregate(F.arrays_zip("parents", "labels"), F.array(F.array(start)), lambda made, x: F.concat(made, F.array(level(made, x))))
+    return F.flatten(F.slice(made, F.lit(2), F.size("parents")))
+
+
+def each_level() -> Column:
+    """The level of each way of a tree."""
+    return F.flatten(F.transform("labels", lambda x, k: F.transform(x, lambda _: k + 1)))
+
+
+def ways(graph: DataFrame, roots: DataFrame) -> Ways:
+    """The first shortest ways from each root (project_id, root) to all it leads to along graph (project_id, src, dst, n, label, dax), the root itself excluded.
+
+    Levels first, by numbers (levels()); then each pair meets the edges of its node, and what meets is sorted by root, a tree each. A tree holds
+    a place for each way, not its labels, and ways are written out where they are read. Some roots are followed at a time, so that
+    what lies on disk meanwhile doesn't grow with their number.
+    """
+    shape = "root long, src long, level int, n int, dst long, label string, dax string"
+    with scratch() as put:
+        names, edges, starts = numbered_graph(graph, roots, put, "n", "label", "dax")
+        least = edges.filter("src <> dst").groupBy("src", "dst").agg(F.min(F.struct(F.col("n").cast("int").alias("n"), "label", "dax")).alias("e"))
+        links = put(least.select("src", "dst", "e.*"))
+        power = squares(edges, put)
+        found = written(names.sparkSession.createDataFrame([], TREE))
+        parts = -(-starts.count() // ROOTS)
+        for part in range(parts):
+            some = starts.filter(F.pmod(F.xxhash64("root"), F.lit(parts)) == part)
+            with scratch() as own:
+                met = levels(power, some, own).withColumnRenamed("node", "src").join(links, "src").filter("dst <> root").selectExpr(*(c.split()[0] for c in shape.split(", ")))
+                found = written(met.repartition("root").sortWithinPartitions("root").mapInArrow(trees, TREE), found)
+    return Ways(names, found)
+
+
 def closure(graph: DataFrame, roots: DataFrame, paths: bool = True) -> DataFrame:
     """What each root leads to: (project_id, root, node, level[, path, dax]), the root itself excluded.
 
-    graph (project_id, src, dst, n, label, dax), roots (project_id, root). By repeated squaring: a round extends what the
-    roots reach within fewer than 2**k edges by the ways of exactly 2**k edges, which is the k-th square of the graph and gives the
-    next. Levels add up, least first; new pairs are those that no earlier round has reached. The first round without any is the last,
-    on rings too, as the way to what lies further would lead through some that lies nearer: there are as many rounds as the depth has
-    binary digits, and two. Of the shortest paths to a node the one that comes first by edge numbers is kept, as a queue would visit it: path is its array of
-    labels, dax the expression of its last edge. Each root is followed once however many use it. Tables between are written to the
-    shared folder and deleted; the result is one written table. Without paths, numbers stand for names meanwhile (levels()).
+    graph (project_id, src, dst, n, label, dax), roots (project_id, root). By repeated squaring, with numbers for names (levels()). Of the shortest paths to
+    a node the one that comes first by edge numbers is kept, as a queue would visit it: path is its array of labels, dax the expression of its last edge (ways()).
+    Each root is followed once however many use it. Tables between are written to the shared folder and deleted; the result is one written table.
     """
     if not paths:
         with scratch() as put:
             names, edges, starts = numbered_graph(graph, roots, put)
-            of = lambda end: names.select("project_id", F.col("name").alias(f"{end}_name"), F.col("id").alias(end))
-            named = levels(edges, starts, put).filter("level > 0").join(of("root"), "root").join(of("node").drop("project_id"), "node")
-            return written(named.select("project_id", F.col("root_name").alias("root"), F.col("node_name").alias("node"), "level"))
-    keys = ["project_id", "root", "node"]
-    more = ["at", "path", "dax"]
-    way = F.struct("level", *more)
-    with scratch() as put:
-        edge = F.struct(F.array(F.col("n").cast("int")).alias("at"), F.array("label").alias("path"), "dax")
-        power = put(graph.groupBy("project_id", "src", "dst").agg(F.min(edge).alias("e")))
-        state = roots.select("project_id", "root").distinct().select("project_id", "root", F.col("root").alias("node"), F.lit(0).alias("level"))
-        state = state.withColumns({"at": F.array().cast("array<int>"), "path": F.array().cast("array<string>"), "dax": F.lit("")})
-        seen = [put(state)]
-        size = 1
-        joined = lambda e, f: F.struct(F.concat(e["at"], f["at"]).alias("at"), F.concat(e["path"], f["path"]).alias("path"), f["dax"].alias("dax"))
-        while True:
-            ends = power.withColumnRenamed("src", "node").withColumnRenamed("e", "f")
-            step = reduce(DataFrame.unionByName, seen).join(ends, ["project_id", "node"]).withColumn("level", F.col("level") + size)
-            step = step.withColumn("f", joined(F.struct(*more), F.col("f"))).drop(*more).select("*", "f.*")
-            first = step.select("project_id", "root", F.col("dst").alias("node"), "level", *more).groupBy(*keys).agg(F.min(way).alias("x")).select(*keys, "x.*")
-            new = put(first.join(reduce(DataFrame.unionByName, seen), keys, "left_anti"))
-            if new.isEmpty():
-                break
-            seen.append(new)
-            if len(seen) > ROUNDS:
-                seen = [put(reduce(DataFrame.unionByName, seen))]
-            ahead = power.select("project_id", F.col("src").alias("via"), F.col("dst").alias("end"), F.col("e").alias("f"))
-            squared = power.withColumnRenamed("dst", "via").join(ahead, ["project_id", "via"]).select("project_id", "src", F.col("end").alias("dst"), joined(F.col("e"), F.col("f")).alias("e"))
-            power = put(squared.groupBy("project_id", "src", "dst").agg(F.min("e").alias("e")))
-            size *= 2
-        return written(reduce(DataFrame.unionByName, seen).filter("level > 0").select(*keys, "level", *more[1:]))
+            found = Ways(names, edges)
+            named = levels(squares(edges, put), starts, put).filter("level > 0").join(found.of("root"), "root").join(found.of("node").drop("project_id"), "node")
+            out = written(named.select("project_id", F.col("root_name").alias("root"), F.col("node_name").alias("node"), "level"))
+        discard(names)
+        return out
+    found = ways(graph, roots)
+    path = along(F.array().cast("array<string>"), lambda first, label: F.concat(first, F.array(label)))
+    dax = F.flatten(F.transform("daxes", lambda x: F.transform(x, lambda k: F.get("exprs", k))))
+    each = F.arrays_zip(F.flatten("nodes").alias("node"), each_level().alias("level"), path.alias("path"), dax.alias("dax"))
+    met = found.trees.select("root", F.inline(each)).join(found.of("root"), "root").join(found.of("node").drop("project_id"), "node")
+    out = written(met.select("project_id", F.col("root_name").alias("root"), F.col("node_name").alias("node"), "level", "path", "dax"))
+    for df in found:
+        discard(df)
+    return out
 
 
 def on_cycles(graph: DataFrame) -> DataFrame:

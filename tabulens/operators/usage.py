@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -23,18 +24,36 @@ def reach(usage: DataFrame, graph: DataFrame, paths: bool = True) -> DataFrame:
     return G.closure(graph, usage.select("project_id", F.col("canonical").alias("root")), paths)
 
 
-def lineage(usage: DataFrame, met: DataFrame) -> DataFrame:
-    """Distinct paths from a visual's object to another: usage rows and their reach() in, the first usage row of each path out.
+def ways(usage: DataFrame, graph: DataFrame) -> G.Ways:
+    """The ways from all objects that are used, each of which is followed once."""
+    return G.ways(graph, usage.select("project_id", F.col("canonical").alias("root")))
 
-    usage needs page_name, visual_name, visual_title, object_name and ord; rows alike in what is shown meet as one.
+
+def lineage(usage: DataFrame, ways: G.Ways) -> DataFrame:
+    """Distinct paths from a visual's object to another: usage rows and the ways() of their objects in, the first usage row of each path out.
+
+    usage needs page_name, visual_name, visual_title, object_name and ord; rows alike in what is shown meet as one. Paths are written out last, in the
+    row of a use, so that none is shuffled; only those that may read like another's are grouped: of objects of one name in one visual, or of trees with ways alike.
     """
     shown = ["project_id", "page_name", "visual_name", "object_name"]
-    once = usage.groupBy(*shown, "canonical").agg(F.min(F.struct("ord", "visual_title")).alias("u"))
-    rows = once.join(met.withColumnRenamed("root", "canonical"), ["project_id", "canonical"])
+    once = usage.groupBy(*shown, "canonical").agg(F.min(F.struct("ord", "visual_title")).alias("u")).withColumn("objects", F.count("*").over(W.partitionBy(*shown)))
+    root = ways.of("root").withColumnRenamed("root_name", "canonical")
+    uses = G.written(once.join(root, ["project_id", "canonical"]).drop("canonical"))
     keys = ["project_id", "page_name", "visual_name", "direct_object", "indirect_object", "dependency_path"]
-    rows = rows.withColumns({"direct_object": F.col("object_name"), "indirect_object": F.element_at("path", -1), "dependency_path": F.concat_ws(" -> ", "object_name", "path")})
-    first = F.min(F.struct("u.ord", "u.visual_title", F.col("level").alias("dependency_level"), F.col("dax").alias("dax_expression"))).alias("x")
-    return rows.groupBy(*keys).agg(first).select(*keys, "x.visual_title", "x.dependency_level", "x.dax_expression")
+    more = ["visual_title", "dependency_level", "dax_expression"]
+    path = G.along(F.col("object_name"), lambda first, label: F.concat_ws(" -> ", first, label))
+    dax = F.flatten(F.transform("daxes", lambda x: F.transform(x, lambda k: F.get("exprs", k))))
+    each = F.arrays_zip(F.flatten("labels").alias("indirect_object"), path.alias("dependency_path"), G.each_level().alias("dependency_level"), dax.alias("dax_expression"))
+
+    def rows(which: Column) -> DataFrame:
+        return uses.join(ways.trees, "root").filter(which).select(*shown, "u.*", F.inline(each)).withColumnRenamed("object_name", "direct_object")
+
+    apart = (F.col("objects") == 1) & ~F.col("alike")
+    out = rows(apart).select(*keys, *more)
+    if uses.filter("objects > 1").isEmpty() and ways.trees.filter("alike").isEmpty():
+        return out
+    first = F.min(F.struct("ord", *more)).alias("x")
+    return out.unionByName(rows(~apart).groupBy(*keys).agg(first).select(*keys, *(f"x.{c}" for c in more)))
 
 
 def numbered_places(usage: DataFrame) -> DataFrame:

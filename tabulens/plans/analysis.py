@@ -62,9 +62,9 @@ def analyze_files(files: DataFrame, provider: providers.Provider | None = None,
     visuals = graph.written(report.visuals(r["raw_visuals"]))
     uses = graph.written(report.field_uses(visuals, cat))
     direct = graph.written(report.visual_usage(uses))
-    met = usage.reach(direct, links)
-    found = graph.written(usage.object_usage(usage.object_universe(measures, calculated, columns), direct, met))
-    out |= {"visuals": visuals, "visual_usage": direct, "object_usage": found, "unused_objects": usage.unused_objects(found), "usage_lineage": graph.written(usage.lineage(direct, met))}
+    ways = usage.ways(direct, links)
+    found = graph.written(usage.object_usage(usage.object_universe(measures, calculated, columns), direct, ways.pairs()))
+    out |= {"visuals": visuals, "visual_usage": direct, "object_usage": found, "unused_objects": usage.unused_objects(found), "usage_lineage": graph.written(usage.lineage(direct, ways))}
     out["visual_metrics"], out["usage_summary"] = report.visual_metrics(uses), usage.usage_summary(found)
 
     analysed = graph.written(quality.analysed(objects))
